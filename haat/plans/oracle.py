@@ -234,3 +234,239 @@ SQL["export_daily"] = W(TX) + f"""SELECT dt, product, CAST(SUM(quantity) AS BIGI
 SQL["sales_range"] = W(TX) + f"""SELECT transaction_id, dt, product, product_name, quantity,
   {R('price')} AS price, CAST(total_amount AS DOUBLE) AS total_amount, user_id, discount_applied
 FROM tx WHERE dt >= DATE '{Q.RANGE_START}' AND dt <= DATE '{Q.RANGE_END}'"""
+
+
+# --- sentiment, interest and text ---------------------------------------------------
+from haat.functions import text as TXT  # noqa: E402
+from haat.operators import sentiment as SENTOP  # noqa: E402
+from haat.operators import spine as SPINE  # noqa: E402
+
+SENT = """sent AS (SELECT CAST(ts AS DATE) AS date, event_type AS product,
+  greatest(CAST(0.35 AS DOUBLE), least(CAST(0.95 AS DOUBLE), value / 100.0)) AS sentiment FROM events)"""
+
+SQL["sentiment_mean"] = W(SENT) + f"""SELECT product, {R('avg(sentiment)', 4)} AS sentiment,
+  COUNT(*) AS n FROM sent GROUP BY product"""
+
+SQL["sentiment_series"] = W(SENT) + f"""SELECT product, date,
+  CAST(row_number() OVER (PARTITION BY product ORDER BY date) AS INTEGER) AS seq,
+  {R('s', 4)} AS sentiment FROM (SELECT product, date, avg(sentiment) AS s FROM sent GROUP BY 1, 2) t"""
+
+WEEKLY = """wk AS (SELECT product, CAST(date_trunc('week', date) AS DATE) + 6 AS week,
+    avg(sentiment) AS s, COUNT(*) AS n FROM sent GROUP BY 1, 2)""", """sp AS (SELECT product,
+    CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS week
+    FROM (SELECT product, min(week) AS lo, max(week) AS hi FROM wk GROUP BY product) t)"""
+WEEKLY_SELECT = f"""SELECT sp.week, sp.product, {R('s', 4)} AS sentiment, COALESCE(n, 0) AS n_scores
+FROM sp LEFT JOIN wk ON sp.product = wk.product AND sp.week = wk.week"""
+
+SQL["social_weekly"] = W(SENT, *WEEKLY) + WEEKLY_SELECT
+SQL["append_dedup"] = SQL["social_weekly"]
+
+_LEX = ", ".join(f"({lit(w)}, CAST({v!r} AS DOUBLE))" for w, v in sorted(SENTOP.LEXICON.items()))
+SQL["lexicon_sentiment"] = W(
+    f"lex AS (SELECT * FROM (VALUES {_LEX}) t(word, valence))",
+    r"""tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}]+'),
+      lambda t: t <> '')) AS word FROM documents)""",
+    """agg AS (SELECT tok.doc_id, COUNT(*) AS n_tokens, COUNT(lex.valence) AS n_hits,
+      SUM(lex.valence) AS s FROM tok LEFT JOIN lex ON tok.word = lex.word GROUP BY tok.doc_id)""",
+    """a2 AS (SELECT d.doc_id, COALESCE(n_tokens, 0) AS n_tokens, COALESCE(n_hits, 0) AS n_hits,
+      COALESCE(s, 0.0) AS s FROM documents d LEFT JOIN agg ON d.doc_id = agg.doc_id)""") + f"""
+SELECT doc_id, n_tokens, n_hits, {R('s', 4)} AS score, {R('s / sqrt(s * s + 15.0)', 4)} AS compound,
+  {R('greatest(CAST(0.35 AS DOUBLE), least(CAST(0.95 AS DOUBLE), s / sqrt(s * s + 15.0)))', 4)} AS sentiment
+FROM a2"""
+
+SQL["interest_index"] = f"""SELECT product, date, n_events,
+  {R(div('n_events * 100', 'peak'))} AS interest FROM (
+  SELECT event_type AS product, CAST(ts AS DATE) AS date, COUNT(*) AS n_events,
+         max(COUNT(*)) OVER (PARTITION BY event_type) AS peak FROM events GROUP BY 1, 2) t"""
+
+_WS = TXT.char_class(TXT.WHITESPACE, java=False)
+_NWS = TXT.char_class(TXT.WHITESPACE, java=False, negate=True)
+_LB = TXT.line_break_regex(java=False)
+SQL["answer_cleanup"] = f"""SELECT conv_id, turn, role,
+  CASE WHEN text IS NULL OR text = '' THEN ''
+       WHEN length(body) < 40 THEN body || {lit(L.SHORT_ANSWER_HINT)} ELSE body END AS cleaned
+FROM (SELECT *, regexp_replace(array_to_string(list_transform(list_filter(
+    string_split_regex(text, {lit(_LB)}), lambda l: regexp_matches(l, {lit(_NWS)})),
+    lambda l: regexp_replace(l, {lit(_WS + '+\\z')}, '')), chr(10)), {lit('\\A' + _WS + '+')}, '') AS body
+  FROM conversations) t"""
+
+SQL["bengali_flag"] = f"""SELECT doc_id, lang, regexp_matches(text, {lit(TXT.bengali_regex(java=False))}) AS is_bengali
+FROM documents"""
+
+_PATHS = TXT.REPLY_SHAPES + ["$.k"]
+SQL["json_coalesce"] = "SELECT event_id, COALESCE(" + ", ".join(
+    f"json_extract_string(props, {lit(p)})" for p in _PATHS) + ") AS reply FROM events"
+
+SQL["date_labels"] = f"""SELECT dt, dayname(dt) AS weekday,
+  concat_ws(' ', {arr(L.WEEKDAYS_EN)}[isodow(dt)], CAST(day(dt) AS VARCHAR), {arr(L.MONTHS_EN)}[month(dt)],
+            CAST(year(dt) AS VARCHAR)) AS label_en,
+  concat_ws(' ', {arr(L.WEEKDAYS_BN)}[isodow(dt)], CAST(day(dt) AS VARCHAR), {arr(L.MONTHS_BN)}[month(dt)],
+            CAST(year(dt) AS VARCHAR)) AS label_bn
+FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS dt FROM orders) t"""
+
+# --- forecast -----------------------------------------------------------------------
+T_EXPR = "CAST(date_diff('day', DATE '2000-01-01', {d}) AS DOUBLE)"
+
+
+def _fc_ctes(grain: str) -> list[str]:
+    if grain == "day":
+        obs = f"""obs AS (SELECT product, dt, CAST(SUM(quantity) AS DOUBLE) AS y, COUNT(*) AS n_rows,
+    {T_EXPR.format(d='dt')} AS t FROM tx GROUP BY product, dt)"""
+    else:
+        obs = f"""obs AS (SELECT product, dt, CAST(quantity AS DOUBLE) AS y, 1 AS n_rows,
+    {T_EXPR.format(d='dt')} AS t FROM tx)"""
+    return [TX, obs,
+            """tr AS (SELECT product, regr_slope(y, t) AS b, regr_intercept(y, t) AS a,
+    SUM(n_rows) AS n_rows, max(dt) AS last_dt FROM obs GROUP BY product HAVING SUM(n_rows) >= 10)""",
+            """r1 AS (SELECT o.product, o.dt, o.y - (tr.a + tr.b * o.t) AS r1,
+    CAST(isodow(o.dt) - 1 AS INTEGER) AS wd, CAST(month(o.dt) AS INTEGER) AS mo
+    FROM obs o JOIN tr ON o.product = tr.product)""",
+            "wk AS (SELECT product, wd, avg(r1) AS w FROM r1 GROUP BY 1, 2)",
+            """r2 AS (SELECT r1.product, r1.mo, r1.r1 - wk.w AS r2 FROM r1
+    JOIN wk ON r1.product = wk.product AND r1.wd = wk.wd)""",
+            "mo AS (SELECT product, mo, avg(r2) AS m FROM r2 GROUP BY 1, 2)",
+            """r3 AS (SELECT r2.product, r2.r2 - mo.m AS r3 FROM r2
+    JOIN mo ON r2.product = mo.product AND r2.mo = mo.mo)""",
+            "sg AS (SELECT product, stddev_samp(r3) AS sigma FROM r3 GROUP BY product)",
+            """fut AS (SELECT product, a, b, CAST(last_dt + CAST(h AS INTEGER) AS DATE) AS ds
+    FROM tr, range(1, 31) r(h))""",
+            f"""fc AS (SELECT f.product, f.ds, f.a + f.b * {T_EXPR.format(d='f.ds')}
+      + COALESCE(wk.w, 0.0) + COALESCE(mo.m, 0.0) AS yhat, 1.2816 * COALESCE(sg.sigma, 0.0) AS band
+    FROM fut f LEFT JOIN wk ON wk.product = f.product AND wk.wd = CAST(isodow(f.ds) - 1 AS INTEGER)
+    LEFT JOIN mo ON mo.product = f.product AND mo.mo = CAST(month(f.ds) AS INTEGER)
+    LEFT JOIN sg ON sg.product = f.product)"""]
+
+
+FC_SELECT = f"""SELECT product, ds, {R('yhat')} AS yhat, {R('yhat - band')} AS yhat_lower,
+  {R('yhat + band')} AS yhat_upper FROM fc"""
+SQL["forecast_daily"] = W(*_fc_ctes("day")) + FC_SELECT
+SQL["forecast_row_grain"] = W(*_fc_ctes("row")) + FC_SELECT
+SQL["forecast_mean"] = W(*_fc_ctes("day")) + f"""SELECT product, {R('avg(yhat)')} AS mean_yhat,
+  COUNT(*) AS horizon FROM fc GROUP BY product"""
+SQL["error_by_group"] = W(*_fc_ctes("day"), """per AS (SELECT product AS "group", SUM(abs(r3)) AS abs_sum,
+  COUNT(*) AS n FROM r3 GROUP BY product)""", """both_ AS (SELECT * FROM per UNION ALL
+  SELECT '__overall__', SUM(abs_sum), CAST(SUM(n) AS BIGINT) FROM per)""") + f"""SELECT "group", n,
+  {R('abs_sum / n', 4)} AS mae FROM both_"""
+
+# --- pricing ---------------------------------------------------------------------------
+CP = f"cp AS (SELECT product, {div('SUM(price)', 'COUNT(*)')} AS current_raw FROM tx GROUP BY product)"
+DAILY_PQ = """d AS (SELECT product, dt, CAST(SUM(quantity) AS DOUBLE) AS q, SUM(price) / COUNT(*) AS p
+  FROM tx GROUP BY product, dt)"""
+ACT = "CAST(a AS INTEGER) AS action, (1.0 + CAST(a AS DOUBLE) / 10.0) AS f"
+
+SQL["price_parity"] = W(TX, CP, f"""g AS (SELECT product, current_raw, {ACT} FROM cp, range(-5, 6) r(a))""",
+                        """g2 AS (SELECT *, current_raw * f AS new_raw FROM g)""",
+                        """g3 AS (SELECT *, row_number() OVER (PARTITION BY product
+    ORDER BY -abs(new_raw - current_raw) DESC, abs(action), action) AS rn FROM g2)""") + f"""
+SELECT product, {R('current_raw')} AS current_price, action, {R('new_raw')} AS optimized_price
+FROM g3 WHERE rn = 1"""
+
+SQL["price_elastic"] = W(TX, CP, DAILY_PQ, """el AS (SELECT product, regr_slope(ln(q), ln(p)) AS e,
+  avg(q) AS q_bar FROM d GROUP BY product)""", f"""g AS (SELECT el.product, e, q_bar, current_raw, {ACT}
+  FROM el JOIN cp ON el.product = cp.product, range(-5, 6) r(a))""", """g2 AS (SELECT *,
+  current_raw * f AS price_raw, q_bar * pow(f, e) AS qty_raw FROM g)""", f"""g3 AS (SELECT *,
+  {R('(price_raw - 0.7 * current_raw) * qty_raw')} AS profit_r FROM g2)""", """g4 AS (SELECT *,
+  row_number() OVER (PARTITION BY product ORDER BY profit_r DESC, abs(action), action) AS rn FROM g3)""") + f"""
+SELECT product, {R('e', 4)} AS elasticity, {R('current_raw')} AS current_price, action AS best_action,
+  {R('price_raw')} AS best_price, {R('qty_raw')} AS expected_quantity, profit_r AS expected_profit,
+  abs(action) = 5 AS at_grid_edge FROM g4 WHERE rn = 1"""
+
+SQL["regression_fit"] = W(TX, DAILY_PQ) + f"""SELECT product, {R('regr_slope(q, p)', 4)} AS slope,
+  {R('regr_intercept(q, p)', 4)} AS intercept, {R('regr_r2(q, p)', 4)} AS r2,
+  CAST(regr_count(q, p) AS BIGINT) AS n FROM d GROUP BY product"""
+
+SQL["price_attribution"] = W(TX, DAILY_PQ, """c AS (SELECT product, regr_slope(q, p) AS slope,
+  avg(p) AS p_mean FROM d GROUP BY product)""") + f"""SELECT d.product, d.dt, {R('d.p')} AS price,
+  {R('c.slope * (d.p - c.p_mean)', 4)} AS attribution FROM d JOIN c ON d.product = c.product"""
+
+# --- recommenders ------------------------------------------------------------------------
+POP = "pop AS (SELECT product, COUNT(*) AS n FROM tx GROUP BY product)"
+SQL["popularity"] = W(TX, POP) + "SELECT product, n FROM pop"
+RECS = """recs AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, product) AS INTEGER) AS rank,
+  product, n AS score FROM pop ORDER BY n DESC, product LIMIT 5)"""
+SQL["recommend_popular"] = W(TX, POP, RECS) + "SELECT * FROM recs"
+
+# --- graph -------------------------------------------------------------------------------
+EDGES = """e AS (SELECT product, 'user_' || CAST(user_id AS VARCHAR) AS "user",
+  max({'d': dt, 't': transaction_id, 'q': quantity}).q AS weight,
+  CAST(SUM(quantity) AS BIGINT) AS total_quantity, COUNT(*) AS n_lines FROM tx GROUP BY product, user_id)"""
+SQL["graph_edges"] = W(TX, EDGES) + "SELECT * FROM e"
+SQL["graph_nodes"] = W(TX, EDGES) + """SELECT product AS id, 'product' AS kind, COUNT(*) AS degree FROM e
+GROUP BY product UNION ALL SELECT "user", 'user', COUNT(*) FROM e GROUP BY "user\""""
+SQL["graph_neighbours"] = W(TX, EDGES) + f"""SELECT product, "user" AS neighbour, weight FROM e
+WHERE product = {lit(Q.GRAPH_PRODUCT)}"""
+INSIGHTS = """gi AS (SELECT d.product, d.degree, 'Related to: [' || array_to_string(t.users, ', ')
+  || CASE WHEN d.degree > 3 THEN ', …' ELSE '' END || ']' AS insight
+  FROM (SELECT product, COUNT(*) AS degree FROM e GROUP BY product) d
+  JOIN (SELECT product, list("user" ORDER BY r) AS users FROM (SELECT product, "user",
+        row_number() OVER (PARTITION BY product ORDER BY weight DESC, "user") AS r FROM e) x
+        WHERE r <= 3 GROUP BY product) t ON d.product = t.product)"""
+SQL["graph_insights"] = W(TX, EDGES, INSIGHTS) + "SELECT * FROM gi"
+
+SQL["knn_l2"] = W("""c AS (SELECT label, list(x ORDER BY pos) AS vec FROM (
+    SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM (
+      SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) u
+    GROUP BY label, pos) v GROUP BY label)""", """s AS (SELECT c.label, e.vec_id,
+    sqrt(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i:
+      (c.vec[i] - CAST(e.embedding[i] AS DOUBLE)) * (c.vec[i] - CAST(e.embedding[i] AS DOUBLE))))) AS d
+    FROM c, embeddings e)""") + f"""SELECT label, rank, vec_id, {R('d', 4)} AS distance FROM (
+  SELECT label, vec_id, d, CAST(row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS INTEGER) AS rank
+  FROM s) t WHERE rank <= 5"""
+
+
+# --- context, catalog, spines --------------------------------------------------------------
+def F2(x: str) -> str:
+    return f"CAST(CAST(ROUND(CAST({x} AS DECIMAL(38,6)), 2) AS DECIMAL(38,2)) AS VARCHAR)"
+
+
+SQL["dashboard_context"] = W(*_fc_ctes("day"), CP, SENT, POP, RECS, EDGES, INSIGHTS,
+                             "fl AS (SELECT product, arg_max(yhat, ds) AS f_yhat FROM fc GROUP BY product)",
+                             f"""pr AS (SELECT product, {R('current_raw')} AS cur, {R('current_raw')} AS opt FROM cp)""",
+                             f"se AS (SELECT product, {R('avg(sentiment)', 4)} AS s_avg FROM sent GROUP BY product)",
+                             "rt AS (SELECT array_to_string(list(product ORDER BY rank), ', ') AS r FROM recs)") + f"""
+SELECT p.product, concat_ws(chr(10),
+  COALESCE('Forecast (next period) yhat=' || {F2('fl.f_yhat')}, 'Forecast: unavailable'),
+  COALESCE('Price: current=' || {F2('pr.cur')} || ', optimized=' || {F2('pr.opt')}, 'Price: unavailable'),
+  CASE WHEN (SELECT r FROM rt) <> '' THEN 'Top recommendations: ' || (SELECT r FROM rt) END,
+  COALESCE('Social sentiment (avg): ' || {F2('se.s_avg')}, 'Social sentiment: unavailable'),
+  'Graph: ' || COALESCE(gi.insight, 'No relations')) AS context
+FROM pop p LEFT JOIN fl ON p.product = fl.product LEFT JOIN pr ON p.product = pr.product
+LEFT JOIN se ON p.product = se.product LEFT JOIN gi ON p.product = gi.product"""
+
+SQL["catalog"] = f"""WITH sold AS (SELECT l_partkey AS p_partkey, CAST(SUM(l_quantity) AS BIGINT) AS units,
+  avg(l_discount) AS disc FROM lineitem GROUP BY 1)
+SELECT p.p_partkey AS id, p.p_name AS name, {R('p.p_retailprice * (1.0 - COALESCE(disc, 0.0))')} AS price,
+  CASE WHEN COALESCE(disc, 0.0) > 0 THEN p.p_retailprice END AS old_price, 'USD' AS currency,
+  COALESCE(units, 0) AS stock,
+  list_filter([p.p_brand, p.p_type, CASE WHEN COALESCE(disc, 0.0) > 0 THEN 'Sale' END],
+              lambda t: t IS NOT NULL) AS tags
+FROM part p LEFT JOIN sold ON p.p_partkey = sold.p_partkey"""
+
+SQL["date_spine"] = W(TX, """d AS (SELECT product, dt, SUM(quantity) AS q, SUM(total_amount) AS rev
+  FROM tx GROUP BY 1, 2)""", """sp AS (SELECT product, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS dt
+  FROM (SELECT product, min(dt) AS lo, max(dt) AS hi FROM d GROUP BY product) t)""") + """SELECT sp.product, sp.dt,
+  CAST(COALESCE(q, 0) AS BIGINT) AS quantity, CAST(COALESCE(rev, 0) AS DOUBLE) AS revenue
+FROM sp LEFT JOIN d ON sp.product = d.product AND sp.dt = d.dt"""
+
+
+def _boost_sql() -> str:
+    parts = []
+    for months, cats, factor in reversed(SPINE.BOOST_RULES):
+        parts.append(f"WHEN month(dt) IN ({', '.join(map(str, months))}) AND category IN ({_in(cats)}) "
+                     f"THEN CAST({factor!r} AS DOUBLE)")
+    wk = ", ".join(str(d) for d in SPINE.WEEKEND_DAYS)
+    return (f"(CASE {' '.join(parts)} ELSE 1.0 END) * (CASE WHEN isodow(dt) - 1 IN ({wk}) "
+            f"THEN CAST({SPINE.WEEKEND_FACTOR!r} AS DOUBLE) ELSE 1.0 END)")
+
+
+SQL["seasonal_boost"] = W(TX) + f"""SELECT dt, product, quantity, {R(_boost_sql(), 4)} AS boost,
+  {R('sin(CAST(dayofyear(dt) AS DOUBLE) / 365.0 * ' + repr(2 * 3.141592653589793) + ') * 0.1', 6)} AS wave
+FROM (SELECT dt, product, category, CAST(SUM(quantity) AS BIGINT) AS quantity FROM tx GROUP BY 1, 2, 3) t"""
+
+SQL["category_distinct"] = W(TX) + """SELECT category, COUNT(DISTINCT product_name) AS n_products,
+  COUNT(*) AS n_rows FROM tx GROUP BY category"""
+
+SQL["csv_round_trip"] = SQL["export_daily"]
+
+SQL["records_json"] = W(TX) + """SELECT to_json({'product': product, 'revenue': SUM(total_amount),
+  'n_rows': COUNT(*)}) AS record FROM tx GROUP BY product"""

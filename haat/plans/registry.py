@@ -167,3 +167,200 @@ def _export_daily(spark, sf_dir):
 @query("sales_range")
 def _sales_range(spark, sf_dir):
     return export.sales_rows(Ctx(spark, sf_dir).tx, RANGE_START, RANGE_END)
+
+
+# --- sentiment, interest and text -------------------------------------------------
+from haat.operators import (context as ctxop, forecast as fc, graph, pricing,  # noqa: E402
+                            recommend, sentiment, spine, text, vectors)
+from haat.sources import adapter, files  # noqa: E402
+from haat.sources.catalog import catalog_from_parts  # noqa: E402
+from haat.schemas import DAILY_SALES  # noqa: E402
+from haat.session import scratch_dir  # noqa: E402
+
+GRAPH_PRODUCT = "PROMO"
+
+
+@query("sentiment_mean")
+def _sentiment_mean(spark, sf_dir):
+    return sentiment.sentiment_mean(adapter.social_sentiment(spark, sf_dir))
+
+
+@query("sentiment_series")
+def _sentiment_series(spark, sf_dir):
+    return sentiment.sentiment_series(adapter.social_sentiment(spark, sf_dir))
+
+
+@query("social_weekly")
+def _social_weekly(spark, sf_dir):
+    return sentiment.weekly_sentiment(adapter.social_sentiment(spark, sf_dir))
+
+
+@query("lexicon_sentiment")
+def _lexicon_sentiment(spark, sf_dir):
+    return sentiment.lexicon_sentiment(table(spark, sf_dir, "documents"),
+                                       sentiment.lexicon_frame(spark))
+
+
+@query("interest_index")
+def _interest_index(spark, sf_dir):
+    return sentiment.interest_index(table(spark, sf_dir, "events"))
+
+
+@query("answer_cleanup")
+def _answer_cleanup(spark, sf_dir):
+    return text.answer_cleanup(table(spark, sf_dir, "conversations"))
+
+
+@query("bengali_flag")
+def _bengali_flag(spark, sf_dir):
+    return text.bengali_flag(table(spark, sf_dir, "documents"))
+
+
+@query("json_coalesce")
+def _json_coalesce(spark, sf_dir):
+    return text.json_reply(table(spark, sf_dir, "events"))
+
+
+@query("date_labels")
+def _date_labels(spark, sf_dir):
+    return text.date_labels(table(spark, sf_dir, "orders"), "o_orderdate")
+
+
+# --- forecast, pricing, models ------------------------------------------------------
+
+@query("forecast_daily")
+def _forecast_daily(spark, sf_dir):
+    return fc.forecast(Ctx(spark, sf_dir).tx, grain="day")
+
+
+@query("forecast_row_grain")
+def _forecast_row_grain(spark, sf_dir):
+    return fc.forecast(Ctx(spark, sf_dir).tx, grain="row")
+
+
+@query("forecast_mean")
+def _forecast_mean(spark, sf_dir):
+    return fc.forecast_mean(Ctx(spark, sf_dir).tx)
+
+
+@query("error_by_group")
+def _error_by_group(spark, sf_dir):
+    return fc.error_by_group(Ctx(spark, sf_dir).tx)
+
+
+@query("price_parity")
+def _price_parity(spark, sf_dir):
+    return pricing.price_parity(Ctx(spark, sf_dir).tx)
+
+
+@query("price_elastic")
+def _price_elastic(spark, sf_dir):
+    return pricing.price_elastic(Ctx(spark, sf_dir).tx)
+
+
+@query("price_attribution")
+def _price_attribution(spark, sf_dir):
+    return pricing.price_attribution(Ctx(spark, sf_dir).tx)
+
+
+@query("regression_fit")
+def _regression_fit(spark, sf_dir):
+    return pricing.regression_fit(Ctx(spark, sf_dir).tx)
+
+
+@query("popularity")
+def _popularity(spark, sf_dir):
+    return recommend.popularity(Ctx(spark, sf_dir).tx)
+
+
+@query("recommend_popular")
+def _recommend_popular(spark, sf_dir):
+    return recommend.recommend_popular(Ctx(spark, sf_dir).tx)
+
+
+@query("recommend_als")
+def _recommend_als(spark, sf_dir):
+    return recommend.recommend_als(Ctx(spark, sf_dir).tx)
+
+
+# --- graph and vectors ----------------------------------------------------------------
+
+@query("graph_edges")
+def _graph_edges(spark, sf_dir):
+    return graph.edges(Ctx(spark, sf_dir).tx)
+
+
+@query("graph_nodes")
+def _graph_nodes(spark, sf_dir):
+    return graph.nodes(graph.edges(Ctx(spark, sf_dir).tx))
+
+
+@query("graph_neighbours")
+def _graph_neighbours(spark, sf_dir):
+    return graph.neighbours(graph.edges(Ctx(spark, sf_dir).tx), GRAPH_PRODUCT)
+
+
+@query("graph_insights")
+def _graph_insights(spark, sf_dir):
+    return graph.insights(graph.edges(Ctx(spark, sf_dir).tx))
+
+
+@query("knn_l2")
+def _knn_l2(spark, sf_dir):
+    return vectors.knn_label_centroids(table(spark, sf_dir, "embeddings"))
+
+
+# --- context, catalog, spines ---------------------------------------------------------
+
+@query("dashboard_context")
+def _dashboard_context(spark, sf_dir):
+    return ctxop.dashboard_context(Ctx(spark, sf_dir).tx, adapter.social_sentiment(spark, sf_dir))
+
+
+@query("catalog")
+def _catalog(spark, sf_dir):
+    return catalog_from_parts(table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem"))
+
+
+@query("date_spine")
+def _date_spine(spark, sf_dir):
+    return spine.daily_spine(Ctx(spark, sf_dir).tx)
+
+
+@query("seasonal_boost")
+def _seasonal_boost(spark, sf_dir):
+    return spine.seasonal_boost(Ctx(spark, sf_dir).tx)
+
+
+@query("category_distinct")
+def _category_distinct(spark, sf_dir):
+    return spine.category_distinct(Ctx(spark, sf_dir).tx)
+
+
+# --- sinks read back ------------------------------------------------------------------
+
+@query("csv_round_trip")
+def _csv_round_trip(spark, sf_dir):
+    """S4 then S3: the daily sheet written as CSV and scanned back."""
+    path = scratch_dir(spark, "daily-csv")
+    files.write_csv(export.export_daily(Ctx(spark, sf_dir).tx), path)
+    return files.read_csv(spark, path, DAILY_SALES)
+
+
+@query("append_dedup")
+def _append_dedup(spark, sf_dir):
+    """The weekly sentiment batch appended twice, deduplicated on read."""
+    path = scratch_dir(spark, "weekly-append")
+    batch = sentiment.weekly_sentiment(adapter.social_sentiment(spark, sf_dir))
+    files.write_table(batch, path, "append")
+    files.write_table(batch, path, "append")
+    return files.read_dedup(spark, path, ["week", "product"])
+
+
+@query("records_json")
+def _records_json(spark, sf_dir):
+    """Revenue per product as JSON records (exact decimal revenue)."""
+    from pyspark.sql import functions as F
+    agg = Ctx(spark, sf_dir).tx.groupBy("product").agg(
+        F.sum("total_amount").alias("revenue"), F.count(F.lit(1)).alias("n_rows"))
+    return export.records_json(agg)
