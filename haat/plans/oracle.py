@@ -207,7 +207,7 @@ DECLINING = f"""dc AS (SELECT product, decline FROM (
 SQL["declining_products"] = W(TX, AO, DECLINING) + "SELECT * FROM dc"
 
 SQL["campaign_plan"] = W(TX, AO, BEST_CAMPAIGN, DECLINING, """names AS (SELECT
-  list(product ORDER BY decline DESC, product) AS c FROM dc)""") + f"""SELECT day_name AS best_campaign_day,
+  COALESCE(list(product ORDER BY decline DESC, product), CAST([] AS VARCHAR[])) AS c FROM dc)""") + f"""SELECT day_name AS best_campaign_day,
   (SELECT c FROM names) AS discount_recommendations, {lit(L.RECOMMENDED_DISCOUNT)} AS recommended_discount,
   day_name || {lit(L.CAMPAIGN_ADVICE_1)} || array_to_string((SELECT c FROM names)[1:2], ', ')
     || {lit(L.CAMPAIGN_ADVICE_2)} AS recommendation FROM bc"""
