@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haat.functions.numeric import money, pct_change, rnd, safe_div
+from haat.functions.numeric import money, pct_change, rnd
 from haat.functions.periods import Periods
 
 
@@ -96,21 +96,26 @@ def kpi_sheet(tx: DataFrame, p: Periods) -> DataFrame:
         F.sum("week_sum").alias("week_sum"),
         F.sum("month_sum").alias("month_sum"),
     )
+    # Each piece is one struct-valued scalar subquery, referenced once, so
+    # every sub-plan runs once.
     orders = (tx.groupBy("transaction_id").agg(F.max("user_id").alias("user_id"))
-              .agg(F.count(F.lit(1)).alias("n_orders"),
-                   F.countDistinct("user_id").alias("n_customers")))
-    trend = trending_product(tx, p)
+              .agg(F.struct(F.count(F.lit(1)).alias("n_orders"),
+                            F.countDistinct("user_id").alias("n_customers")).alias("s")))
+    trend = trending_product(tx, p).select(F.struct("name", "growth").alias("s"))
     last = F.coalesce(F.col("last_sum"), F.lit(0))
     prev = F.when(F.col("prev_n") == 0, F.lit(1)).otherwise(F.col("prev_sum"))
     return tot.select(
+        "*", orders.select("s").scalar().alias("_o"), trend.select("s").scalar().alias("_t")
+    ).select(
         rnd(money(F.col("total"))).alias("total_revenue"),
         rnd(pct_change(last, prev)).alias("growth_rate"),
         F.col("n_rows").alias("total_orders"),
-        rnd(safe_div(F.col("total"), orders.select("n_orders").scalar())).alias("avg_order_value"),
-        orders.select("n_customers").scalar().alias("unique_customers"),
+        rnd(F.try_divide(F.col("total").cast("double"), F.col("_o.n_orders").cast("double")))
+        .alias("avg_order_value"),
+        F.col("_o.n_customers").alias("unique_customers"),
         rnd(money(F.coalesce(F.col("today_sum"), F.lit(0)))).alias("today_revenue"),
         rnd(money(F.coalesce(F.col("week_sum"), F.lit(0)))).alias("week_revenue"),
         rnd(money(F.coalesce(F.col("month_sum"), F.lit(0)))).alias("month_revenue"),
-        trend.select("name").scalar().alias("trending_product"),
-        trend.select("growth").scalar().alias("trending_growth"),
+        F.col("_t.name").alias("trending_product"),
+        F.col("_t.growth").alias("trending_growth"),
     )

@@ -58,3 +58,16 @@ def test_upcoming_season_first_rule_wins(spark):
     got = {r["m"]: r["s"] for r in df.select("m", L.upcoming_season(F.col("m")).alias("s")).collect()}
     assert got[3] == L.SEASON_RAMADAN and got[4] == L.SEASON_EID and got[11] == L.SEASON_WINTER
     assert got[6] == L.SEASON_NORMAL
+
+
+def test_json_reply_equals_full_path_probe(spark):
+    from haat.functions.text import REPLY_SHAPES
+    from haat.operators.text import json_reply
+    docs = ['{"candidates": [{"output": "o1", "text": "t1"}], "k": 1}', '{"output": [{"text": 7}]}',
+            '{"outputs": [], "response": "r"}', '{"response": {"a": [1, 2]}}', '{"k": {"x": 1}}',
+            '{"candidates": "notalist", "k": 3}', 'not json', '{}', None]
+    ev = spark.createDataFrame(list(enumerate(docs)), "event_id long, props string")
+    got = {r["event_id"]: r["reply"] for r in json_reply(ev).collect()}
+    exp = {r["event_id"]: r["x"] for r in ev.select(
+        "event_id", first_json_value(F.col("props"), REPLY_SHAPES + ["$.k"]).alias("x")).collect()}
+    assert got == exp
