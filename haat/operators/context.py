@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 
 from haat.functions.numeric import fmt2
 from haat.operators import forecast, graph, pricing, recommend, sentiment
+from haat.operators.daily import materialized_daily
 
 
-def dashboard_context(tx: DataFrame, sent: DataFrame) -> DataFrame:
-    prods = recommend.popularity(tx).select("product")
-    fc = forecast.forecast_latest(tx).select("product", F.col("yhat").alias("f_yhat"))
-    pr = pricing.price_parity(tx).select("product", "current_price", "optimized_price")
+def dashboard_context(tx: DataFrame, sent: DataFrame, daily: DataFrame | None = None) -> DataFrame:
+    """``daily`` is the (ideally checkpointed) daily cube of ``tx``; forecast,
+    price and popularity read it, only the graph needs the facts again."""
+    daily = daily if daily is not None else materialized_daily(tx)
+    prods = recommend.popularity(daily).select("product")
+    fc = forecast.forecast_latest(daily).select("product", F.col("yhat").alias("f_yhat"))
+    pr = pricing.price_parity(daily).select("product", "current_price", "optimized_price")
     se = sentiment.sentiment_mean(sent).select("product", F.col("sentiment").alias("s_avg"))
     gi = graph.insights(graph.edges(tx)).select("product", "insight")
-    recs = (recommend.recommend_popular(tx, 5)
+    recs = (recommend.recommend_popular(daily, 5)
             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "product"))),
                                           lambda s: s["product"]), ", ").alias("r")))
     j = (prods.join(fc, "product", "left").join(pr, "product", "left")

@@ -1,18 +1,19 @@
 """Demand forecast for all products at once.
 
 The reference fits one Prophet model per request.  Here one Spark job fits
-every product: a linear trend (``regr_slope``/``regr_intercept``), then a
-weekday effect and a month effect as mean residuals, and an 80 % band of
-±1.2816 residual standard deviations (the default interval width of the
-public Prophet API).  The horizon is generated directly (no tail needed).
-
-Grain: ``'day'`` fits daily unit totals; ``'row'`` fits one observation per
-transaction row, as the reference feeds its model.
-
-Plan shape: the observations are aggregated first (one row per product-day,
-or the raw rows at row grain), then three small grouped tables (fit,
-weekday effect, month effect — at most products × 12 rows) are joined back;
-AQE broadcasts them because their measured size is tiny.
+every product: a linear trend, then a weekday effect and a month effect as
+mean residuals, and an 80 % band of ±1.2816 residual standard deviations
+(the default interval width of the public Prophet API).  The horizon is
+generated directly (no tail needed).
+
+Grain: ``'day'`` fits one observation per product-day (its unit total);
+``'row'`` fits one observation per transaction row, as the reference feeds
+its model.  Both are computed from the daily cube (``operators.daily``):
+a row-grain fit only needs, per day, the number of rows ``w``, the sum
+``sy`` and the sum of squares ``syy`` of the units — ordinary least squares,
+group means and the residual variance are all weighted sums of these.  So
+the raw facts are read once, whatever the grain, and every later step works
+on at most products × days rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haat.functions.numeric import rnd
+from haat.operators.daily import as_daily
 
 ORIGIN = _dt.date(2000, 1, 1)
 Z80 = 1.2816
@@ -32,39 +34,62 @@ def _t(d):
     return F.datediff(d, F.lit(ORIGIN)).cast("double")
 
 
-def observations(tx: DataFrame, grain: str = "day") -> DataFrame:
+def observations(daily: DataFrame, grain: str = "day") -> DataFrame:
+    """Per product-day: weight ``w``, ``sy``, ``syy`` of the observations."""
+    qty = F.col("qty").cast("double")
     if grain == "day":
-        return tx.groupBy("product", "dt").agg(
-            F.sum("quantity").cast("double").alias("y"), F.count(F.lit(1)).alias("n_rows"))
-    if grain == "row":
-        return tx.select("product", "dt", F.col("quantity").cast("double").alias("y"),
-                         F.lit(1).cast("long").alias("n_rows"))
-    raise ValueError("grain must be 'day' or 'row'")
-
-
-def fit(tx: DataFrame, grain: str = "day", min_rows: int = 10) -> dict[str, DataFrame]:
-    """Fit trend and effects; returns the model tables and residual frame."""
-    obs = observations(tx, grain).withColumn("t", _t(F.col("dt")))
-    trend = (obs.groupBy("product").agg(
-        F.regr_slope("y", "t").alias("b"), F.regr_intercept("y", "t").alias("a"),
-        F.sum("n_rows").alias("n_rows"), F.max("dt").alias("last_dt"))
-        .where(F.col("n_rows") >= min_rows))                      # P13 guard
-    r1 = obs.join(trend.select("product", "a", "b"), "product").withColumn(
-        "r1", F.col("y") - (F.col("a") + F.col("b") * F.col("t")))
-    r1 = r1.withColumn("wd", F.weekday("dt")).withColumn("mo", F.month("dt"))
-    wk = r1.groupBy("product", "wd").agg(F.avg("r1").alias("w"))
-    r2 = r1.join(wk, ["product", "wd"]).withColumn("r2", F.col("r1") - F.col("w"))
-    mo = r2.groupBy("product", "mo").agg(F.avg("r2").alias("m"))
-    r3 = r2.join(mo, ["product", "mo"]).withColumn("r3", F.col("r2") - F.col("m"))
-    sig = r3.groupBy("product").agg(F.stddev_samp("r3").alias("sigma"))
-    return {"trend": trend, "weekday": wk, "month": mo, "sigma": sig, "resid": r3}
-
-
-def forecast(tx: DataFrame, horizon: int = 30, grain: str = "day", z: float = Z80,
+        w, sy, syy = F.lit(1.0), qty, qty * qty
+    elif grain == "row":
+        w, sy, syy = F.col("n_rows").cast("double"), qty, F.col("qty_sq").cast("double")
+    else:
+        raise ValueError("grain must be 'day' or 'row'")
+    return daily.select("product", "dt", w.alias("w"), sy.alias("sy"), syy.alias("syy"),
+                        F.col("n_rows"), _t(F.col("dt")).alias("t"),
+                        F.weekday("dt").alias("wd"), F.month("dt").alias("mo"))
+
+
+def fit(tx_or_daily: DataFrame, grain: str = "day", min_rows: int = 10) -> dict[str, DataFrame]:
+    """Trend (centred least squares), weekday and month effects, residual
+    spread; each table has at most products × 12 rows (the effects) or
+    products × days rows (the per-day residual sums)."""
+    obs = observations(as_daily(tx_or_daily), grain)
+    m1 = (obs.groupBy("product").agg(
+        F.sum("w").alias("N"), F.sum(F.col("w") * F.col("t")).alias("St"),
+        F.sum("sy").alias("Sy"), F.sum("n_rows").alias("n_rows"), F.max("dt").alias("last_dt"))
+        .where(F.col("n_rows") >= min_rows)                        # P13 guard
+        .select("product", "N", "last_dt", (F.col("St") / F.col("N")).alias("tbar"),
+                (F.col("Sy") / F.col("N")).alias("ybar")))
+    dev = F.col("t") - F.col("tbar")
+    m2 = obs.join(m1, "product").groupBy("product", "tbar", "ybar", "last_dt").agg(
+        F.sum(F.col("w") * dev * dev).alias("Sxx"), F.sum(dev * F.col("sy")).alias("Sxy"))
+    b = F.when(F.col("Sxx") > 0, F.col("Sxy") / F.col("Sxx"))
+    trend = m2.select("product", "last_dt", b.alias("b"),
+                      (F.col("ybar") - b * F.col("tbar")).alias("a"))
+    g = obs.join(trend.select("product", "a", "b"), "product").withColumn(
+        "r1", F.col("sy") - F.col("w") * (F.col("a") + F.col("b") * F.col("t")))
+    wk = g.groupBy("product", "wd").agg((F.sum("r1") / F.sum("w")).alias("w_eff"))
+    g2 = g.join(wk, ["product", "wd"]).withColumn("r2", F.col("r1") - F.col("w") * F.col("w_eff"))
+    mo = g2.groupBy("product", "mo").agg((F.sum("r2") / F.sum("w")).alias("m_eff"))
+    g3 = g2.join(mo, ["product", "mo"]).withColumn(
+        "c", F.col("a") + F.col("b") * F.col("t") + F.col("w_eff") + F.col("m_eff"))
+    # per day: sum and sum of squares of the residuals y_i - c
+    s1 = F.col("sy") - F.col("w") * F.col("c")
+    s2 = F.when(F.col("w") == 1.0, s1 * s1).otherwise(
+        F.col("syy") - 2.0 * F.col("c") * F.col("sy") + F.col("w") * F.col("c") * F.col("c"))
+    res = g3.select("product", "dt", "w", "sy", "c", s1.alias("s1"), s2.alias("s2"))
+    sig = res.groupBy("product").agg(F.sum("w").alias("N"), F.sum("s1").alias("S"),
+                                     F.sum("s2").alias("SS"))
+    var = F.greatest(F.lit(0.0), (F.col("SS") - F.col("S") * F.col("S") / F.col("N"))
+                     / (F.col("N") - 1.0))
+    sig = sig.select("product", F.when(F.col("N") > 1, F.sqrt(var)).alias("sigma"))
+    return {"trend": trend, "weekday": wk, "month": mo, "sigma": sig, "resid": res}
+
+
+def forecast(tx_or_daily: DataFrame, horizon: int = 30, grain: str = "day", z: float = Z80,
              min_rows: int = 10, raw: bool = False) -> DataFrame:
     """``product, ds, yhat, yhat_lower, yhat_upper`` for the ``horizon`` days
     after each product's last observed date."""
-    m = fit(tx, grain, min_rows)
+    m = fit(tx_or_daily, grain, min_rows)
     fut = m["trend"].select(
         "product", "a", "b",
         F.explode(F.sequence(F.date_add(F.col("last_dt"), 1),
@@ -73,8 +98,8 @@ def forecast(tx: DataFrame, horizon: int = 30, grain: str = "day", z: float = Z8
            .join(m["weekday"], ["product", "wd"], "left")
            .join(m["month"], ["product", "mo"], "left")
            .join(m["sigma"], "product", "left"))
-    yhat = (F.col("a") + F.col("b") * _t(F.col("ds")) + F.coalesce(F.col("w"), F.lit(0.0))
-            + F.coalesce(F.col("m"), F.lit(0.0)))
+    yhat = (F.col("a") + F.col("b") * _t(F.col("ds")) + F.coalesce(F.col("w_eff"), F.lit(0.0))
+            + F.coalesce(F.col("m_eff"), F.lit(0.0)))
     band = F.lit(z) * F.coalesce(F.col("sigma"), F.lit(0.0))
     out = fut.select("product", "ds", yhat.alias("yhat"), (yhat - band).alias("yhat_lower"),
                      (yhat + band).alias("yhat_upper"))
@@ -85,25 +110,25 @@ def forecast(tx: DataFrame, horizon: int = 30, grain: str = "day", z: float = Z8
                       rnd(F.col("yhat_upper")).alias("yhat_upper"))
 
 
-def forecast_mean(tx: DataFrame, horizon: int = 30, grain: str = "day") -> DataFrame:
+def forecast_mean(tx_or_daily: DataFrame, horizon: int = 30, grain: str = "day") -> DataFrame:
     """Mean of the horizon's forecasts per product."""
-    f = forecast(tx, horizon, grain, raw=True)
+    f = forecast(tx_or_daily, horizon, grain, raw=True)
     return f.groupBy("product").agg(rnd(F.avg("yhat")).alias("mean_yhat"),
                                     F.count(F.lit(1)).alias("horizon"))
 
 
-def forecast_latest(tx: DataFrame, horizon: int = 30, grain: str = "day") -> DataFrame:
+def forecast_latest(tx_or_daily: DataFrame, horizon: int = 30, grain: str = "day") -> DataFrame:
     """The last forecast row per product (``max_by(yhat, ds)``)."""
-    f = forecast(tx, horizon, grain, raw=True)
+    f = forecast(tx_or_daily, horizon, grain, raw=True)
     return f.groupBy("product").agg(F.max("ds").alias("ds"), F.max_by("yhat", "ds").alias("yhat"))
 
 
-def error_by_group(tx: DataFrame, grain: str = "day") -> DataFrame:
-    """Mean absolute in-sample error of the fitted model per product
-    (the sensitive group) plus the overall value (group ``'__overall__'``)."""
-    r = fit(tx, grain)["resid"]
+def error_by_group(tx_or_daily: DataFrame) -> DataFrame:
+    """Mean absolute in-sample error of the day-grain model per
+    product (the sensitive group) plus the overall value (``'__overall__'``)."""
+    r = fit(tx_or_daily, "day")["resid"]
     per = r.groupBy(F.col("product").alias("group")).agg(
-        F.sum(F.abs("r3")).alias("abs_sum"), F.count(F.lit(1)).alias("n"))
+        F.sum(F.abs("s1")).alias("abs_sum"), F.count(F.lit(1)).alias("n"))
     overall = per.agg(F.lit("__overall__").alias("group"), F.sum("abs_sum").alias("abs_sum"),
                       F.sum("n").alias("n"))
     both = per.unionByName(overall)

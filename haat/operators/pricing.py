@@ -16,22 +16,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haat.functions.numeric import rnd, safe_div
+from haat.operators.daily import as_daily
 
 ACTIONS = (-5, 5)
 COST_RATIO = 0.70
 
 
-def daily_price_demand(tx: DataFrame) -> DataFrame:
-    """Per product-day: units sold and mean unit price."""
-    return tx.groupBy("product", "dt").agg(
-        F.sum("quantity").cast("double").alias("q"),
-        (F.sum("price") / F.count(F.lit(1))).alias("p"))
+def daily_price_demand(tx_or_daily: DataFrame) -> DataFrame:
+    """Per product-day: units sold and mean unit price (from the daily cube)."""
+    d = as_daily(tx_or_daily)
+    return d.select("product", "dt", F.col("qty").cast("double").alias("q"),
+                    (F.col("price_sum") / F.col("n_rows")).alias("p"))
 
 
-def current_price(tx: DataFrame) -> DataFrame:
+def current_price(tx_or_daily: DataFrame) -> DataFrame:
     """Mean unit price per product (unrounded)."""
-    return tx.groupBy("product").agg(
-        safe_div(F.sum("price"), F.count(F.lit(1))).alias("current_raw"))
+    d = as_daily(tx_or_daily)
+    return d.groupBy("product").agg(
+        safe_div(F.sum("price_sum"), F.sum("n_rows")).alias("current_raw"))
 
 
 def _grid(df: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def popularity(tx: DataFrame) -> DataFrame:
+def popularity(tx_or_daily: DataFrame) -> DataFrame:
     """Rows per product (``value_counts``)."""
-    return tx.groupBy("product").agg(F.count(F.lit(1)).alias("n"))
+    if "n_rows" in tx_or_daily.columns:
+        return tx_or_daily.groupBy("product").agg(F.sum("n_rows").alias("n"))
+    return tx_or_daily.groupBy("product").agg(F.count(F.lit(1)).alias("n"))
 
 
 def recommend_popular(tx: DataFrame, n: int = 5) -> DataFrame:
