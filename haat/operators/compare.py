@@ -14,6 +14,12 @@ def parse_products(param: str) -> list[str]:
 
 
 def _restrict(tx: DataFrame, products) -> DataFrame:
+    """A short list is an ``IN`` filter (pushed to the scan where the
+    column comes from one); a DataFrame of products is a ``left_semi`` join,
+    so long lists never pass through the driver."""
+    if isinstance(products, DataFrame):
+        return tx.join(products.select(F.col(products.columns[0]).alias("product")).distinct(),
+                       "product", "left_semi")
     if isinstance(products, str):
         products = parse_products(products)
     return tx.where(F.col("product").isin(list(products)))

@@ -34,6 +34,12 @@ def _t(d):
     return F.datediff(d, F.lit(ORIGIN)).cast("double")
 
 
+def forecast_input(tx: DataFrame, product: str) -> DataFrame:
+    """One product's rows as the ``(ds, y)`` frame a forecaster takes."""
+    return tx.where(F.col("product") == product).select(
+        F.col("dt").alias("ds"), F.col("quantity").alias("y"))
+
+
 def observations(daily: DataFrame, grain: str = "day") -> DataFrame:
     """Per product-day: weight ``w``, ``sy``, ``syy`` of the observations."""
     qty = F.col("qty").cast("double")

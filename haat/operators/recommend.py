@@ -47,3 +47,20 @@ def recommend_als(tx: DataFrame, n: int = 5, rank: int = 8, max_iter: int = 10,
     return recs.join(items, recs.rec.item == items.item).select(
         "user_id", (F.col("pos") + 1).alias("rank"), "product",
         F.col("rec.rating").alias("score"))
+
+
+def user_top_products(tx: DataFrame, n: int = 3) -> DataFrame:
+    """Per user, the n products bought in the largest quantity (ties by
+    name).  The window sees one row per (user, product) — at most the number
+    of products per user — and the ``rank <= n`` filter is applied as a
+    per-task group limit before the shuffle."""
+    scores = tx.groupBy("user_id", "product").agg(F.sum("quantity").alias("score"))
+    w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("product").asc())
+    return (scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+            .select("user_id", "rank", "product", "score"))
+
+
+def product_list(tx: DataFrame) -> DataFrame:
+    """The distinct products (first-seen order is not defined on a
+    distributed table, so by name)."""
+    return tx.select("product").distinct().orderBy("product")

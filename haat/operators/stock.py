@@ -36,4 +36,5 @@ def stock_alert(tx: DataFrame, p: Periods, current_stock: int = 100,
                F.concat(F.lit(L.STOCK_ORDER_PREFIX), F.col("reorder_point").cast("string"),
                         F.lit(L.STOCK_ORDER_SUFFIX)))
         .otherwise(F.lit(L.STOCK_OK)),
-    ).withColumn("badge", L.status_badge(F.col("status")))
+    ).withColumn("badge", L.status_badge(F.col("status"))) \
+        .orderBy("days_until_stockout", "product")              # T6 (at most one row per product)

@@ -470,3 +470,14 @@ SQL["csv_round_trip"] = SQL["export_daily"]
 
 SQL["records_json"] = W(TX) + """SELECT to_json({'product': product, 'revenue': SUM(total_amount),
   'n_rows': COUNT(*)}) AS record FROM tx GROUP BY product"""
+
+
+SQL["forecast_input"] = W(TX) + f"""SELECT dt AS ds, quantity AS y FROM tx WHERE product = {lit(Q.FORECAST_PRODUCT)}"""
+
+SQL["user_top_products"] = W(TX) + """SELECT user_id, rank, product, score FROM (
+  SELECT user_id, product, score,
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, product) AS INTEGER) AS rank
+  FROM (SELECT user_id, product, CAST(SUM(quantity) AS BIGINT) AS score FROM tx GROUP BY 1, 2) a) b
+WHERE rank <= 3"""
+
+SQL["product_list"] = W(TX) + "SELECT DISTINCT product FROM tx"

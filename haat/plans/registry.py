@@ -371,3 +371,22 @@ def _records_json(spark, sf_dir):
     agg = Ctx(spark, sf_dir).tx.groupBy("product").agg(
         F.sum("total_amount").alias("revenue"), F.count(F.lit(1)).alias("n_rows"))
     return export.records_json(agg)
+
+
+# --- projections and rankings ------------------------------------------------------------
+FORECAST_PRODUCT = "PROMO"
+
+
+@query("forecast_input")
+def _forecast_input(spark, sf_dir):
+    return fc.forecast_input(Ctx(spark, sf_dir).tx, FORECAST_PRODUCT)
+
+
+@query("user_top_products")
+def _user_top_products(spark, sf_dir):
+    return recommend.user_top_products(Ctx(spark, sf_dir).tx)
+
+
+@query("product_list")
+def _product_list(spark, sf_dir):
+    return recommend.product_list(Ctx(spark, sf_dir).tx)

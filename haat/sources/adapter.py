@@ -80,3 +80,33 @@ def resolve_as_of(spark: SparkSession, sf_dir: str, as_of=None) -> _dt.date:
 
 def lit_date(d: _dt.date) -> Column:
     return F.lit(d).cast("date")
+
+
+def conform_sales(df: DataFrame) -> DataFrame:
+    """Bring a reference-shaped sales frame onto ``schemas.TRANSACTIONS``.
+
+    Accepts the 4-, 5- and 9-column layouts (``date`` as text or date,
+    ``product``, ``quantity``, ``price`` and optionally ``user_id``,
+    ``transaction_id``, ``category``, ``product_name``, ``discount_applied``).
+    Missing optional columns are decided once, while the plan is built (P14):
+    ``transaction_id`` falls back to a row id, ``user_id`` to NULL.
+    """
+    cols = set(df.columns)
+    price = F.col("price").cast("double")
+    qty = F.col("quantity").cast("int")
+    dt = F.to_date(F.col("date"))                                   # P4
+    opt = (lambda name, default: F.col(name) if name in cols else default)
+    return df.select(
+        opt("transaction_id", F.monotonically_increasing_id()).cast("long").alias("transaction_id"),
+        dt.cast("timestamp_ntz").alias("order_ts"),
+        dt.alias("dt"),
+        F.col("product").cast("string").alias("product"),
+        opt("category", F.col("product")).cast("string").alias("category"),
+        opt("category", F.col("product")).cast("string").alias("brand"),
+        opt("product_name", F.col("product")).cast("string").alias("product_name"),
+        qty.alias("quantity"),
+        price.alias("price"),
+        (qty * price).cast("decimal(18,2)").alias("total_amount"),       # P2
+        opt("user_id", F.lit(None)).cast("long").alias("user_id"),
+        opt("discount_applied", F.lit(None)).cast("boolean").alias("discount_applied"),
+    )
