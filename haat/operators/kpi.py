@@ -78,12 +78,13 @@ def trending_product(tx: DataFrame, p: Periods) -> DataFrame:
             .select("name", "growth"))
 
 
-def kpi_sheet(tx: DataFrame, p: Periods) -> DataFrame:
+def kpi_sheet(tx: DataFrame, p: Periods, approx_customers: bool = False) -> DataFrame:
     """K1: the one-row KPI sheet.
 
     Plan: one grouped pass per product (6 rows out), one pass per order
     (reuses the join's order-key partitioning), and scalar subqueries to put
-    the pieces into one row — no cross join.
+    the pieces into one row — no cross join.  ``approx_customers`` swaps the
+    exact distinct count for HyperLogLog++ (A3 option; no shuffle by user).
     """
     tot = product_periods(tx, p).agg(
         F.sum("total").alias("total"),
@@ -100,7 +101,8 @@ def kpi_sheet(tx: DataFrame, p: Periods) -> DataFrame:
     # every sub-plan runs once.
     orders = (tx.groupBy("transaction_id").agg(F.max("user_id").alias("user_id"))
               .agg(F.struct(F.count(F.lit(1)).alias("n_orders"),
-                            F.countDistinct("user_id").alias("n_customers")).alias("s")))
+                            (F.approx_count_distinct("user_id") if approx_customers
+                             else F.countDistinct("user_id")).alias("n_customers")).alias("s")))
     trend = trending_product(tx, p).select(F.struct("name", "growth").alias("s"))
     last = F.coalesce(F.col("last_sum"), F.lit(0))
     prev = F.when(F.col("prev_n") == 0, F.lit(1)).otherwise(F.col("prev_sum"))

@@ -36,6 +36,14 @@ BOOST_RULES = [
 ]
 WEEKEND_DAYS = (4, 5)          # Friday, Saturday (Monday = 0)
 WEEKEND_FACTOR = 1.2
+# FIXED VALUES — the small generator's rules and weekend factor.
+BOOST_RULES_SMALL = [
+    ((3, 4), ("food", "clothing", "cosmetics"), 1.8),
+    ((4, 5, 7, 8), ("clothing", "cosmetics", "toys", "mobile"), 2.2),
+    ((11, 12, 1, 2), ("electronics", "clothing", "home_exercise"), 1.4),
+    ((1,), ("mobile", "electronics", "exercise_accessories", "home_exercise"), 1.6),
+]
+WEEKEND_FACTOR_SMALL = 1.3
 
 
 def seasonal_boost_col(dt, category, rules=BOOST_RULES, weekend=WEEKEND_DAYS,

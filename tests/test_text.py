@@ -71,3 +71,20 @@ def test_json_reply_equals_full_path_probe(spark):
     exp = {r["event_id"]: r["x"] for r in ev.select(
         "event_id", first_json_value(F.col("props"), REPLY_SHAPES + ["$.k"]).alias("x")).collect()}
     assert got == exp
+
+
+def test_boost_rules_last_wins_and_weekend(spark):
+    import datetime as dt
+    from haat.operators.spine import (BOOST_RULES, BOOST_RULES_SMALL, WEEKEND_FACTOR_SMALL,
+                                      seasonal_boost_col)
+    rows = [(dt.date(2024, 4, 2), "clothing"),      # Tuesday, Ramadan and Eid → Eid wins
+            (dt.date(2024, 1, 2), "electronics"),   # Tuesday, winter and new year → new year
+            (dt.date(2024, 1, 5), "electronics"),   # Friday → × weekend
+            (dt.date(2024, 6, 4), "food")]          # no rule
+    df = spark.createDataFrame(rows, "d date, c string")
+    big = [r["b"] for r in df.select(seasonal_boost_col(F.col("d"), F.col("c")).alias("b")).collect()]
+    assert big == [2.3, 1.7, 1.7 * 1.2, 1.0]
+    small = [r["b"] for r in df.select(seasonal_boost_col(
+        F.col("d"), F.col("c"), BOOST_RULES_SMALL, weekend_factor=WEEKEND_FACTOR_SMALL).alias("b")).collect()]
+    assert small == [2.2, 1.6, 1.6 * 1.3, 1.0]
+    assert len(BOOST_RULES) == len(BOOST_RULES_SMALL) == 4
