@@ -468,8 +468,8 @@ SQL["category_distinct"] = W(TX) + """SELECT category, COUNT(DISTINCT product_na
 
 SQL["csv_round_trip"] = SQL["export_daily"]
 
-SQL["records_json"] = W(TX) + """SELECT to_json({'product': product, 'revenue': SUM(total_amount),
-  'n_rows': COUNT(*)}) AS record FROM tx GROUP BY product"""
+SQL["records_json"] = W(TX) + """SELECT CAST(to_json({'product': product, 'revenue': SUM(total_amount),
+  'n_rows': COUNT(*)}) AS VARCHAR) AS record FROM tx GROUP BY product"""
 
 
 SQL["forecast_input"] = W(TX) + f"""SELECT dt AS ds, quantity AS y FROM tx WHERE product = {lit(Q.FORECAST_PRODUCT)}"""
