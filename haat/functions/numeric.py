@@ -58,3 +58,9 @@ def stock_status(days: Column) -> Column:
 def split_trim(c: Column, sep: str = ",") -> Column:
     """Comma list → array of trimmed items."""
     return F.transform(F.split(c, sep), lambda x: F.trim(x))
+
+
+def line_count(df) -> Column:
+    """Number of transaction lines: ``count(*)`` over line rows, or the sum
+    of ``n_lines`` over pre-aggregated order rows (``adapter.order_totals``)."""
+    return F.sum("n_lines") if "n_lines" in df.columns else F.count(F.lit(1))

@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haat.functions import labels as L
-from haat.functions.numeric import money, rnd, safe_div
+from haat.functions.numeric import line_count, money, rnd, safe_div
 
 
 def rfm(tx: DataFrame, as_of: _dt.date) -> DataFrame:
     """Recency (days since the last purchase), frequency (rows) and
-    monetary value (exact sum) per user — one grouped pass."""
+    monetary value (exact sum) per user — one grouped pass.  Works on line
+    rows or on ``order_totals`` (one row per order, lines pre-summed)."""
     return tx.groupBy("user_id").agg(
         F.datediff(F.lit(as_of), F.max("dt")).alias("recency"),
-        F.count(F.lit(1)).alias("frequency"),
+        line_count(tx).alias("frequency"),
         F.sum("total_amount").alias("monetary_dec"),
     ).select("user_id", "recency", "frequency", money(F.col("monetary_dec")).alias("monetary"))
 

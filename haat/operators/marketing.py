@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haat.functions import labels as L
-from haat.functions.numeric import rnd, safe_div
+from haat.functions.numeric import line_count, rnd, safe_div
 from haat.functions.periods import Periods
 from haat.functions.text import first_two_joined
 
@@ -15,7 +15,7 @@ def best_campaign_day(tx: DataFrame) -> DataFrame:
     """Weekday (Monday = 0) with the highest *mean line* revenue;
     ties go to the earlier weekday."""
     agg = tx.groupBy(F.weekday("dt").alias("day_num")).agg(
-        F.sum("total_amount").alias("s"), F.count(F.lit(1)).alias("n"))
+        F.sum("total_amount").alias("s"), line_count(tx).alias("n"))
     scored = agg.select("day_num", safe_div(F.col("s"), F.col("n")).alias("mean_raw"))
     return (scored.orderBy(F.col("mean_raw").desc(), F.col("day_num").asc()).limit(1)
             .select("day_num", L.pick(L.WEEKDAYS_BN, F.col("day_num")).alias("day_name"),

@@ -22,6 +22,16 @@ class Ctx:
     def tx(self) -> DataFrame:
         return adapter.transactions(self.spark, self.sf_dir)
 
+    @property
+    def lines(self) -> DataFrame:
+        """Line rows without order columns (no orders join)."""
+        return adapter.lines(self.spark, self.sf_dir)
+
+    @property
+    def orders(self) -> DataFrame:
+        """One row per order, lines pre-aggregated before the orders join."""
+        return adapter.order_totals(self.spark, self.sf_dir)
+
     @property
     def as_of(self) -> _dt.date:
         if self._as_of is None:

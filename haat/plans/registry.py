@@ -32,12 +32,12 @@ def query(name: str):
 
 @query("top_products")
 def _top_products(spark, sf_dir):
-    return kpi.top_products(Ctx(spark, sf_dir).tx)
+    return kpi.top_products(Ctx(spark, sf_dir).lines)
 
 
 @query("revenue_by_product")
 def _revenue_by_product(spark, sf_dir):
-    return kpi.revenue_by_product(Ctx(spark, sf_dir).tx)
+    return kpi.revenue_by_product(Ctx(spark, sf_dir).lines)
 
 
 @query("kpi_sheet")
@@ -60,22 +60,22 @@ def _trending_product(spark, sf_dir):
 
 @query("weekday_pattern")
 def _weekday_pattern(spark, sf_dir):
-    return trends.weekday_pattern(Ctx(spark, sf_dir).tx)
+    return trends.weekday_pattern(Ctx(spark, sf_dir).orders)
 
 
 @query("best_day")
 def _best_day(spark, sf_dir):
-    return trends.best_day(Ctx(spark, sf_dir).tx)
+    return trends.best_day(Ctx(spark, sf_dir).orders)
 
 
 @query("mom_growth")
 def _mom_growth(spark, sf_dir):
-    return trends.mom_growth(Ctx(spark, sf_dir).tx)
+    return trends.mom_growth(Ctx(spark, sf_dir).orders)
 
 
 @query("monthly_revenue")
 def _monthly_revenue(spark, sf_dir):
-    return trends.monthly_revenue(Ctx(spark, sf_dir).tx)
+    return trends.monthly_revenue(Ctx(spark, sf_dir).orders)
 
 
 @query("season_top")
@@ -85,7 +85,7 @@ def _season_top(spark, sf_dir):
 
 @query("peak_month")
 def _peak_month(spark, sf_dir):
-    return seasonal.peak_month(Ctx(spark, sf_dir).tx)
+    return seasonal.peak_month(Ctx(spark, sf_dir).orders)
 
 
 @query("upcoming_season")
@@ -102,34 +102,34 @@ def _stock_alert(spark, sf_dir):
 @query("rfm")
 def _rfm(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return customers.rfm(c.tx, c.as_of)
+    return customers.rfm(c.orders, c.as_of)
 
 
 @query("top_customers")
 def _top_customers(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return customers.top_customers(c.tx, c.as_of)
+    return customers.top_customers(c.orders, c.as_of)
 
 
 @query("customer_summary")
 def _customer_summary(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return customers.customer_summary(c.tx, c.as_of)
+    return customers.customer_summary(c.orders, c.as_of)
 
 
 @query("profit_by_product")
 def _profit_by_product(spark, sf_dir):
-    return profit.profit_by_product(Ctx(spark, sf_dir).tx)
+    return profit.profit_by_product(Ctx(spark, sf_dir).lines)
 
 
 @query("profit_summary")
 def _profit_summary(spark, sf_dir):
-    return profit.profit_summary(Ctx(spark, sf_dir).tx)
+    return profit.profit_summary(Ctx(spark, sf_dir).lines)
 
 
 @query("best_campaign_day")
 def _best_campaign_day(spark, sf_dir):
-    return marketing.best_campaign_day(Ctx(spark, sf_dir).tx)
+    return marketing.best_campaign_day(Ctx(spark, sf_dir).orders)
 
 
 @query("declining_products")
@@ -146,17 +146,17 @@ def _campaign_plan(spark, sf_dir):
 
 @query("compare_products")
 def _compare_products(spark, sf_dir):
-    return compare.compare_products(Ctx(spark, sf_dir).tx, COMPARE_PRODUCTS)
+    return compare.compare_products(Ctx(spark, sf_dir).lines, COMPARE_PRODUCTS)
 
 
 @query("comparison_stats")
 def _comparison_stats(spark, sf_dir):
-    return compare.comparison_stats(Ctx(spark, sf_dir).tx, COMPARE_PRODUCTS)
+    return compare.comparison_stats(Ctx(spark, sf_dir).lines, COMPARE_PRODUCTS)
 
 
 @query("export_summary")
 def _export_summary(spark, sf_dir):
-    return export.export_summary(Ctx(spark, sf_dir).tx)
+    return export.export_summary(Ctx(spark, sf_dir).lines)
 
 
 @query("export_daily")
@@ -277,12 +277,12 @@ def _regression_fit(spark, sf_dir):
 
 @query("popularity")
 def _popularity(spark, sf_dir):
-    return recommend.popularity(Ctx(spark, sf_dir).tx)
+    return recommend.popularity(Ctx(spark, sf_dir).lines)
 
 
 @query("recommend_popular")
 def _recommend_popular(spark, sf_dir):
-    return recommend.recommend_popular(Ctx(spark, sf_dir).tx)
+    return recommend.recommend_popular(Ctx(spark, sf_dir).lines)
 
 
 @query("recommend_als")
@@ -341,7 +341,7 @@ def _seasonal_boost(spark, sf_dir):
 
 @query("category_distinct")
 def _category_distinct(spark, sf_dir):
-    return spine.category_distinct(Ctx(spark, sf_dir).tx)
+    return spine.category_distinct(Ctx(spark, sf_dir).lines)
 
 
 # --- sinks read back ------------------------------------------------------------------
@@ -368,7 +368,7 @@ def _append_dedup(spark, sf_dir):
 def _records_json(spark, sf_dir):
     """Revenue per product as JSON records (exact decimal revenue)."""
     from pyspark.sql import functions as F
-    agg = Ctx(spark, sf_dir).tx.groupBy("product").agg(
+    agg = Ctx(spark, sf_dir).lines.groupBy("product").agg(
         F.sum("total_amount").alias("revenue"), F.count(F.lit(1)).alias("n_rows"))
     return export.records_json(agg)
 
@@ -389,4 +389,4 @@ def _user_top_products(spark, sf_dir):
 
 @query("product_list")
 def _product_list(spark, sf_dir):
-    return recommend.product_list(Ctx(spark, sf_dir).tx)
+    return recommend.product_list(Ctx(spark, sf_dir).lines)
