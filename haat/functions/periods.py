@@ -35,6 +35,16 @@ class Periods:
         """Both windows together (for pruning the scan)."""
         return dt > self._d(2 * self.window_days)
 
+    def where_last(self, df):
+        """Rows of the trailing window.  On a month-partitioned fact table
+        (``layout.write_fact_table``) the matching ``month`` predicate is
+        added so whole partitions are pruned, not only row groups."""
+        out = df.where(self.last(F.col("dt")))
+        if "month" in df.columns:
+            lo = self.as_of - _dt.timedelta(days=self.window_days - 1)
+            out = out.where(F.col("month") >= F.lit(lo.replace(day=1)))
+        return out
+
     def today(self, dt: Column) -> Column:
         return dt == F.lit(self.as_of)
 

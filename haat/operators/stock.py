@@ -15,7 +15,7 @@ def stock_alert(tx: DataFrame, p: Periods, current_stock: int = 100,
     """Per product with sales in the trailing window: mean of daily unit
     totals (days with sales only), days until stock-out, reorder point and a
     status band.  The window filter is pushed into the orders scan."""
-    recent = tx.where(p.last(F.col("dt")))
+    recent = p.where_last(tx)
     daily = recent.groupBy("product", "dt").agg(F.sum("quantity").alias("q"))
     per = daily.groupBy("product").agg(
         F.sum("q").alias("total_sold_30d"), F.count(F.lit(1)).alias("n_days"))

@@ -26,9 +26,13 @@ from haat.sources.tables import table
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``transactions`` table (logical columns, see ``schemas.TRANSACTIONS``)."""
-    li = table(spark, sf_dir, "lineitem")
-    od = table(spark, sf_dir, "orders")
-    pt = table(spark, sf_dir, "part")
+    return transactions_from(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"),
+                             table(spark, sf_dir, "part"))
+
+
+def transactions_from(li: DataFrame, od: DataFrame, pt: DataFrame) -> DataFrame:
+    """The adapter over any ``lineitem`` / ``orders`` / ``part`` frames (raw
+    Parquet, bucketed tables, or filtered subsets)."""
     return (
         li.join(od, li.l_orderkey == od.o_orderkey)
         .join(pt, li.l_partkey == pt.p_partkey)

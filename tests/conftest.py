@@ -14,8 +14,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
     from haat.session import get_spark
-    s = get_spark("local[4]", 4, app_name="haat-tests")
+    s = get_spark("local[4]", 4, app_name="haat-tests",
+                  extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="haat-wh-")})
     yield s
     s.stop()
 
