@@ -74,6 +74,11 @@ def status_badge(status: Column) -> Column:
             .otherwise(F.lit(BADGE_OK)))
 
 
+def date_text(dt: Column, fmt: str = "yyyy-MM-dd") -> Column:
+    """a date as text (the ingestion format by default)."""
+    return F.date_format(dt, fmt)
+
+
 def date_label(dt: Column, lang: str = "en") -> Column:
     """"weekday day month year" (e.g. ``Thursday 15 January 2026``)."""
     days = WEEKDAYS_BN if lang == "bn" else WEEKDAYS_EN

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haat.functions.labels import date_text
 from haat.functions.numeric import money, rnd
 
 
@@ -77,7 +78,7 @@ def forecast_report_lines(forecast: DataFrame) -> DataFrame:
     product), ready for ``write.text``; no row goes through the driver."""
     body = forecast.select(
         "product", F.col("ds"),
-        F.format_string("%s  yhat=%s  lower=%s  upper=%s", F.col("ds").cast("string"),
+        F.format_string("%s  yhat=%s  lower=%s  upper=%s", date_text(F.col("ds")),
                         F.col("yhat").cast("string"), F.col("yhat_lower").cast("string"),
                         F.col("yhat_upper").cast("string")).alias("value"))
     head = forecast.select("product").distinct().select(
