@@ -51,14 +51,19 @@ def scratch_dir(spark: SparkSession, name: str = "") -> str:
     """A fresh, not yet existing folder under the cluster's shared checkpoint
     location.
 
-    The location is read from the session (``spark.checkpoint.dir`` or the
-    context's checkpoint dir).  Only when neither is set — local tests — a
+    The location is read from the session (the context's checkpoint dir or
+    ``spark.checkpoint.dir``).  Only when neither is set — local tests — a
     temporary folder is made and registered as the checkpoint dir.
     """
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+        current = sc.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - sessions without a local context
+        sc, current = None, None
+    base = current or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="haat-ckpt-")
-    if not sc.getCheckpointDir():
+        spark.conf.set("spark.checkpoint.dir", base)
+    if sc is not None and not current:
         sc.setCheckpointDir(base)
     return os.path.join(base.rstrip("/"), f"{name or 'scratch'}-{uuid.uuid4().hex[:12]}")
