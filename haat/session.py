@@ -63,7 +63,6 @@ def scratch_dir(spark: SparkSession, name: str = "") -> str:
     base = current or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="haat-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
     if sc is not None and not current:
         sc.setCheckpointDir(base)
     return os.path.join(base.rstrip("/"), f"{name or 'scratch'}-{uuid.uuid4().hex[:12]}")
