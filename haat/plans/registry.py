@@ -11,13 +11,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haat.operators import compare, customers, export, kpi, marketing, profit, seasonal, stock, trends
+from pyspark.sql import functions as F
+
+from haat.operators import (compare, customers, export, graph, kpi, marketing, pricing, profit,
+                            recommend, seasonal, sentiment, spine, stock, text, trends, vectors)
+from haat.operators import context as ctxop
+from haat.operators import forecast as fc
+from haat.operators.daily import materialized_daily
 from haat.plans.context import Ctx
+from haat.schemas import DAILY_SALES
+from haat.session import scratch_dir
+from haat.sources import adapter, files
+from haat.sources.catalog import catalog_from_parts
 from haat.sources.tables import table
 
 # Request parameters of the registered queries.
 COMPARE_PRODUCTS = "PROMO, STANDARD, clothing"
 RANGE_START, RANGE_END = "1998-01-01", "1998-12-31"
+FORECAST_PRODUCT = "PROMO"
+GRAPH_PRODUCT = "PROMO"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,14 +182,6 @@ def _sales_range(spark, sf_dir):
 
 
 # --- sentiment, interest and text -------------------------------------------------
-from haat.operators import (context as ctxop, forecast as fc, graph, pricing,  # noqa: E402
-                            recommend, sentiment, spine, text, vectors)
-from haat.sources import adapter, files  # noqa: E402
-from haat.sources.catalog import catalog_from_parts  # noqa: E402
-from haat.schemas import DAILY_SALES  # noqa: E402
-from haat.session import scratch_dir  # noqa: E402
-
-GRAPH_PRODUCT = "PROMO"
 
 
 @query("sentiment_mean")
@@ -227,7 +231,6 @@ def _date_labels(spark, sf_dir):
 
 
 # --- forecast, pricing, models ------------------------------------------------------
-from haat.operators.daily import materialized_daily  # noqa: E402
 
 
 def _daily(spark, sf_dir):
@@ -367,16 +370,12 @@ def _append_dedup(spark, sf_dir):
 @query("records_json")
 def _records_json(spark, sf_dir):
     """Revenue per product as JSON records (exact decimal revenue)."""
-    from pyspark.sql import functions as F
     agg = Ctx(spark, sf_dir).lines.groupBy("product").agg(
         F.sum("total_amount").alias("revenue"), F.count(F.lit(1)).alias("n_rows"))
     return export.records_json(agg)
 
 
 # --- projections and rankings ------------------------------------------------------------
-FORECAST_PRODUCT = "PROMO"
-
-
 @query("forecast_input")
 def _forecast_input(spark, sf_dir):
     return fc.forecast_input(Ctx(spark, sf_dir).tx, FORECAST_PRODUCT)
