@@ -31,10 +31,6 @@ class Periods:
         """``as_of - 60 < dt <= as_of - 30``."""
         return (dt > self._d(2 * self.window_days)) & (dt <= self._d(self.window_days))
 
-    def recent_two(self, dt: Column) -> Column:
-        """Both windows together (for pruning the scan)."""
-        return dt > self._d(2 * self.window_days)
-
     def where_last(self, df):
         """Rows of the trailing window.  On a month-partitioned fact table
         (``layout.write_fact_table``) the matching ``month`` predicate is

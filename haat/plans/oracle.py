@@ -183,6 +183,8 @@ PROFIT_ROWS = f"""pb AS (SELECT product, CAST(rev AS DOUBLE) AS revenue, CAST(co
 
 SQL["profit_by_product"] = W(TX, PROFIT, PROFIT_ROWS) + "SELECT * FROM pb"
 
+SQL["top_profitable"] = W(TX, PROFIT, PROFIT_ROWS) + "SELECT * FROM pb ORDER BY profit DESC, product LIMIT 5"
+
 SQL["profit_summary"] = W(TX, PROFIT, PROFIT_ROWS, """best AS (SELECT product, margin FROM pb
   ORDER BY margin DESC, product LIMIT 1)""", """tot AS (SELECT SUM(total_amount) AS rev,
   SUM(total_amount * 0.70) AS cost_dec FROM tx)""") + f"""SELECT {R('CAST(rev - cost_dec AS DOUBLE)')} AS total_profit,

@@ -134,6 +134,11 @@ def _profit_by_product(spark, sf_dir):
     return profit.profit_by_product(Ctx(spark, sf_dir).lines)
 
 
+@query("top_profitable")
+def _top_profitable(spark, sf_dir):
+    return profit.top_profitable(Ctx(spark, sf_dir).lines)
+
+
 @query("profit_summary")
 def _profit_summary(spark, sf_dir):
     return profit.profit_summary(Ctx(spark, sf_dir).lines)

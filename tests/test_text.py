@@ -88,3 +88,9 @@ def test_boost_rules_last_wins_and_weekend(spark):
         F.col("d"), F.col("c"), BOOST_RULES_SMALL, weekend_factor=WEEKEND_FACTOR_SMALL).alias("b")).collect()]
     assert small == [2.2, 1.6, 1.6 * 1.3, 1.0]
     assert len(BOOST_RULES) == len(BOOST_RULES_SMALL) == 4
+
+
+def test_split_trim(spark):
+    from haat.functions.numeric import split_trim
+    df = spark.createDataFrame([(" clothing, electronics ,food",)], "p string")
+    assert df.select(split_trim(F.col("p")).alias("x")).first()["x"] == ["clothing", "electronics", "food"]
