@@ -15,7 +15,9 @@ from tests.conftest import SF_SMALL
 
 @pytest.fixture(scope="module")
 def tx(spark):
-    return adapter.transactions(spark, SF_SMALL).cache()
+    df = adapter.transactions(spark, SF_SMALL).cache()
+    yield df
+    df.unpersist()          # later plan tests must see the Parquet scans again
 
 
 def _close(a, b, rel=1e-9):
