@@ -397,9 +397,10 @@ SQL["graph_nodes"] = W(TX, EDGES) + """SELECT product AS id, 'product' AS kind,
 GROUP BY product UNION ALL SELECT "user", 'user', COUNT(*) FROM e GROUP BY "user\""""
 SQL["graph_neighbours"] = W(TX, EDGES) + f"""SELECT product, "user" AS neighbour, weight FROM e
 WHERE product = {lit(Q.GRAPH_PRODUCT)}"""
-INSIGHTS = """gi AS (SELECT d.product, d.degree, 'Related to: [' || array_to_string(t.users, ', ')
+INSIGHTS = """gi AS (SELECT d.product, d.degree, d.units, 'Related to: [' || array_to_string(t.users, ', ')
   || CASE WHEN d.degree > 3 THEN ', …' ELSE '' END || ']' AS insight
-  FROM (SELECT product, COUNT(*) AS degree FROM e GROUP BY product) d
+  FROM (SELECT product, COUNT(*) AS degree, CAST(SUM(total_quantity) AS BIGINT) AS units
+        FROM e GROUP BY product) d
   JOIN (SELECT product, list("user" ORDER BY r) AS users FROM (SELECT product, "user",
         row_number() OVER (PARTITION BY product ORDER BY weight DESC, "user") AS r FROM e) x
         WHERE r <= 3 GROUP BY product) t ON d.product = t.product)"""
