@@ -17,6 +17,7 @@ row order; it is cast to double only in the final projection of a query.
 from __future__ import annotations
 
 import datetime as _dt
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,13 +107,34 @@ def social_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_AS_OF_MEMO: dict[tuple, _dt.date] = {}
+
+
+def _snapshot_key(sf_dir: str) -> tuple | None:
+    """Identity of the local ``orders`` files (name, size, mtime); ``None``
+    for non-local paths, which are never memoised."""
+    path = os.path.join(sf_dir, "orders.parquet")
+    if "://" in sf_dir and not sf_dir.startswith("file:"):
+        return None
+    local = path[len("file:"):] if path.startswith("file:") else path
+    try:
+        if os.path.isdir(local):
+            entries = sorted(os.scandir(local), key=lambda e: e.name)
+            return (local,) + tuple((e.name, e.stat().st_size, e.stat().st_mtime_ns) for e in entries)
+        st = os.stat(local)
+        return (local, st.st_size, st.st_mtime_ns)
+    except OSError:
+        return None
+
+
 def resolve_as_of(spark: SparkSession, sf_dir: str, as_of=None) -> _dt.date:
     """The reference date of all period filters.
 
     An explicit value wins.  Otherwise it is the newest order date — one
-    scalar fetched from a single-column aggregate over ``orders``.  Turning it
-    into a literal lets ``dt > as_of - 30`` reach the Parquet scan as a pushed
-    filter on ``o_orderdate``.
+    scalar fetched from a single-column aggregate over ``orders``,
+    remembered per input snapshot (file names, sizes, modification times).
+    Turning it into a literal lets ``dt > as_of - 30`` reach the Parquet scan
+    as a pushed filter on ``o_orderdate``.
     """
     if as_of is not None:
         if isinstance(as_of, str):
@@ -120,8 +142,14 @@ def resolve_as_of(spark: SparkSession, sf_dir: str, as_of=None) -> _dt.date:
         if isinstance(as_of, _dt.datetime):
             return as_of.date()
         return as_of
+    key = _snapshot_key(sf_dir)
+    if key is not None and key in _AS_OF_MEMO:
+        return _AS_OF_MEMO[key]
     od = table(spark, sf_dir, "orders")
-    return od.agg(F.max(od.o_orderdate.cast("date")).alias("as_of")).first()["as_of"]
+    value = od.agg(F.max(od.o_orderdate.cast("date")).alias("as_of")).first()["as_of"]
+    if key is not None:
+        _AS_OF_MEMO[key] = value
+    return value
 
 
 def conform_sales(df: DataFrame) -> DataFrame:

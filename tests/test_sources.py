@@ -81,3 +81,21 @@ def test_append_twice_then_dedup(spark, fixture_tx):
     assert files.read_dedup(spark, path, ["dt", "product"]).count() == batch.count()
     tagged = files.with_constant(batch, "source", "trends")
     assert tagged.select(F.countDistinct("source")).first()[0] == 1
+
+
+def test_as_of_memo_follows_the_files(spark, tmp_path):
+    import shutil
+    from tests.conftest import SF_SMALL
+    d = tmp_path / "sf"
+    d.mkdir()
+    shutil.copy(f"{SF_SMALL}/orders.parquet", d / "orders.parquet")
+    first = adapter.resolve_as_of(spark, str(d))
+    assert adapter.resolve_as_of(spark, str(d)) == first
+    # replace the orders with a table whose newest date is earlier
+    od = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    older = od.where(F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
+    tmp_dir = str(tmp_path / "older")
+    older.coalesce(1).write.parquet(tmp_dir)
+    (d / "orders.parquet").unlink()
+    shutil.copytree(tmp_dir, d / "orders.parquet")
+    assert adapter.resolve_as_of(spark, str(d)) < first
