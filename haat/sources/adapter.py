@@ -22,7 +22,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haat.sources.tables import table
+from haat.sources.tables import snapshot_key, table
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,23 +110,6 @@ def social_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AS_OF_MEMO: dict[tuple, _dt.date] = {}
 
 
-def _snapshot_key(sf_dir: str) -> tuple | None:
-    """Identity of the local ``orders`` files (name, size, mtime); ``None``
-    for non-local paths, which are never memoised."""
-    path = os.path.join(sf_dir, "orders.parquet")
-    if "://" in sf_dir and not sf_dir.startswith("file:"):
-        return None
-    local = path[len("file:"):] if path.startswith("file:") else path
-    try:
-        if os.path.isdir(local):
-            entries = sorted(os.scandir(local), key=lambda e: e.name)
-            return (local,) + tuple((e.name, e.stat().st_size, e.stat().st_mtime_ns) for e in entries)
-        st = os.stat(local)
-        return (local, st.st_size, st.st_mtime_ns)
-    except OSError:
-        return None
-
-
 def resolve_as_of(spark: SparkSession, sf_dir: str, as_of=None) -> _dt.date:
     """The reference date of all period filters.
 
@@ -142,7 +125,7 @@ def resolve_as_of(spark: SparkSession, sf_dir: str, as_of=None) -> _dt.date:
         if isinstance(as_of, _dt.datetime):
             return as_of.date()
         return as_of
-    key = _snapshot_key(sf_dir)
+    key = snapshot_key(os.path.join(sf_dir, "orders.parquet"))
     if key is not None and key in _AS_OF_MEMO:
         return _AS_OF_MEMO[key]
     od = table(spark, sf_dir, "orders")

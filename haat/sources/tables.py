@@ -13,7 +13,37 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+_READS: dict[tuple, DataFrame] = {}
+
+
+def snapshot_key(path: str) -> tuple | None:
+    """Identity of local files at ``path`` (names, sizes, modification
+    times); ``None`` for non-local paths, which are never memoised."""
+    if "://" in path and not path.startswith("file:"):
+        return None
+    local = path[len("file:"):] if path.startswith("file:") else path
+    try:
+        if os.path.isdir(local):
+            entries = sorted(os.scandir(local), key=lambda e: e.name)
+            return (local,) + tuple((e.name, e.stat().st_size, e.stat().st_mtime_ns) for e in entries)
+        st = os.stat(local)
+        return (local, st.st_size, st.st_mtime_ns)
+    except OSError:
+        return None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The driver table ``name`` under ``sf_dir``.  The DataFrame (schema from
+    the Parquet footers) is reused within a session while the files are
+    unchanged, which saves the listing and footer read on every query."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    snap = snapshot_key(path)
+    if snap is None:
+        return spark.read.parquet(path)
+    key = (id(spark), spark.sparkContext.applicationId, snap)
+    df = _READS.get(key)
+    if df is None:
+        df = _READS[key] = spark.read.parquet(path)
+    return df
