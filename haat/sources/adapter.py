@@ -31,12 +31,22 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
                              table(spark, sf_dir, "part"))
 
 
-def transactions_from(li: DataFrame, od: DataFrame, pt: DataFrame) -> DataFrame:
+def transactions_from(li: DataFrame, od: DataFrame, pt: DataFrame,
+                      part_first: bool = True) -> DataFrame:
     """The adapter over any ``lineitem`` / ``orders`` / ``part`` frames (raw
-    Parquet, bucketed tables, or filtered subsets)."""
+    Parquet, bucketed tables, or filtered subsets).
+
+    By default ``part`` is joined first and ``orders`` last: whether the part
+    join is a broadcast or a shuffle join, the result ends up
+    hash-partitioned by the order key, so order-level aggregations
+    (``transaction_id``) need no further exchange.  When lineitem and orders
+    are bucketed by the order key (``layout``), ``part_first=False`` joins
+    them first, bucket by bucket, without any shuffle."""
+    joined = (li.join(pt, li.l_partkey == pt.p_partkey).join(od, li.l_orderkey == od.o_orderkey)
+              if part_first else
+              li.join(od, li.l_orderkey == od.o_orderkey).join(pt, li.l_partkey == pt.p_partkey))
     return (
-        li.join(od, li.l_orderkey == od.o_orderkey)
-        .join(pt, li.l_partkey == pt.p_partkey)
+        joined
         .select(
             li.l_orderkey.alias("transaction_id"),
             od.o_orderdate.alias("order_ts"),

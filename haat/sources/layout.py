@@ -39,7 +39,7 @@ def transactions_bucketed(spark: SparkSession, sf_dir: str, lineitem_table: str,
     """``adapter.transactions`` over the bucketed tables (same columns)."""
     li, od = spark.table(lineitem_table), spark.table(orders_table)
     pt = table(spark, sf_dir, "part")
-    return adapter.transactions_from(li, od, pt)
+    return adapter.transactions_from(li, od, pt, part_first=False)
 
 
 def write_fact_table(tx: DataFrame, path: str) -> str:
