@@ -23,9 +23,14 @@ class Periods:
     def _d(self, days_back: int) -> Column:
         return F.lit(self.as_of - _dt.timedelta(days=days_back))
 
+    def _upto(self, dt: Column) -> Column:
+        """Nothing after ``as_of`` counts (matters for an explicit, earlier
+        ``as_of``; the default is the newest date, so it is a no-op there)."""
+        return dt <= F.lit(self.as_of)
+
     def last(self, dt: Column) -> Column:
-        """The trailing window, ``dt > as_of - 30``."""
-        return dt > self._d(self.window_days)
+        """The trailing window, ``as_of - 30 < dt <= as_of``."""
+        return (dt > self._d(self.window_days)) & self._upto(dt)
 
     def previous(self, dt: Column) -> Column:
         """``as_of - 60 < dt <= as_of - 30``."""
@@ -52,8 +57,8 @@ class Periods:
 
     def this_week(self, dt: Column) -> Column:
         """Since Monday of the as-of week."""
-        return dt >= F.lit(self.week_start())
+        return (dt >= F.lit(self.week_start())) & self._upto(dt)
 
     def this_month(self, dt: Column) -> Column:
         """Since the first of the as-of month."""
-        return dt >= F.lit(self.month_start())
+        return (dt >= F.lit(self.month_start())) & self._upto(dt)

@@ -35,7 +35,7 @@ TX = """tx AS (
   JOIN part p ON l.l_partkey = p.p_partkey)"""
 AO = "ao AS (SELECT CAST(max(o_orderdate) AS DATE) AS as_of FROM orders)"
 
-LAST = "(dt > as_of - 30)"
+LAST = "(dt > as_of - 30 AND dt <= as_of)"
 PREV = "(dt > as_of - 60 AND dt <= as_of - 30)"
 
 
@@ -58,8 +58,8 @@ PP = f"""pp AS (SELECT product, SUM(total_amount) AS total, COUNT(*) AS n_rows,
   SUM(CASE WHEN {PREV} THEN total_amount END) AS prev_sum,
   COUNT(CASE WHEN {PREV} THEN 1 END) AS prev_n,
   SUM(CASE WHEN dt = as_of THEN total_amount END) AS today_sum,
-  SUM(CASE WHEN dt >= date_trunc('week', as_of) THEN total_amount END) AS week_sum,
-  SUM(CASE WHEN dt >= date_trunc('month', as_of) THEN total_amount END) AS month_sum
+  SUM(CASE WHEN dt >= date_trunc('week', as_of) AND dt <= as_of THEN total_amount END) AS week_sum,
+  SUM(CASE WHEN dt >= date_trunc('month', as_of) AND dt <= as_of THEN total_amount END) AS month_sum
   FROM tx, ao GROUP BY product)"""
 
 PG = f"""pg AS (SELECT product, CAST(COALESCE(last_sum, 0) AS DOUBLE) AS last30_revenue,

@@ -119,3 +119,13 @@ def test_compare(fixture_tx):
     st = {r["product"]: r for r in rows(compare.comparison_stats(fixture_tx, ["cosmetics", "toys"]))}
     assert st["cosmetics"]["qty_std"] is None          # one row: sample std undefined
     assert st["toys"]["qty_std"] == 1.0
+
+
+def test_explicit_earlier_as_of_ignores_later_rows(fixture_tx):
+    import datetime as dt
+    from haat.functions.periods import Periods
+    p = Periods(dt.date(2026, 1, 12))      # Monday; the 2026-01-15 order is "in the future"
+    r = rows(kpi.kpi_sheet(fixture_tx, p))[0]
+    assert r["today_revenue"] == 120.0      # only transaction 2
+    assert r["week_revenue"] == 120.0
+    assert r["month_revenue"] == 280.0      # 120 + 160 (2026-01-02)
