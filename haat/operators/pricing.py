@@ -102,3 +102,26 @@ def price_attribution(tx: DataFrame) -> DataFrame:
     return d.join(coef, "product").select(
         "product", "dt", rnd(F.col("p")).alias("price"),
         rnd(F.col("slope") * (F.col("p") - F.col("p_mean")), 4).alias("attribution"))
+
+
+def fit_linear_model(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """M11 with any number of features: ``pyspark.ml`` least squares
+    (distributed normal equations), returned as a small table of
+    ``term, coefficient`` rows plus ``r2`` and ``n`` on every row.
+
+    The fit itself runs as Spark jobs over ``df``; only the fitted
+    coefficients (one per feature) come back to build the result table.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    data = VectorAssembler(inputCols=features, outputCol="_x").transform(
+        df.select(*[F.col(c).cast("double") for c in features], F.col(label).cast("double").alias("_y"))
+    ).select("_x", "_y")
+    model = LinearRegression(featuresCol="_x", labelCol="_y", solver="normal",
+                             regParam=0.0, elasticNetParam=0.0).fit(data)
+    s = model.summary
+    terms = list(zip(["intercept", *features], [float(model.intercept), *map(float, model.coefficients)]))
+    return df.sparkSession.createDataFrame(
+        [(t, c, float(s.r2), int(s.numInstances)) for t, c in terms],
+        "term string, coefficient double, r2 double, n long")

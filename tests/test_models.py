@@ -83,3 +83,13 @@ def test_user_top_products(fixture_tx):
     rows = recommend.user_top_products(fixture_tx, 1).collect()
     top = {r["user_id"]: (r["product"], r["score"]) for r in rows}
     assert top[4] == ("cosmetics", 6) and top[2] == ("clothing", 6)
+
+
+def test_ml_linear_model_matches_single_feature_slope(tx):
+    from haat.operators.pricing import daily_price_demand, fit_linear_model
+    d = daily_price_demand(tx).where(F.col("product") == "PROMO")
+    got = {r["term"]: r["coefficient"] for r in fit_linear_model(d, ["p"], "q").collect()}
+    exp = d.agg(F.regr_slope("q", "p").alias("b"), F.regr_intercept("q", "p").alias("a")).first()
+    assert _close(got["p"], exp["b"], 1e-6) and _close(got["intercept"], exp["a"], 1e-6)
+    two = fit_linear_model(d.withColumn("p2", F.col("p") * F.col("p")), ["p", "p2"], "q")
+    assert {r["term"] for r in two.collect()} == {"intercept", "p", "p2"}
