@@ -21,19 +21,23 @@ def dashboard_context(tx: DataFrame, sent: DataFrame, daily: DataFrame | None =
     pr = pricing.price_parity(daily).select("product", "current_price", "optimized_price")
     se = sentiment.sentiment_mean(sent).select("product", F.col("sentiment").alias("s_avg"))
     gi = graph.insights(graph.edges(tx)).select("product", "insight")
-    recs = (recommend.recommend_popular(daily, 5)
-            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "product"))),
-                                          lambda s: s["product"]), ", ").alias("r")))
+    # the whole recommendation line is built inside one scalar subquery
+    # (at most 5 names are collected), referenced once below
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "product"))),
+                                     lambda s: s["product"]), ", ")
+    recs = (recommend.recommend_popular(daily, 5).agg(names.alias("r"))
+            .select(F.when(F.col("r") != "", F.concat(F.lit("Top recommendations: "), F.col("r")))
+                    .alias("line")))
     j = (prods.join(fc, "product", "left").join(pr, "product", "left")
          .join(se, "product", "left").join(gi, "product", "left"))
-    rec_text = recs.select("r").scalar()
+    rec_line = recs.select("line").scalar()
     parts = [
         F.coalesce(F.concat(F.lit("Forecast (next period) yhat="), fmt2(F.col("f_yhat"))),
                    F.lit("Forecast: unavailable")),
         F.coalesce(F.concat(F.lit("Price: current="), fmt2(F.col("current_price")),
                             F.lit(", optimized="), fmt2(F.col("optimized_price"))),
                    F.lit("Price: unavailable")),
-        F.when(rec_text != "", F.concat(F.lit("Top recommendations: "), rec_text)),
+        rec_line,
         F.coalesce(F.concat(F.lit("Social sentiment (avg): "), fmt2(F.col("s_avg"))),
                    F.lit("Social sentiment: unavailable")),
         F.concat(F.lit("Graph: "), F.coalesce(F.col("insight"), F.lit("No relations"))),
