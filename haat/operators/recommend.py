@@ -23,13 +23,15 @@ def recommend_popular(tx: DataFrame, n: int = 5) -> DataFrame:
 
 
 def recommend_als(tx: DataFrame, n: int = 5, rank: int = 8, max_iter: int = 10,
-                  reg: float = 0.1, seed: int = 42) -> DataFrame:
+                  reg: float = 0.1, seed: int = 42, blocks: int | None = None) -> DataFrame:
     """M6/M7: implicit-feedback ALS on real (user, product, units) and the
     top-n products per user (``recommendForAllUsers``).
 
     The reference trains on random users and ratings; here the ratings are
     the units each user bought of each product.  Product ids are a dense
     rank over the distinct products (a small table, joined back by key).
+    The user/item block count follows the cluster's parallelism (half the
+    default parallelism, between 2 and 1000) unless ``blocks`` is given.
     """
     from pyspark.ml.recommendation import ALS
 
@@ -38,8 +40,15 @@ def recommend_als(tx: DataFrame, n: int = 5, rank: int = 8, max_iter: int = 10,
              .withColumn("item", F.dense_rank().over(Window.orderBy("product")) - 1))
     data = ratings.join(items, "product").select(
         F.col("user_id").cast("int").alias("user"), F.col("item").cast("int").alias("item"), "units")
+    if blocks is None:
+        try:
+            par = tx.sparkSession.sparkContext.defaultParallelism
+        except Exception:  # noqa: BLE001 - sessions without a local context
+            par = 20
+        blocks = min(max(2, par // 2), 1000)
     als = ALS(userCol="user", itemCol="item", ratingCol="units", implicitPrefs=True, rank=rank,
-              maxIter=max_iter, regParam=reg, seed=seed, coldStartStrategy="drop")
+              maxIter=max_iter, regParam=reg, seed=seed, coldStartStrategy="drop",
+              numUserBlocks=blocks, numItemBlocks=blocks)
     model = als.fit(data)
     recs = model.recommendForAllUsers(n).select(
         F.col("user").cast("long").alias("user_id"),
