@@ -17,16 +17,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haat.functions.numeric import rnd, safe_div
+from haat.streaming.ingest import file_stream, read_latest, start_append
 
 
 def event_counts_stream(spark: SparkSession, source_dir: str, file_glob: str = "events*.parquet",
                         watermark: str = "2 days", max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming daily counts per event type from Parquet files in ``source_dir``."""
-    schema = spark.read.option("pathGlobFilter", file_glob).parquet(source_dir).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    ev = reader.parquet(source_dir).select(
+    ev = file_stream(spark, source_dir, file_glob, max_files_per_trigger).select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type"))
     return (ev.withWatermark("ts", watermark)
             .groupBy(F.window("ts", "1 day").alias("w"), F.col("event_type").alias("product"))
@@ -35,21 +32,14 @@ def event_counts_stream(spark: SparkSession, source_dir: str, file_glob: str = "
 
 def start_ingest(counts: DataFrame, table_path: str, checkpoint_path: str, available_now: bool = True):
     """Run the stream into ``table_path`` (update mode, one append per batch)."""
-    def append_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("w.start").cast("date").alias("date"), "product", "n_events",
-                      F.lit(batch_id).cast("long").alias("batch_id"))
-         .write.mode("append").parquet(table_path))
-
-    w = (counts.writeStream.outputMode("update").foreachBatch(append_batch)
-         .option("checkpointLocation", checkpoint_path))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+    return start_append(
+        counts, lambda b: b.select(F.col("w.start").cast("date").alias("date"), "product", "n_events"),
+        table_path, checkpoint_path, available_now)
 
 
 def read_counts(spark: SparkSession, table_path: str) -> DataFrame:
     """Newest count per (date, product) across all appended batches."""
-    t = spark.read.parquet(table_path)
-    return t.groupBy("date", "product").agg(F.max_by("n_events", "batch_id").alias("n_events"))
+    return read_latest(spark, table_path, ["date", "product"])
 
 
 def interest_from_counts(counts: DataFrame) -> DataFrame:

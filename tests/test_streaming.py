@@ -21,3 +21,21 @@ def test_stream_matches_batch(spark):
     q2 = interest.start_ingest(counts, out, ck)
     q2.awaitTermination(300)
     assert interest.read_counts(spark, out).count() == exp.count()
+
+
+def test_weekly_sentiment_stream_matches_batch(spark):
+    from pyspark.sql import functions as F
+    from haat.operators.sentiment import weekly_sentiment
+    from haat.sources.adapter import social_sentiment
+    from haat.streaming import sentiment as ss
+    stream = ss.weekly_sentiment_stream(spark, SF_SMALL, file_glob="events.parquet")
+    out, ck = scratch_dir(spark, "weekly-table"), scratch_dir(spark, "weekly-ckpt")
+    ss.start_weekly_ingest(stream, out, ck).awaitTermination(300)
+    got = {(r["week"], r["product"]): (r["sentiment"], r["n_scores"])
+           for r in ss.read_weekly(spark, out).collect()}
+    exp = {(r["week"], r["product"]): (r["sentiment"], r["n_scores"])
+           for r in weekly_sentiment(social_sentiment(spark, SF_SMALL))
+           .where(F.col("n_scores") > 0).collect()}
+    assert set(got) == set(exp)
+    for k in exp:
+        assert got[k][1] == exp[k][1] and abs(got[k][0] - exp[k][0]) <= 1e-4
