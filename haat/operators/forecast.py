@@ -13,14 +13,15 @@ a row-grain fit only needs, per day, the number of rows ``w``, the sum
 ``sy`` and the sum of squares ``syy`` of the units — ordinary least squares,
 group means and the residual variance are all weighted sums of these.  So
 the raw facts are read once, whatever the grain, and every later step works
-on at most products × days rows.
+on at most products × days rows — as window aggregates over a single hash
+partitioning by product (see ``fit``).
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haat.functions.numeric import rnd
@@ -54,61 +55,83 @@ def observations(daily: DataFrame, grain: str = "day") -> DataFrame:
                         F.weekday("dt").alias("wd"), F.month("dt").alias("mo"))
 
 
-def fit(tx_or_daily: DataFrame, grain: str = "day", min_rows: int = 10) -> dict[str, DataFrame]:
-    """Trend (centred least squares), weekday and month effects, residual
-    spread; each table has at most products × 12 rows (the effects) or
-    products × days rows (the per-day residual sums)."""
-    obs = observations(as_daily(tx_or_daily), grain)
-    m1 = (obs.groupBy("product").agg(
-        F.sum("w").alias("N"), F.sum(F.col("w") * F.col("t")).alias("St"),
-        F.sum("sy").alias("Sy"), F.sum("n_rows").alias("n_rows"), F.max("dt").alias("last_dt"))
-        .where(F.col("n_rows") >= min_rows)                        # P13 guard
-        .select("product", "N", "last_dt", (F.col("St") / F.col("N")).alias("tbar"),
-                (F.col("Sy") / F.col("N")).alias("ybar")))
-    dev = F.col("t") - F.col("tbar")
-    m2 = obs.join(m1, "product").groupBy("product", "tbar", "ybar", "last_dt").agg(
-        F.sum(F.col("w") * dev * dev).alias("Sxx"), F.sum(dev * F.col("sy")).alias("Sxy"))
-    b = F.when(F.col("Sxx") > 0, F.col("Sxy") / F.col("Sxx"))
-    trend = m2.select("product", "last_dt", b.alias("b"),
-                      (F.col("ybar") - b * F.col("tbar")).alias("a"))
-    g = obs.join(trend.select("product", "a", "b"), "product").withColumn(
-        "r1", F.col("sy") - F.col("w") * (F.col("a") + F.col("b") * F.col("t")))
-    wk = g.groupBy("product", "wd").agg((F.sum("r1") / F.sum("w")).alias("w_eff"))
-    g2 = g.join(wk, ["product", "wd"]).withColumn("r2", F.col("r1") - F.col("w") * F.col("w_eff"))
-    mo = g2.groupBy("product", "mo").agg((F.sum("r2") / F.sum("w")).alias("m_eff"))
-    g3 = g2.join(mo, ["product", "mo"]).withColumn(
-        "c", F.col("a") + F.col("b") * F.col("t") + F.col("w_eff") + F.col("m_eff"))
-    # per day: sum and sum of squares of the residuals y_i - c
-    s1 = F.col("sy") - F.col("w") * F.col("c")
-    s2 = F.when(F.col("w") == 1.0, s1 * s1).otherwise(
-        F.col("syy") - 2.0 * F.col("c") * F.col("sy") + F.col("w") * F.col("c") * F.col("c"))
-    res = g3.select("product", "dt", "w", "sy", "c", s1.alias("s1"), s2.alias("s2"))
-    sig = res.groupBy("product").agg(F.sum("w").alias("N"), F.sum("s1").alias("S"),
-                                     F.sum("s2").alias("SS"))
-    var = F.greatest(F.lit(0.0), (F.col("SS") - F.col("S") * F.col("S") / F.col("N"))
-                     / (F.col("N") - 1.0))
-    sig = sig.select("product", F.when(F.col("N") > 1, F.sqrt(var)).alias("sigma"))
-    return {"trend": trend, "weekday": wk, "month": mo, "sigma": sig, "resid": res}
+def fit(tx_or_daily: DataFrame, grain: str = "day", min_rows: int = 10,
+        horizon: int = 0) -> dict[str, DataFrame]:
+    """Trend (centred least squares), weekday and month effects and residual
+    spread, all as window aggregates over the daily observations.
+
+    Plan: one exchange by ``product``; every later window is partitioned by
+    ``product`` or a superset of it, so the same hash partitioning serves
+    them all and no further shuffle happens.  Each window holds the days of
+    one product — bounded by the calendar, not by the number of rows.
+
+    With ``horizon > 0`` the next ``horizon`` days after each product's last
+    observation are appended with weight 0: they change no sum, and they
+    pick up their weekday and month effects from the same windows (an effect
+    without observations is NULL and counts as 0).
+    """
+    obs = observations(as_daily(tx_or_daily), grain).withColumn("future", F.lit(False))
+    if horizon:
+        ends = obs.groupBy("product").agg(F.max("dt").alias("last"))
+        fut = ends.select("product", F.explode(F.sequence(
+            F.date_add("last", 1), F.date_add("last", horizon))).alias("dt"))
+        fut = fut.select("product", "dt", F.lit(0.0).alias("w"), F.lit(0.0).alias("sy"),
+                         F.lit(0.0).alias("syy"), F.lit(0).cast("long").alias("n_rows"),
+                         _t(F.col("dt")).alias("t"), F.weekday("dt").alias("wd"),
+                         F.month("dt").alias("mo"), F.lit(True).alias("future"))
+        obs = obs.unionByName(fut)
+    P = Window.partitionBy("product")
+    PW = Window.partitionBy("product", "wd")
+    PM = Window.partitionBy("product", "mo")
+    w, t, sy = F.col("w"), F.col("t"), F.col("sy")
+    g = (obs.withColumn("N", F.sum(w).over(P))
+         .withColumn("n_rows_p", F.sum("n_rows").over(P))
+         .withColumn("last_dt", F.max(F.when(~F.col("future"), F.col("dt"))).over(P)))
+    g = g.where(F.col("n_rows_p") >= min_rows)                       # P13 guard
+    g = (g.withColumn("tbar", F.sum(w * t).over(P) / F.col("N"))
+         .withColumn("ybar", F.sum(sy).over(P) / F.col("N")))
+    dev = t - F.col("tbar")
+    g = (g.withColumn("Sxx", F.sum(w * dev * dev).over(P))
+         .withColumn("Sxy", F.sum(dev * sy).over(P)))
+    g = g.withColumn("b", F.when(F.col("Sxx") > 0, F.col("Sxy") / F.col("Sxx")))
+    g = g.withColumn("a", F.col("ybar") - F.col("b") * F.col("tbar"))
+    g = g.withColumn("r1", sy - w * (F.col("a") + F.col("b") * t))
+    wsum = F.sum(w).over(PW)
+    g = g.withColumn("w_eff", F.when(wsum > 0, F.sum("r1").over(PW) / wsum))
+    g = g.withColumn("r2", F.col("r1") - w * F.coalesce(F.col("w_eff"), F.lit(0.0)))
+    msum = F.sum(w).over(PM)
+    g = g.withColumn("m_eff", F.when(msum > 0, F.sum("r2").over(PM) / msum))
+    g = g.withColumn("c", F.col("a") + F.col("b") * t + F.coalesce(F.col("w_eff"), F.lit(0.0))
+                     + F.coalesce(F.col("m_eff"), F.lit(0.0)))
+    # per day: sum and sum of squares of the residuals y_i - c (0 for future rows)
+    s1 = sy - w * F.col("c")
+    s2 = F.when(w == 1.0, s1 * s1).otherwise(
+        F.col("syy") - 2.0 * F.col("c") * sy + w * F.col("c") * F.col("c"))
+    g = g.withColumn("s1", s1).withColumn("s2", s2)
+    S, SS = F.sum("s1").over(P), F.sum("s2").over(P)
+    var = F.greatest(F.lit(0.0), (SS - S * S / F.col("N")) / (F.col("N") - 1.0))
+    g = g.withColumn("sigma", F.when(F.col("N") > 1, F.sqrt(var)))
+    past = g.where(~F.col("future"))
+    return {
+        "frame": g,
+        "resid": past.select("product", "dt", "w", "sy", "c", "s1", "s2"),
+        "trend": past.groupBy("product").agg(F.max("last_dt").alias("last_dt"), F.max("b").alias("b"),
+                                             F.max("a").alias("a")),
+        "weekday": past.groupBy("product", "wd").agg(F.max("w_eff").alias("w_eff")),
+        "month": past.groupBy("product", "mo").agg(F.max("m_eff").alias("m_eff")),
+        "sigma": past.groupBy("product").agg(F.max("sigma").alias("sigma")),
+    }
 
 
 def forecast(tx_or_daily: DataFrame, horizon: int = 30, grain: str = "day", z: float = Z80,
              min_rows: int = 10, raw: bool = False) -> DataFrame:
     """``product, ds, yhat, yhat_lower, yhat_upper`` for the ``horizon`` days
     after each product's last observed date."""
-    m = fit(tx_or_daily, grain, min_rows)
-    fut = m["trend"].select(
-        "product", "a", "b",
-        F.explode(F.sequence(F.date_add(F.col("last_dt"), 1),
-                             F.date_add(F.col("last_dt"), horizon))).alias("ds"))
-    fut = (fut.withColumn("wd", F.weekday("ds")).withColumn("mo", F.month("ds"))
-           .join(m["weekday"], ["product", "wd"], "left")
-           .join(m["month"], ["product", "mo"], "left")
-           .join(m["sigma"], "product", "left"))
-    yhat = (F.col("a") + F.col("b") * _t(F.col("ds")) + F.coalesce(F.col("w_eff"), F.lit(0.0))
-            + F.coalesce(F.col("m_eff"), F.lit(0.0)))
+    g = fit(tx_or_daily, grain, min_rows, horizon)["frame"].where(F.col("future"))
+    yhat = F.col("c")
     band = F.lit(z) * F.coalesce(F.col("sigma"), F.lit(0.0))
-    out = fut.select("product", "ds", yhat.alias("yhat"), (yhat - band).alias("yhat_lower"),
-                     (yhat + band).alias("yhat_upper"))
+    out = g.select("product", F.col("dt").alias("ds"), yhat.alias("yhat"),
+                   (yhat - band).alias("yhat_lower"), (yhat + band).alias("yhat_upper"))
     if raw:
         return out
     return out.select("product", "ds", rnd(F.col("yhat")).alias("yhat"),
