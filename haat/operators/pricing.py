@@ -63,11 +63,17 @@ def price_elastic(tx: DataFrame, cost_ratio: float = COST_RATIO) -> DataFrame:
     """M4: elasticity = slope of ln(units) on ln(price) over product-days;
     expected units at each grid price ``q̄ · f^e``, profit
     ``(p̄·f − cost_ratio·p̄) · q̄ · f^e``; the best action, flagged when it
-    sits on the grid edge (inelastic demand makes the highest price win)."""
-    d = daily_price_demand(tx)
-    el = d.groupBy("product").agg(
-        F.regr_slope(F.log("q"), F.log("p")).alias("e"), F.avg("q").alias("q_bar"))
-    base = el.join(current_price(tx), "product")
+    sits on the grid edge (inelastic demand makes the highest price win).
+
+    One aggregation per product over the daily cube gives slope, mean units
+    and current price; the grid is exploded in place and the arg-max window
+    reuses the same partitioning (one exchange in all)."""
+    d = as_daily(tx)
+    q = F.col("qty").cast("double")
+    p = F.col("price_sum") / F.col("n_rows")
+    base = d.groupBy("product").agg(
+        F.regr_slope(F.log(q), F.log(p)).alias("e"), F.avg(q).alias("q_bar"),
+        safe_div(F.sum("price_sum"), F.sum("n_rows")).alias("current_raw"))
     f = F.lit(1.0) + F.col("action") / 10.0
     g = _grid(base).withColumn("price_raw", F.col("current_raw") * f)
     g = g.withColumn("qty_raw", F.col("q_bar") * F.pow(f, F.col("e")))
@@ -95,13 +101,13 @@ def regression_fit(tx: DataFrame) -> DataFrame:
 
 def price_attribution(tx: DataFrame) -> DataFrame:
     """Linear attribution of each product-day's price to its demand,
-    ``slope · (p − mean p)`` (what a linear explainer reports)."""
+    ``slope · (p − mean p)`` (what a linear explainer reports).  Slope and
+    mean are window aggregates per product (no join back)."""
     d = daily_price_demand(tx)
-    coef = d.groupBy("product").agg(F.regr_slope("q", "p").alias("slope"),
-                                    F.avg("p").alias("p_mean"))
-    return d.join(coef, "product").select(
-        "product", "dt", rnd(F.col("p")).alias("price"),
-        rnd(F.col("slope") * (F.col("p") - F.col("p_mean")), 4).alias("attribution"))
+    P = Window.partitionBy("product")
+    slope = F.regr_slope("q", "p").over(P)
+    return d.select("product", "dt", rnd(F.col("p")).alias("price"),
+                    rnd(slope * (F.col("p") - F.avg("p").over(P)), 4).alias("attribution"))
 
 
 def fit_linear_model(df: DataFrame, features: list[str], label: str) -> DataFrame:
