@@ -10,21 +10,32 @@ from haat.functions.numeric import rnd, safe_div, stock_status, trunc_int
 from haat.functions.periods import Periods
 
 
-def stock_alert(tx: DataFrame, p: Periods, current_stock: int = 100,
+def stock_alert(tx: DataFrame, p: Periods, current_stock=100,
                 safety_days: int = 7) -> DataFrame:
     """Per product with sales in the trailing window: mean of daily unit
     totals (days with sales only), days until stock-out, reorder point and a
-    status band.  The window filter is pushed into the orders scan."""
+    status band.  The window filter is pushed into the orders scan.
+
+    ``current_stock`` is the reference's fixed 100 units, or a table
+    ``(product, stock)`` of actual stock levels (products missing from it
+    fall back to 100); it is joined on the per-product result (one row per
+    product on both sides)."""
     recent = p.where_last(tx)
     daily = recent.groupBy("product", "dt").agg(F.sum("quantity").alias("q"))
     per = daily.groupBy("product").agg(
         F.sum("q").alias("total_sold_30d"), F.count(F.lit(1)).alias("n_days"))
+    if isinstance(current_stock, DataFrame):
+        levels = current_stock.select("product", F.col("stock").cast("int").alias("_stock"))
+        per = per.join(levels, "product", "left").withColumn(
+            "_stock", F.coalesce(F.col("_stock"), F.lit(100)))
+    else:
+        per = per.withColumn("_stock", F.lit(int(current_stock)))
     avg = safe_div(F.col("total_sold_30d"), F.col("n_days"))
-    days = F.when(avg > 0, trunc_int(F.lit(float(current_stock)) / avg)).otherwise(F.lit(999))
+    days = F.when(avg > 0, trunc_int(F.col("_stock").cast("double") / avg)).otherwise(F.lit(999))
     reorder = trunc_int(avg * float(safety_days))
     out = per.select(
         "product",
-        F.lit(current_stock).alias("current_stock"),
+        F.col("_stock").alias("current_stock"),
         rnd(avg).alias("daily_avg_sales"),
         F.col("total_sold_30d"),
         days.alias("days_until_stockout"),

@@ -129,3 +129,18 @@ def test_explicit_earlier_as_of_ignores_later_rows(fixture_tx):
     assert r["today_revenue"] == 120.0      # only transaction 2
     assert r["week_revenue"] == 120.0
     assert r["month_revenue"] == 280.0      # 120 + 160 (2026-01-02)
+
+
+def test_stock_and_cost_tables(spark, fixture_tx, periods):
+    levels = spark.createDataFrame([("toys", 30), ("food", 300)], "product string, stock int")
+    s = {r["product"]: r for r in rows(stock.stock_alert(fixture_tx, periods, levels))}
+    assert (s["toys"]["current_stock"], s["toys"]["status"]) == (30, "warning")      # int(30/3.0) = 10
+    assert (s["food"]["current_stock"], s["food"]["days_until_stockout"]) == (300, 120)
+    assert s["clothing"]["current_stock"] == 100                                       # default
+    costs = spark.createDataFrame([("toys", 0.5), ("food", 0.9)], "product string, cost_ratio double")
+    m = {r["product"]: r["margin"] for r in rows(profit.profit_by_product(fixture_tx, costs))}
+    assert m == {"toys": 50.0, "food": 10.0, "clothing": 30.0, "cosmetics": 30.0}
+    best = rows(profit.profit_summary(fixture_tx, costs))[0]
+    assert best["best_margin_product"] == "toys"
+    # 770*0.3 + 660*0.1 + 190*0.5 + 120*0.3 = 231 + 66 + 95 + 36
+    assert best["total_profit"] == 428.0
