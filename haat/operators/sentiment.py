@@ -81,17 +81,19 @@ def week_ending_sunday(d):
 
 def weekly_sentiment(sent: DataFrame) -> DataFrame:
     """One row per product and Sunday over the product's span; weeks
-    without scores are kept with NULL sentiment (the spine is a per-product
-    ``sequence``, not a cross join)."""
+    without scores are kept with NULL sentiment.  Each observed week also
+    emits the empty weeks up to the next observed one (``lead`` over the
+    product's weeks): one window, no cross join, no join back."""
     wk = sent.withColumn("week", week_ending_sunday(F.col("date")))
     agg = wk.groupBy("product", "week").agg(F.avg("sentiment").alias("s"),
                                             F.count(F.lit(1)).alias("n"))
-    spans = agg.groupBy("product").agg(F.min("week").alias("lo"), F.max("week").alias("hi"))
-    spine = spans.select("product", F.explode(
-        F.sequence(F.col("lo"), F.col("hi"), F.expr("INTERVAL 7 DAYS"))).alias("week"))
-    return (spine.join(agg, ["product", "week"], "left")
-            .select("week", "product", rnd(F.col("s"), 4).alias("sentiment"),
-                    F.coalesce(F.col("n"), F.lit(0)).alias("n_scores")))
+    nxt = F.lead("week").over(Window.partitionBy("product").orderBy("week"))
+    span = agg.withColumn("until", F.coalesce(F.date_sub(nxt, 7), F.col("week")))
+    weeks = span.select("product", F.col("week").alias("obs"), "s", "n", F.explode(
+        F.sequence(F.col("week"), F.col("until"), F.expr("INTERVAL 7 DAYS"))).alias("week"))
+    first = F.col("week") == F.col("obs")
+    return weeks.select("week", "product", rnd(F.when(first, F.col("s")), 4).alias("sentiment"),
+                        F.when(first, F.col("n")).otherwise(F.lit(0)).cast("long").alias("n_scores"))
 
 
 def interest_index(events: DataFrame) -> DataFrame:

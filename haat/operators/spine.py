@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haat.functions.numeric import money, rnd
@@ -13,16 +13,20 @@ from haat.functions.numeric import money, rnd
 def daily_spine(tx: DataFrame) -> DataFrame:
     """Every day of each product's span, gaps filled with 0.
 
-    The spine is a per-product ``sequence(first, last)`` — its size is the
-    number of calendar days, not of rows — left-joined with the daily
-    aggregate on (product, dt)."""
+    Each observed day generates itself plus the empty days up to the next
+    observed day (``lead`` over the product's days), so the spine comes from
+    the daily aggregate alone: one window partitioned by product — bounded
+    by the calendar — no second branch and no join back."""
     daily = tx.groupBy("product", "dt").agg(F.sum("quantity").alias("q"),
                                             F.sum("total_amount").alias("rev"))
-    spans = daily.groupBy("product").agg(F.min("dt").alias("lo"), F.max("dt").alias("hi"))
-    spine = spans.select("product", F.explode(F.sequence("lo", "hi")).alias("dt"))
-    return spine.join(daily, ["product", "dt"], "left").select(
-        "product", "dt", F.coalesce(F.col("q"), F.lit(0)).alias("quantity"),
-        money(F.coalesce(F.col("rev"), F.lit(0))).alias("revenue"))
+    nxt = F.lead("dt").over(Window.partitionBy("product").orderBy("dt"))
+    span = daily.withColumn("until", F.coalesce(F.date_sub(nxt, 1), F.col("dt")))
+    days = span.select("product", F.col("dt").alias("obs"), "q", "rev",
+                       F.explode(F.sequence(F.col("dt"), F.col("until"))).alias("dt"))
+    first = F.col("dt") == F.col("obs")
+    return days.select(
+        "product", "dt", F.when(first, F.col("q")).otherwise(F.lit(0)).cast("long").alias("quantity"),
+        money(F.when(first, F.col("rev")).otherwise(F.lit(0))).alias("revenue"))
 
 
 # Seasonal boost rules: (months, categories, factor), applied in order with
