@@ -14,11 +14,20 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through the Hadoop file system of the session."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+    """Existence check through the Hadoop file system of the session (so it
+    works for any scheme the cluster mounts).  Sessions without a local JVM
+    gateway answer by trying to list the path."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).exists(p)
+    except Exception:  # noqa: BLE001 - no local context (e.g. a remote session)
+        try:
+            spark.read.format("binaryFile").load(path).limit(0).collect()
+            return True
+        except Exception:  # noqa: BLE001
+            return False
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType,

@@ -42,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     snap = snapshot_key(path)
     if snap is None:
         return spark.read.parquet(path)
-    key = (id(spark), spark.sparkContext.applicationId, snap)
+    key = (id(spark), snap)
     df = _READS.get(key)
     if df is None:
         df = _READS[key] = spark.read.parquet(path)
