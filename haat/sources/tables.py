@@ -5,6 +5,7 @@ Parquet ``ReadSchema`` accordingly."""
 from __future__ import annotations
 
 import os
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +14,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-_READS: dict[tuple, DataFrame] = {}
+_READS: dict[tuple, tuple] = {}
 
 
 def snapshot_key(path: str) -> tuple | None:
@@ -43,7 +44,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if snap is None:
         return spark.read.parquet(path)
     key = (id(spark), snap)
-    df = _READS.get(key)
-    if df is None:
-        df = _READS[key] = spark.read.parquet(path)
+    hit = _READS.get(key)
+    if hit is not None and hit[0]() is spark:       # same live session, same files
+        return hit[1]
+    df = spark.read.parquet(path)
+    _READS[key] = (weakref.ref(spark), df)
     return df
