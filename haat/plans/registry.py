@@ -253,6 +253,11 @@ def _forecast_row_grain(spark, sf_dir):
     return fc.forecast(_daily(spark, sf_dir), grain="row")
 
 
+@query("forecast_fourier")
+def _forecast_fourier(spark, sf_dir):
+    return fc.forecast_fourier(_daily(spark, sf_dir))
+
+
 @query("forecast_mean")
 def _forecast_mean(spark, sf_dir):
     return fc.forecast_mean(_daily(spark, sf_dir))

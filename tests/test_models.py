@@ -93,3 +93,28 @@ def test_ml_linear_model_matches_single_feature_slope(tx):
     assert _close(got["p"], exp["b"], 1e-6) and _close(got["intercept"], exp["a"], 1e-6)
     two = fit_linear_model(d.withColumn("p2", F.col("p") * F.col("p")), ["p", "p2"], "q")
     assert {r["term"] for r in two.collect()} == {"intercept", "p", "p2"}
+
+
+def test_fourier_forecast_matches_numpy(spark, tx):
+    import numpy as np
+    import pandas as pd
+    from haat.operators.forecast import ORIGIN, _fourier_design, forecast_fourier
+    got = forecast_fourier(daily_stats(tx), order=2).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r["product"], []).append(r)
+        assert r["yhat_lower"] <= r["yhat"] <= r["yhat_upper"]
+    assert per and all(len(v) == 30 for v in per.values())
+    # independent numpy fit for one product
+    p = sorted(per)[0]
+    d = (tx.where(F.col("product") == p).groupBy("dt").agg(F.sum("quantity").alias("y"))
+         .orderBy("dt").toPandas())
+    dts = pd.to_datetime(d["dt"])
+    t = (dts - pd.Timestamp(ORIGIN)).dt.days.to_numpy()
+    X = _fourier_design(t, dts.dt.dayofyear.to_numpy(), dts.dt.weekday.to_numpy(), 2)
+    beta = np.linalg.lstsq(X, d["y"].to_numpy(dtype=float), rcond=None)[0]
+    first = min(per[p], key=lambda r: r["ds"])
+    f = pd.Timestamp(first["ds"])
+    x1 = _fourier_design(np.array([(f - pd.Timestamp(ORIGIN)).days]), np.array([f.dayofyear]),
+                         np.array([f.weekday()]), 2)
+    assert abs(float(x1 @ beta) - first["yhat"]) <= 0.01
