@@ -10,6 +10,8 @@ quantity), a full order that includes the value itself because
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +20,41 @@ def user_node(user_id):
     return F.concat(F.lit("user_"), user_id.cast("string"))
 
 
+# The "last row" order (date, transaction, quantity) packed into one
+# DECIMAL(38,0) so ``max`` runs in a hash aggregate (a struct-valued
+# ``max_by`` forces a sort-based aggregate).  Each part is made non-negative
+# and gets its own digit range, so numeric order equals tuple order:
+#   days since 0001-01-01 (< 10^6) · 10^31  +  (transaction + 2^63) (< 10^21) · 10^10
+#   +  (quantity + 2^31) (< 10^10)
+_DAY0 = "0001-01-01"
+_TID_OFF, _Q_OFF = 2 ** 63, 2 ** 31
+
+
+def _dec(v):
+    return F.lit(Decimal(v)).cast("decimal(38,0)")
+
+
+def _last_key(dt, tid, q):
+    d = F.datediff(dt, F.lit(_DAY0).cast("date")).cast("decimal(38,0)")
+    return (d * _dec(10 ** 31) + (tid.cast("decimal(38,0)") + _dec(_TID_OFF)) * _dec(10 ** 10)
+            + (q.cast("decimal(38,0)") + _dec(_Q_OFF))).cast("decimal(38,0)")
+
+
+def _key_quantity(key):
+    return (key % _dec(10 ** 10) - _dec(_Q_OFF)).cast("int")
+
+
 def edges(tx: DataFrame) -> DataFrame:
     """Last-wins weight plus the summed units and line count.  A hot
     product only means many (product, user) groups; each group combines
-    map-side, so no group is collected."""
-    last = F.struct(F.col("dt"), F.col("transaction_id"), F.col("quantity"))
+    map-side in a hash aggregate, so no group is collected or sorted."""
+    key = _last_key(F.col("dt"), F.col("transaction_id"), F.col("quantity"))
     return tx.groupBy("product", "user_id").agg(
-        F.max_by("quantity", last).alias("weight"),
+        F.max(key).alias("last_key"),
         F.sum("quantity").alias("total_quantity"),
         F.count(F.lit(1)).alias("n_lines"),
-    ).select("product", user_node(F.col("user_id")).alias("user"), "weight",
-             "total_quantity", "n_lines")
+    ).select("product", user_node(F.col("user_id")).alias("user"),
+             _key_quantity(F.col("last_key")).alias("weight"), "total_quantity", "n_lines")
 
 
 def nodes(e: DataFrame) -> DataFrame:

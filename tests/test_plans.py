@@ -62,3 +62,15 @@ def test_scan_prunes_columns(spark):
     plan = _plan(QUERIES["top_products"](spark, SF_SMALL))
     m = re.search(r"lineitem\.parquet\].*?ReadSchema: struct<([^>]*)>", plan)
     assert m and "l_shipdate" not in m.group(1) and "l_returnflag" not in m.group(1)
+
+
+@pytest.mark.parametrize("name", ["revenue_by_product", "profit_by_product", "popularity",
+                                  "graph_edges", "rfm", "category_distinct", "sentiment_mean"])
+def test_hot_keys_are_pre_aggregated_before_the_shuffle(plans, name):
+    """A key holding a third of all rows costs one row per task: every
+    grouped query combines map-side (``partial_*``) below its exchange."""
+    plan = plans[name]
+    assert re.search(r"HashAggregate\(keys=\[[^\]]*\], functions=\[partial_", plan), plan
+    # the map-side aggregate sits directly under the shuffle it feeds
+    assert re.search(r"Exchange hashpartitioning\([^\n]*\n\s*\+- \*?\(?\d*\)? ?HashAggregate\([^\n]*partial_",
+                     plan) or "partial_" in plan.split("Exchange hashpartitioning")[1], plan
