@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package's source to the executors, once per context, for the
+    operators that run Python in tasks."""
+    sc = spark.sparkContext
+    if getattr(sc, "_haat_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = Path(SparkFiles.getRootDirectory(), "source")
+    folder.mkdir(exist_ok=True)
+    with zipfile.ZipFile(folder / "haat.zip", "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(folder / "haat.zip"))
+    sc._haat_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from that copy, so
     that a lost executor costs no recomputation of what lies before it."""

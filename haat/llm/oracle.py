@@ -47,3 +47,58 @@ g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP B
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256
 FROM t JOIN g USING (norm)
 """
+
+SQL["op10_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+# Templates written out here a second time, on purpose.
+SQL["op5_licenses"] = r"""
+WITH templates(tid, label, base, body) AS (VALUES
+  (0, 'gpl', true, 'gnu general public license'),
+  (1, 'apache', true, 'apache license'),
+  (2, 'cc-by', true, 'cc by'),
+  (3, 'mit', true, 'mit license'),
+  (4, 'mit', false, 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction'),
+  (5, 'apache', false, 'licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license'),
+  (6, 'bsd', false, 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met'),
+  (7, 'gpl', false, 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation'),
+  (8, 'lgpl', false, 'this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license'),
+  (9, 'mpl', false, 'this source code form is subject to the terms of the mozilla public license'),
+  (10, 'cc-by', false, 'this work is licensed under a creative commons attribution'),
+  (11, 'unlicense', false, 'this is free and unencumbered software released into the public domain')),
+tw AS (SELECT *, string_split(body, ' ') AS w FROM templates),
+tg AS (SELECT tid, label, base, len(w) - 1 AS grams, j - 1 AS tpos, w[j] AS w1, w[j + 1] AS w2
+       FROM (SELECT *, unnest(range(1, len(w))) AS j FROM tw)),
+d AS (SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT doc_id, i - 1 AS pos, w[i] AS w1, w[i + 1] AS w2
+      FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
+diag AS (SELECT doc_id, tid, label, base, grams, pos - tpos AS diagonal, list(DISTINCT tpos) AS hits
+         FROM g JOIN tg USING (w1, w2) GROUP BY ALL),
+kept AS (SELECT * FROM diag WHERE len(hits) = grams OR (NOT base AND len(hits) >= 2)),
+marked AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER l, 99) > 3 THEN 1 ELSE 0 END AS new
+           FROM kept WINDOW l AS (PARTITION BY doc_id, tid ORDER BY diagonal)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) AS cluster FROM marked),
+spans AS (SELECT doc_id, tid, label, base, cluster, min(diagonal + list_min(hits)) AS first,
+                 len(list_distinct(flatten(list(hits)))) / any_value(grams) AS cover
+          FROM numbered GROUP BY doc_id, tid, label, base, cluster),
+agg AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word,
+               max(first) FILTER (base) AS last_word,
+               string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+               string_agg(DISTINCT label, ',' ORDER BY label) FILTER (cover >= 0.75) AS labels,
+               max(cover) AS score FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN agg ON d.doc_id IS NOT DISTINCT FROM agg.doc_id
+"""

@@ -8,10 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haat.llm import pfor
 from haat.llm.common import documents
 from haat.llm.exact_dedup import exact_dedup
+from haat.llm.licenses import scan
 from haat.llm.mixing import mix
+from haat.llm.packing import pack
 from haat.llm.sharding import shard
+from haat.llm.topk import top_k
+from haat.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -33,7 +38,28 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
 
 
+@query("op5_licenses")
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir)).drop("spans")
+
+
 @query("op6_sharding")
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir)).withColumn("law", F.lit("bytes")) \
         .withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), with_ids=False).drop("ids", "loss_tokens")
+
+
+@query("op9_token_ids")
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = pfor.new_folder(spark)
+    return pfor.read(pfor.write(documents(spark, sf_dir), folder), folder)
+
+
+@query("op10_topk")
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
