@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from haat.llm import pfor
 from haat.llm.common import documents
 from haat.llm.exact_dedup import exact_dedup
+from haat.llm.langid import identify
 from haat.llm.licenses import scan
+from haat.llm.line_dedup import line_dedup
 from haat.llm.mixing import mix
 from haat.llm.packing import pack
 from haat.llm.sharding import shard
+from haat.llm.simhash import near_dedup
 from haat.llm.topk import top_k
 from haat.sources.tables import table
 
@@ -28,6 +31,18 @@ def query(name: str):
     return deco
 
 
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir).select("doc_id", "text")) \
+        .select("doc_id", "n_lines", "deleted", "earlier", F.col("dedup_text").alias("text"))
+
+
+@query("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir)).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query("op3_mixing")
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir).select("doc_id", "source")).drop("mix_period")
@@ -49,6 +64,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir)).select(
+        "doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
 @query("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), with_ids=False).drop("ids", "loss_tokens")

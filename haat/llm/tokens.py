@@ -11,14 +11,19 @@ bound; that costs time, never results.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
 
-MAX_ENTRIES = 400_000      # pieces kept by a worker
+import numpy as np
+
+MAX_ENTRIES = 800_000      # pieces kept by a worker
 MAX_PIECE = 64             # characters of a piece that is kept
-BLANK = r"\s᠎"        # at least what the split pattern takes for white space
-ODD = re.compile(rf"[{BLANK}][{BLANK}]|^[{BLANK}]|[{BLANK}]$|᠎")
+# At least what the split pattern takes for white space, but for " " and "\n".
+RARE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎" + "".join(map(chr, range(0x2000, 0x200B))) \
+    + "    　"
+BLANK = r"\s᠎"
 CUT = re.compile(rf"(?<=[^{BLANK}]) (?=[^{BLANK}])")
 LATIN = re.compile(r"[\x00-ɏ]*")
 
@@ -46,46 +51,90 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.split = regex.compile(PATTERN)
-        self.first: dict[str, bytes] = {}     # a text's first piece
         self.inner: dict[str, bytes] = {}     # piece p, standing for " " + p
-        self.pre: dict[str, bytes] = {}       # pre-tokens
+        self.pre: dict[str, bytes] = {}       # pre-tokens of pieces that hold more than a word
+        self.ends = dict(zip(".,", self._library([".", ","])))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, table: dict, prefix: str, pieces: set) -> None:
-        latin, other = [], []
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of " word" for words of letters alone: as one text, which the
+        library splits into those very words again."""
+        e = self.lib.encode(" " + " ".join(words), add_special_tokens=False)
+        ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
+        ends = (np.flatnonzero(np.diff(of, append=-1)) + 1) * 4
+        raw, at, out = ids.tobytes(), 0, []
+        for end in ends.tolist():
+            out.append(raw[at:end])
+            at = end
+        if len(out) != len(words):
+            return self._library([" " + w for w in words])
+        return out
+
+    def _learn(self, pieces: set) -> None:
+        """Put the ids of " " + piece into the table, for each piece."""
+        inner, words, ended, mixed, other = self.inner, set(), [], [], []
         for p in pieces:
-            (latin if LATIN.fullmatch(p) else other).append(p)
-        found = [self.split.findall(prefix + p) for p in latin]
-        new = list({t for ts in found for t in ts} - self.pre.keys())
+            if not (p.isascii() or LATIN.fullmatch(p)):
+                other.append(p)
+            elif p.isalpha():
+                words.add(p)
+            elif p[-1:] in self.ends and p[:-1].isalpha():
+                ended.append(p)
+            else:
+                mixed.append(p)
+        bodies = [p[:-1] for p in ended]
+        words = list(words.union(bodies).difference(inner))
+        for a in range(0, len(words), 10_000):
+            inner.update(zip(words[a:a + 10_000], self._words(words[a:a + 10_000])))
+        for p, body in zip(ended, bodies):
+            inner[p] = inner[body] + self.ends[p[-1]]
+        parts = [self.split.findall(" " + p) for p in mixed]
+        new = list({t for ts in parts for t in ts if t not in self.pre})
         self.pre.update(zip(new, self._library(new)))
-        pre = self.pre
-        for p, ts in zip(latin, found):
-            table[p] = b"".join([pre[t] for t in ts])
-        table.update(zip(other, self._library([prefix + p for p in other])))
+        for p, ts in zip(mixed, parts):
+            inner[p] = b"".join([self.pre[t] for t in ts])
+        inner.update(zip(other, self._library([" " + p for p in other])))
         for t in new:
             if len(t) > MAX_PIECE:
-                del pre[t]
+                del self.pre[t]
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """The pieces: cut at each single space between two non-blanks."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in ("", " ", "\n") \
+                or text[-1] in " \n" or any(c in text for c in RARE):
+            return CUT.split(text)
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [t.split(" ") if not ODD.search(t) else CUT.split(t) for t in texts]
-        first, inner = self.first, self.inner
-        heads = {p[0] for p in parts} - first.keys()
-        if heads:
-            self._learn(first, "", heads)
-        rest = set().union(*[p[1:] for p in parts]) - inner.keys() if parts else set()
-        if rest:
-            self._learn(inner, " ", rest)
-        out = [first[p[0]] + b"".join([inner[x] for x in p[1:]]) for p in parts]
-        for table in (first, inner, self.pre):
+        collects = gc.isenabled()
+        gc.disable()       # no cycles are made here, and the tables are large
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        inner, heads, tails = self.inner, [], []
+        for t in texts:
+            head, *tail = self._cut(t)
+            heads.append(head)
+            tails.append(tail)
+        new = set().union(*tails).difference(inner)
+        if new:
+            self._learn(new)
+        get = inner.__getitem__
+        out = [h + b"".join(map(get, t)) for h, t in zip(self._library(heads), tails)]
+        for p in new:
+            if len(p) > MAX_PIECE:
+                del inner[p]
+        for table in (inner, self.pre):
             if len(table) > MAX_ENTRIES:
                 table.clear()
-        for table, new in ((first, heads), (inner, rest)):
-            for p in new:
-                if len(p) > MAX_PIECE:
-                    table.pop(p, None)
         return out
 
 
