@@ -1,8 +1,73 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""Corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing,
+packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of
+``documents``.  ``run`` writes each stage to a folder that all executors share
+and hands the reread table to the next, so a lost executor costs at most one
+stage's work.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from haat.llm.common import documents, shared_dir
+from haat.llm.langid import accepted
+from haat.llm.line_dedup import rewritten
+from haat.llm.mixing import mix
+from haat.llm.packing import pack
+from haat.llm.simhash import near_dedup
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language models reject go."""
+    return accepted(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds go, and documents left without any."""
+    return rewritten(docs)
+
+
+def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays
+    (with several rows of that id, all of them; rows without id stay where no
+    row of their group has one)."""
+    found = near_dedup(docs)
+    stays = found.filter(found.doc_id.eqNullSafe(found.component_id)).select(found.doc_id.alias("_id")).distinct()
+    return docs.join(stays, docs.doc_id.eqNullSafe(stays._id), "left_semi")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the schedule."""
+    return mix(docs).orderBy("mix_position", "mix_place").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces in sequences of at most 1,024 tokens, with their ids."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash", simhash),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+# Language models, alignment and packing have no SQL; tests/llm holds the
+# stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex[:12]}"
+    for i, (name, stage) in enumerate(STAGES):
+        path = f"{base}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
