@@ -80,13 +80,13 @@ def count_grams(rows: DataFrame) -> DataFrame:
             held[lang] = [(keys, np.bincount(at, np.concatenate([n for _, n in held[lang]])).astype(np.int64))]
 
         for batch in batches:
-            for langs, texts in in_chunks(batch.column(1).to_pylist(), batch.column(0).to_pylist(), 2_000_000):
+            for langs, texts in in_chunks(batch.column(1).to_pylist(), batch.column(0).to_pylist(), 500_000):
                 names = sorted(set(langs))
                 keys, of = grams(texts)
                 code = np.searchsorted(names, langs)[of] if len(names) else of
                 for i, lang in enumerate(names):
                     held.setdefault(lang, []).append(np.unique(keys[code == i], return_counts=True))
-                    if sum(len(k) for k, _ in held[lang][1:]) > 1_000_000:
+                    if sum(len(k) for k, _ in held[lang][1:]) > 300_000:
                         settle(lang)
         for lang in held:
             settle(lang)
@@ -144,9 +144,9 @@ class Model:
         """(characters, cross-entropy [text, language]) in nats per character."""
         n, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.langs)))
         keys, of = grams(texts)
-        for a in range(0, len(keys), 500_000):
-            logs = np.log(self.prob(4, keys[a:a + 500_000]))
-            part = of[a:a + 500_000]
+        for a in range(0, len(keys), 200_000):
+            logs = np.log(self.prob(4, keys[a:a + 200_000]))
+            part = of[a:a + 200_000]
             starts = np.flatnonzero(np.diff(part, prepend=-1))
             total[part[starts]] -= np.add.reduceat(logs, starts, axis=0, dtype=np.float64)
         n += np.bincount(of, minlength=len(texts))
@@ -266,7 +266,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         cols = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
             ids = list(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))))
-            for some, texts in in_chunks(ids, batch.column(1).to_pylist(), 8_000_000 // max(len(model.langs), 4)):
+            for some, texts in in_chunks(ids, batch.column(1).to_pylist(), 2_000_000 // max(len(model.langs), 4)):
                 empty = np.array([not has_letter(t) for t in texts])
                 if not model.langs:
                     empty[:] = True

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from haat.llm.common import cut, ship
 
 CELL = 8192            # fingerprints that a cell holds; eight times as many probes
-PAIRS = 2_000_000      # pairs that are compared at once
+PAIRS = 500_000      # pairs that are compared at once
 SIZES = (22, 21, 21)   # bits of each group
 BLOCK_BITS = 11        # bits of the blocks that the histograms count
 DEEPEST = 2            # largest threshold of one group

@@ -18,7 +18,7 @@ from array import array
 
 import numpy as np
 
-MAX_ENTRIES = 800_000      # pieces kept by a worker
+MAX_ENTRIES = 300_000      # pieces kept by a worker
 MAX_PIECE = 64             # characters of a piece that is kept
 # At least what the split pattern takes for white space, but for " " and "\n".
 RARE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎" + "".join(map(chr, range(0x2000, 0x200B))) \
