@@ -50,18 +50,27 @@ def clean_answer(text: Column) -> Column:
             .otherwise(body))
 
 
-# JSON response shapes tried in order (first non-null wins).
-REPLY_SHAPES = [
-    "$.candidates[0].content", "$.candidates[0].output", "$.candidates[0].text",
-    "$.output[0].content", "$.output[0].text",
-    "$.outputs[0].content", "$.outputs[0].text",
-    "$.response",
-]
-
-
-def first_json_value(js: Column, paths=None) -> Column:
-    """first non-null of several JSON paths."""
-    return F.coalesce(*[F.get_json_object(js, p) for p in (paths or REPLY_SHAPES)])
+# FIXED VALUES — response shapes in the order tried: list key, then its text keys.
+REPLY_SHAPES = [("candidates", ("content", "output", "text")), ("output", ("content", "text")),
+                ("outputs", ("content", "text"))]
+
+
+def reply_text(js: Column, extra_keys=()) -> Column:
+    """the text of a JSON reply.  The first shape that is present decides,
+    whether or not it holds a text; of its keys the first that is not empty
+    counts.  Only an object as first list item counts as present (for
+    ``candidates``: any item).  Without a shape: ``response``, then the extra
+    top-level keys."""
+    get = F.get_json_object
+    rest = F.coalesce(get(js, "$.response"), *[get(js, f"$.{k}") for k in extra_keys])
+    out = rest
+    for key, fields in reversed(REPLY_SHAPES):
+        first = get(js, f"$.{key}[0]")
+        present = first.isNotNull() if key == "candidates" else first.startswith("{")
+        texts = [get(js, f"$.{key}[0].{f}") for f in fields]
+        text = F.coalesce(*[F.nullif(t, F.lit("")) for t in texts[:-1]], texts[-1])
+        out = F.when(F.coalesce(present, F.lit(False)), text).otherwise(out)
+    return out
 
 
 def first_two_joined(arr: Column, sep: str = ", ") -> Column:

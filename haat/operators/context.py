@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 
 from haat.functions.numeric import fmt2
 from haat.operators import forecast, graph, pricing, recommend, sentiment
-from haat.operators.daily import materialized_daily
+from haat.operators.daily import daily_stats
 
 
 def dashboard_context(tx: DataFrame, sent: DataFrame, daily: DataFrame | None = None) -> DataFrame:
-    """``daily`` is the (ideally checkpointed) daily cube of ``tx``; forecast,
+    """``daily`` is the daily cube of ``tx``; forecast,
     price and popularity read it, only the graph needs the facts again."""
-    daily = daily if daily is not None else materialized_daily(tx)
+    daily = daily if daily is not None else daily_stats(tx)
     prods = recommend.popularity(daily).select("product")
     fc = forecast.forecast_latest(daily).select("product", F.col("yhat").alias("f_yhat"))
     pr = pricing.price_parity(daily).select("product", "current_price", "optimized_price")
     se = sentiment.sentiment_mean(sent).select("product", F.col("sentiment").alias("s_avg"))
-    gi = graph.insights(graph.edges(tx)).select("product", "insight")
+    gi = graph.insight_text(graph.edges(tx))
     # the whole recommendation line is built inside one scalar subquery
     # (at most 5 names are collected), referenced once below
     names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "product"))),

@@ -3,11 +3,9 @@
 Forecasting, pricing, regression and popularity only need, per product and
 day, the row count, the unit sum, the sum of squared units, the price sum
 and the revenue.  This table has at most products × calendar days rows no
-matter how many transactions there are, so it is computed in one pass over
-the fact table (partial aggregation map-side) and then checkpointed to the
-shared checkpoint folder: every model step afterwards reads the small
-checkpoint instead of re-scanning the facts, and a lost executor costs a
-re-read, not a recomputation.
+matter how many transactions there are.  It is one aggregation over the
+fact table (combined map-side), planned together with what reads it: where a
+query reads it twice, Spark reuses the exchange.
 """
 
 from __future__ import annotations
@@ -15,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haat.session import scratch_dir
-
 
 def daily_stats(tx: DataFrame) -> DataFrame:
     q = F.col("quantity")
@@ -29,12 +25,6 @@ def daily_stats(tx: DataFrame) -> DataFrame:
     )
 
 
-def materialized_daily(tx: DataFrame) -> DataFrame:
-    """``daily_stats`` cut from its lineage with a reliable checkpoint."""
-    scratch_dir(tx.sparkSession)              # makes sure a checkpoint dir is set
-    return daily_stats(tx).checkpoint(eager=True)
-
-
 def as_daily(tx_or_daily: DataFrame) -> DataFrame:
     """Accept either the fact table or an already built daily cube."""
     return tx_or_daily if "n_rows" in tx_or_daily.columns and "qty_sq" in tx_or_daily.columns \

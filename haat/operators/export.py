@@ -96,13 +96,12 @@ def write_forecast_report(forecast: DataFrame, out_dir: str) -> str:
 
 
 def write_comparison_export(tx: DataFrame, products, out_dir: str) -> dict[str, str]:
-    """Comparison statistics plus one folder per product (sheet names are
-    cut to 30 characters in the reference; folder values are cut the same)."""
+    """Comparison statistics plus one folder per product, by its full name."""
     from haat.operators.compare import _restrict, comparison_stats
     stats_path = os.path.join(out_dir, "comparison")
     comparison_stats(tx, products).write.mode("overwrite").parquet(stats_path)
     rows_path = os.path.join(out_dir, "products")
-    (_restrict(tx, products).withColumn("sheet", F.substring("product", 1, 30))
+    (_restrict(tx, products).withColumn("sheet", F.col("product"))
      .write.mode("overwrite").partitionBy("sheet").parquet(rows_path))
     return {"comparison": stats_path, "products": rows_path}
 

@@ -163,75 +163,3 @@ def error_by_group(tx_or_daily: DataFrame) -> DataFrame:
     both = per.unionByName(overall)
     return both.select("group", "n", rnd(F.col("abs_sum") / F.col("n"), 4).alias("mae"))
 
-
-FOURIER_SCHEMA = "product string, ds date, yhat double, yhat_lower double, yhat_upper double"
-
-
-def _fourier_design(days_since_origin, doy, weekday, order: int):
-    """Columns: intercept, trend, yearly Fourier pairs, weekday dummies."""
-    import numpy as np
-    cols = [np.ones_like(days_since_origin, dtype=float), days_since_origin.astype(float)]
-    for k in range(1, order + 1):
-        ang = 2.0 * np.pi * k * doy / 365.25
-        cols += [np.sin(ang), np.cos(ang)]
-    for wd in range(1, 7):
-        cols.append((weekday == wd).astype(float))
-    return np.column_stack(cols)
-
-
-def forecast_fourier(tx_or_daily: DataFrame, horizon: int = 30, order: int = 3,
-                     grain: str = "day", z: float = Z80, min_rows: int = 10) -> DataFrame:
-    """M1 option closer to the reference's model: trend + yearly Fourier
-    terms + weekday effects, fitted by (weighted) least squares per product.
-
-    Solving a small linear system per product is not expressible in SQL, so
-    this is the one place that drops to ``groupBy().applyInPandas``: Spark
-    shuffles the daily cube by product, and each group is one product's days
-    — at most the calendar's length, whatever the number of transactions.
-    At row grain each day is one row weighted by its transaction count, with
-    the within-day spread added to the residual variance (exact for
-    per-transaction least squares).
-    """
-    daily = as_daily(tx_or_daily)
-    obs = daily.select("product", "dt", F.col("n_rows").cast("double").alias("n"),
-                       F.col("qty").cast("double").alias("sy"),
-                       F.col("qty_sq").cast("double").alias("syy"))
-    origin = ORIGIN
-
-    def fit_one(pdf):
-        import numpy as np
-        import pandas as pd
-        if (grain == "row" and pdf["n"].sum() < min_rows) or (grain == "day" and len(pdf) < min_rows):
-            return pd.DataFrame(columns=["product", "ds", "yhat", "yhat_lower", "yhat_upper"])
-        pdf = pdf.sort_values("dt")
-        dts = pd.to_datetime(pdf["dt"])
-        t = (dts - pd.Timestamp(origin)).dt.days.to_numpy()
-        X = _fourier_design(t, dts.dt.dayofyear.to_numpy(), dts.dt.weekday.to_numpy(), order)
-        if grain == "row":
-            w = pdf["n"].to_numpy()
-            y = pdf["sy"].to_numpy() / w
-        else:
-            w = np.ones(len(pdf))
-            y = pdf["sy"].to_numpy()
-        sw = np.sqrt(w)
-        beta, *_ = np.linalg.lstsq(X * sw[:, None], y * sw, rcond=None)
-        fitted = X @ beta
-        if grain == "row":      # per-transaction residuals: within-day spread + day-mean error
-            ss = float(np.sum(pdf["syy"].to_numpy() - 2 * fitted * pdf["sy"].to_numpy() + w * fitted ** 2))
-            n = float(w.sum())
-        else:
-            ss = float(np.sum((y - fitted) ** 2))
-            n = float(len(y))
-        sigma = float(np.sqrt(max(ss, 0.0) / (n - 1))) if n > 1 else 0.0
-        last = dts.iloc[-1]
-        fut = pd.date_range(last + pd.Timedelta(days=1), periods=horizon, freq="D")
-        tf = (fut - pd.Timestamp(origin)).days.to_numpy()
-        yhat = _fourier_design(tf, fut.dayofyear.to_numpy(), fut.weekday.to_numpy(), order) @ beta
-        return pd.DataFrame({"product": pdf["product"].iloc[0], "ds": fut.date,
-                             "yhat": yhat, "yhat_lower": yhat - z * sigma,
-                             "yhat_upper": yhat + z * sigma})
-
-    out = obs.groupBy("product").applyInPandas(fit_one, FOURIER_SCHEMA)
-    return out.select("product", "ds", rnd(F.col("yhat")).alias("yhat"),
-                      rnd(F.col("yhat_lower")).alias("yhat_lower"),
-                      rnd(F.col("yhat_upper")).alias("yhat_upper"))

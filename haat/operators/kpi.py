@@ -78,11 +78,13 @@ def trending_product(tx: DataFrame, p: Periods) -> DataFrame:
             .select("name", "growth"))
 
 
-def kpi_sheet(tx: DataFrame, p: Periods, approx_customers: bool = False) -> DataFrame:
+def kpi_sheet(tx: DataFrame, p: Periods, orders: DataFrame | None = None,
+              approx_customers: bool = False) -> DataFrame:
     """K1: the one-row KPI sheet.
 
-    Plan: one grouped pass per product (6 rows out), one pass per order
-    (reuses the join's order-key partitioning), and scalar subqueries to put
+    Plan: one grouped pass per product (6 rows out), the order and customer
+    counts from ``orders`` (one row per order, ``adapter.order_totals``: no part
+    join; by default grouped from ``tx``), and scalar subqueries to put
     the pieces into one row — no cross join.  ``approx_customers`` swaps the
     exact distinct count for HyperLogLog++ (A3 option; no shuffle by user).
     """
@@ -99,8 +101,9 @@ def kpi_sheet(tx: DataFrame, p: Periods, approx_customers: bool = False) -> Data
     )
     # Each piece is one struct-valued scalar subquery, referenced once, so
     # every sub-plan runs once.
-    orders = (tx.groupBy("transaction_id").agg(F.max("user_id").alias("user_id"))
-              .agg(F.struct(F.count(F.lit(1)).alias("n_orders"),
+    if orders is None:
+        orders = tx.groupBy("transaction_id").agg(F.max("user_id").alias("user_id"))
+    orders = (orders.agg(F.struct(F.count(F.lit(1)).alias("n_orders"),
                             (F.approx_count_distinct("user_id") if approx_customers
                              else F.countDistinct("user_id")).alias("n_customers")).alias("s")))
     trend = trending_product(tx, p).select(F.struct("name", "growth").alias("s"))

@@ -22,37 +22,41 @@ def recommend_popular(tx: DataFrame, n: int = 5) -> DataFrame:
                       F.col("n").alias("score"))
 
 
+def dense_ids(df: DataFrame, col: str, out: str, buckets: int = 1024) -> DataFrame:
+    """The distinct values of ``col`` with a dense 0-based int ``out``: numbered
+    inside hash buckets, each bucket shifted by the sizes of those before it
+    (``buckets`` rows), so no task sees all values."""
+    vals = df.select(col).distinct().withColumn("_b", F.pmod(F.xxhash64(col), F.lit(buckets)))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = vals.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_b").orderBy(col))
+    return vals.withColumn("_r", local).join(shift, "_b").select(
+        col, (F.col("_off") + F.col("_r") - 1).cast("int").alias(out))
+
+
 def recommend_als(tx: DataFrame, n: int = 5, rank: int = 8, max_iter: int = 10,
-                  reg: float = 0.1, seed: int = 42, blocks: int | None = None) -> DataFrame:
+                  reg: float = 0.1, seed: int = 42, blocks: int = 10) -> DataFrame:
     """M6/M7: implicit-feedback ALS on real (user, product, units) and the
     top-n products per user (``recommendForAllUsers``).
 
     The reference trains on random users and ratings; here the ratings are
-    the units each user bought of each product.  Product ids are a dense
-    rank over the distinct products (a small table, joined back by key).
-    The user/item block count follows the cluster's parallelism (half the
-    default parallelism, between 2 and 1000) unless ``blocks`` is given.
+    the units each user bought of each product.  Users and
+    products get dense int ids by distributed numbering, so ids may have any
+    size.  ``blocks`` is a parameter, not a property of the cluster, so that
+    results do not depend on where the job runs.
     """
     from pyspark.ml.recommendation import ALS
 
     ratings = tx.groupBy("user_id", "product").agg(F.sum("quantity").cast("float").alias("units"))
-    items = (ratings.select("product").distinct()
-             .withColumn("item", F.dense_rank().over(Window.orderBy("product")) - 1))
-    data = ratings.join(items, "product").select(
-        F.col("user_id").cast("int").alias("user"), F.col("item").cast("int").alias("item"), "units")
-    if blocks is None:
-        try:
-            par = tx.sparkSession.sparkContext.defaultParallelism
-        except Exception:  # noqa: BLE001 - sessions without a local context
-            par = 20
-        blocks = min(max(2, par // 2), 1000)
+    items, users = dense_ids(ratings, "product", "item"), dense_ids(ratings, "user_id", "user")
+    data = ratings.join(items, "product").join(users, "user_id").select("user", "item", "units")
     als = ALS(userCol="user", itemCol="item", ratingCol="units", implicitPrefs=True, rank=rank,
               maxIter=max_iter, regParam=reg, seed=seed, coldStartStrategy="drop",
               numUserBlocks=blocks, numItemBlocks=blocks)
     model = als.fit(data)
     recs = model.recommendForAllUsers(n).select(
-        F.col("user").cast("long").alias("user_id"),
-        F.posexplode("recommendations").alias("pos", "rec"))
+        "user", F.posexplode("recommendations").alias("pos", "rec")).join(users, "user")
     return recs.join(items, recs.rec.item == items.item).select(
         "user_id", (F.col("pos") + 1).alias("rank"), "product",
         F.col("rec.rating").alias("score"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haat.functions.numeric import clamp, rnd, safe_div
 
 # Our own small valence lexicon (VADER-like scale −4…4).  It is a parameter:
-# pass a bigger one to ``lexicon_frame`` for real use.
+# pass another one to ``lexicon_sentiment`` for real use.
 LEXICON = {
     "amazing": 2.8, "awesome": 3.1, "best": 3.2, "better": 1.9, "comfy": 1.5, "durable": 1.2,
     "educational": 1.2, "excellent": 2.7, "fast": 1.0, "fresh": 1.3, "good": 1.9,
@@ -23,36 +23,31 @@ LEXICON = {
 NORMALIZATION_ALPHA = 15.0
 
 
-def lexicon_frame(spark: SparkSession, lexicon: dict | None = None) -> DataFrame:
-    """The lexicon as a two-column table (bounded by the dict it comes from)."""
-    items = sorted((lexicon or LEXICON).items())
-    return spark.createDataFrame(items, "word string, valence double")
-
-
 def tokens(text):
     """Lower-cased letter runs of the whole text (no prefix, no cap)."""
     return F.filter(F.split(F.lower(text), "[^\\p{L}]+"), lambda t: t != "")
 
 
-def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
+def lexicon_sentiment(docs: DataFrame, lexicon: dict[str, float] | None = None, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """Sum of word valences per document, normalised with
     ``s / sqrt(s² + 15)`` and clamped to [0.35, 0.95] like the ingestion.
 
-    Each token becomes a row inside the task that read the document; the
-    lexicon is joined by broadcast (its size is the literal dict), and the
-    per-document aggregation combines map-side, so only one row per document
-    per task is shuffled.
+    Everything happens in the row: the tokens stay in their array, those that
+    are in the literal word set are kept, and only they are looked up and
+    added.  No join, no shuffle.
     """
-    words = docs.select(F.col(id_col), F.explode_outer(tokens(F.col(text_col))).alias("word"))
-    hits = words.join(F.broadcast(lexicon), "word", "left")
-    agg = hits.groupBy(id_col).agg(
-        F.count("word").alias("n_tokens"),
-        F.count("valence").alias("n_hits"),
-        F.coalesce(F.sum("valence"), F.lit(0.0)).alias("score_raw"))
-    s = F.col("score_raw")
+    lexicon = LEXICON if lexicon is None else lexicon
+    valence = F.create_map(*[F.lit(x) for item in sorted(lexicon.items()) for x in item])
+    words = F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))
+    hits = F.filter("words", lambda w: w.isin(*sorted(lexicon)))
+    out = docs.select(F.col(id_col), words.alias("words")).select(
+        id_col, F.size("words").cast("long").alias("n_tokens"), hits.alias("hits"))
+    out = out.select(id_col, "n_tokens", F.size("hits").cast("long").alias("n_hits"), F.aggregate(
+        "hits", F.lit(0.0), lambda s, w: s + F.element_at(valence, w)).alias("s"))
+    s = F.col("s")
     compound = s / F.sqrt(s * s + F.lit(NORMALIZATION_ALPHA))
-    return agg.select(id_col, "n_tokens", "n_hits", rnd(s, 4).alias("score"),
+    return out.select(id_col, "n_tokens", "n_hits", rnd(s, 4).alias("score"),
                       rnd(compound, 4).alias("compound"),
                       rnd(clamp(compound, 0.35, 0.95), 4).alias("sentiment"))
 

@@ -1,13 +1,11 @@
-"""Date spines and seasonal rules."""
+"""Date spines and the seasonal index."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haat.functions.numeric import money, rnd
+from haat.functions.numeric import money, rnd, safe_div
 
 
 def daily_spine(tx: DataFrame) -> DataFrame:
@@ -29,51 +27,14 @@ def daily_spine(tx: DataFrame) -> DataFrame:
         money(F.when(first, F.col("rev")).otherwise(F.lit(0))).alias("revenue"))
 
 
-# Seasonal boost rules: (months, categories, factor), applied in order with
-# later rules overwriting earlier ones, then a weekend multiplier.
-# FIXED VALUES — the large generator's rules.
-BOOST_RULES = [
-    ((3, 4), ("food", "clothing", "cosmetics"), 2.0),
-    ((4, 5, 7, 8), ("clothing", "cosmetics", "toys", "mobile"), 2.3),
-    ((11, 12, 1, 2), ("electronics", "clothing", "home_exercise"), 1.5),
-    ((1,), ("mobile", "electronics", "exercise_accessories", "home_exercise"), 1.7),
-]
-WEEKEND_DAYS = (4, 5)          # Friday, Saturday (Monday = 0)
-WEEKEND_FACTOR = 1.2
-# FIXED VALUES — the small generator's rules and weekend factor.
-BOOST_RULES_SMALL = [
-    ((3, 4), ("food", "clothing", "cosmetics"), 1.8),
-    ((4, 5, 7, 8), ("clothing", "cosmetics", "toys", "mobile"), 2.2),
-    ((11, 12, 1, 2), ("electronics", "clothing", "home_exercise"), 1.4),
-    ((1,), ("mobile", "electronics", "exercise_accessories", "home_exercise"), 1.6),
-]
-WEEKEND_FACTOR_SMALL = 1.3
-
-
-def seasonal_boost_col(dt, category, rules=BOOST_RULES, weekend=WEEKEND_DAYS,
-                       weekend_factor=WEEKEND_FACTOR):
-    """``when`` chain in reverse rule order (the last matching rule
-    wins), times the weekend factor."""
-    m = F.month(dt)
-    expr = None
-    for months, cats, factor in reversed(rules):
-        cond = m.isin(*months) & category.isin(*cats)
-        expr = F.when(cond, F.lit(factor)) if expr is None else expr.when(cond, F.lit(factor))
-    base = expr.otherwise(F.lit(1.0)) if expr is not None else F.lit(1.0)
-    return base * F.when(F.weekday(dt).isin(*weekend), F.lit(weekend_factor)).otherwise(F.lit(1.0))
-
-
-def season_wave(dt, amplitude: float = 0.1):
-    """``sin(dayofyear / 365 · 2π) · amplitude``."""
-    return F.sin(F.dayofyear(dt) / 365.0 * (2 * math.pi)) * amplitude
-
-
-def seasonal_boost(tx: DataFrame, rules=BOOST_RULES) -> DataFrame:
-    """Per product-day: units sold, the rule boost and the seasonal wave."""
-    daily = tx.groupBy("dt", "product", "category").agg(F.sum("quantity").alias("quantity"))
-    return daily.select("dt", "product", "quantity",
-                        rnd(seasonal_boost_col(F.col("dt"), F.col("category"), rules), 4).alias("boost"),
-                        rnd(season_wave(F.col("dt")), 6).alias("wave"))
+def seasonal_index(tx: DataFrame) -> DataFrame:
+    """per product and calendar month, revenue over the product's mean
+    month (1.0 = an average month).  The window sees at most 12 rows per
+    product."""
+    by = tx.groupBy("product", F.month("dt").alias("month")).agg(F.sum("total_amount").alias("rev"))
+    mean = F.avg(F.col("rev").cast("double")).over(Window.partitionBy("product"))
+    return by.select("product", "month", money(F.col("rev")).alias("revenue"),
+                     rnd(safe_div(F.col("rev"), mean), 4).alias("seasonal_index"))
 
 
 def category_distinct(tx: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haat.functions import labels as L
-from haat.functions.text import clean_answer, has_bengali
+from haat.functions.text import clean_answer, has_bengali, reply_text
 
 
 def answer_cleanup(conv: DataFrame) -> DataFrame:
@@ -20,20 +20,8 @@ def bengali_flag(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def json_reply(events: DataFrame, extra_keys=("k",)) -> DataFrame:
-    """first non-null JSON value among the reply shapes (then the extra
-    top-level keys) for each event's ``props``.
-
-    ``json_tuple`` parses each document once for all top-level keys; only
-    the keys that are present are parsed again for their nested path.  The
-    result equals probing every full path with ``get_json_object``.
-    """
-    keys = ["candidates", "output", "outputs", "response", *extra_keys]
-    top = events.select("event_id", F.json_tuple(F.col("props"), *keys).alias(*keys))
-    nested = [F.get_json_object(F.col("candidates"), f"$[0].{f}") for f in ("content", "output", "text")]
-    nested += [F.get_json_object(F.col("output"), f"$[0].{f}") for f in ("content", "text")]
-    nested += [F.get_json_object(F.col("outputs"), f"$[0].{f}") for f in ("content", "text")]
-    return top.select("event_id", F.coalesce(*nested, F.col("response"),
-                                             *[F.col(k) for k in extra_keys]).alias("reply"))
+    """F25 on each event's ``props`` (see ``functions.text.reply_text``)."""
+    return events.select("event_id", reply_text(F.col("props"), extra_keys).alias("reply"))
 
 
 def date_labels(dates: DataFrame, col: str = "dt") -> DataFrame:

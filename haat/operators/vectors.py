@@ -4,11 +4,11 @@ The reference only adds vectors to a flat L2 index.  The lookup it enables
 is exact k-nearest-neighbour search; here the query set is the centroid of
 each label, scored against every stored vector.
 
-Plan: the query set (labels × dimension floats, size checked in the plan
-with ``raise_error``) rides along as one array column; every vector is
-scored map-side against all queries, and the ``rank <= k`` filter over the
-per-query window becomes a partial group limit before the shuffle, so each
-query's group holds at most k rows per task — no all-pairs table is kept.
+Plan: vectors are dealt into blocks by id hash and the query table is
+repeated once per block, so each block of vectors meets each query through an
+equality join, whatever the number of queries, and nothing goes through the
+driver.  The ``rank <= k`` filter over the per-query window becomes a group
+limit before the shuffle, so only k rows per query and task are kept.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from haat.functions.numeric import rnd
 
-MAX_QUERIES = 4096
-
 
 def centroids(emb: DataFrame) -> DataFrame:
     """Per label: element-wise mean vector (aggregated per (label, position)
@@ -38,16 +36,12 @@ def l2(a, b):
     return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, v: acc + v))
 
 
-def knn_l2(emb: DataFrame, queries: DataFrame, k: int = 5, max_queries: int = MAX_QUERIES) -> DataFrame:
+def knn_l2(emb: DataFrame, queries: DataFrame, k: int = 5, blocks: int = 256) -> DataFrame:
     """Exact top-k by L2 for each query ``(qid, vec)`` over all of ``emb``."""
-    qs = queries.agg(F.collect_list(F.struct("qid", "vec")).alias("qs"))
-    qs = qs.select(F.when(F.size("qs") <= max_queries, F.col("qs"))
-                   .otherwise(F.raise_error(F.lit("knn_l2: query set larger than max_queries")))
-                   .alias("qs"))
-    scored = emb.withColumn("qs", qs.select("qs").scalar()).select(
-        "vec_id", F.explode(F.transform(
-            "qs", lambda q: F.struct(q["qid"].alias("qid"), l2(q["vec"], F.col("embedding")).alias("d"))
-        )).alias("s")).select("vec_id", "s.qid", "s.d")
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    per_block = queries.select("qid", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    scored = emb.select("vec_id", "embedding", block.alias("b")).join(per_block, "b").select(
+        "vec_id", "qid", l2(F.col("vec"), F.col("embedding")).alias("d"))
     w = Window.partitionBy("qid").orderBy(F.col("d").asc(), F.col("vec_id").asc())
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("qid", "rank", "vec_id", rnd(F.col("d"), 4).alias("distance")))

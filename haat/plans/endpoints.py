@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from haat.operators import (compare, context, customers, export, forecast, graph, kpi, marketing,
                             pricing, profit, recommend, seasonal, sentiment, stock, trends)
-from haat.operators.daily import materialized_daily
+from haat.operators.daily import daily_stats
 from haat.plans.context import Ctx
 from haat.sources import adapter
 from haat.sources.catalog import catalog_from_parts
@@ -32,7 +32,7 @@ class Dashboard:
     @property
     def daily(self) -> DataFrame:
         if self._daily is None:
-            self._daily = materialized_daily(self.ctx.tx)
+            self._daily = daily_stats(self.ctx.tx)
         return self._daily
 
     # --- model endpoints ---------------------------------------------------------
@@ -88,7 +88,7 @@ class Dashboard:
     # --- analytics -------------------------------------------------------------------
     def kpis(self) -> dict[str, DataFrame]:
         """/api/analytics/kpis"""
-        return {"sheet": kpi.kpi_sheet(self.ctx.tx, self.ctx.periods),
+        return {"sheet": kpi.kpi_sheet(self.ctx.tx, self.ctx.periods, self.ctx.orders),
                 "top_products": kpi.top_products(self.ctx.lines)}
 
     def stock_alert(self, current_stock=100) -> DataFrame:
@@ -130,5 +130,6 @@ class Dashboard:
 
     def chat_context(self, product: str = "clothing") -> DataFrame:
         """The data block the chat endpoints send with a prompt."""
-        return context.dashboard_context(self.ctx.tx, self._sent(), self.daily).where(
+        return context.dashboard_context(
+            self.ctx.tx, adapter.product_sentiment(self.ctx.spark, self.ctx.sf_dir), self.daily).where(
             F.col("product") == product)

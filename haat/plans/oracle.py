@@ -28,12 +28,13 @@ TX = """tx AS (
   SELECT l.l_orderkey AS transaction_id, o.o_orderdate AS order_ts,
          CAST(o.o_orderdate AS DATE) AS dt, p.p_type AS product, p.p_type AS category,
          p.p_brand AS brand, p.p_name AS product_name, CAST(l.l_quantity AS INTEGER) AS quantity,
-         l.l_extendedprice / l.l_quantity AS price,
+         l.l_extendedprice / NULLIF(l.l_quantity, 0) AS price,
          CAST(l.l_extendedprice AS DECIMAL(18,2)) AS total_amount, o.o_custkey AS user_id,
          l.l_discount > 0 AS discount_applied
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-  JOIN part p ON l.l_partkey = p.p_partkey)"""
-AO = "ao AS (SELECT CAST(max(o_orderdate) AS DATE) AS as_of FROM orders)"
+  FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
+  LEFT JOIN part p ON l.l_partkey = p.p_partkey)"""
+AO = """ao AS (SELECT CAST(max(o_orderdate) AS DATE) AS as_of FROM orders
+  WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))"""
 
 LAST = "(dt > as_of - 30 AND dt <= as_of)"
 PREV = "(dt > as_of - 60 AND dt <= as_of - 30)"
@@ -240,8 +241,6 @@ FROM tx WHERE dt >= DATE '{Q.RANGE_START}' AND dt <= DATE '{Q.RANGE_END}'"""
 
 # --- sentiment, interest and text ---------------------------------------------------
 from haat.functions import text as TXT  # noqa: E402
-from haat.operators import sentiment as SENTOP  # noqa: E402
-from haat.operators import spine as SPINE  # noqa: E402
 
 SENT = """sent AS (SELECT CAST(ts AS DATE) AS date, event_type AS product,
   greatest(CAST(0.35 AS DOUBLE), least(CAST(0.95 AS DOUBLE), value / 100.0)) AS sentiment FROM events)"""
@@ -263,19 +262,40 @@ FROM sp LEFT JOIN wk ON sp.product = wk.product AND sp.week = wk.week"""
 SQL["social_weekly"] = W(SENT, *WEEKLY) + WEEKLY_SELECT
 SQL["append_dedup"] = SQL["social_weekly"]
 
-_LEX = ", ".join(f"({lit(w)}, CAST({v!r} AS DOUBLE))" for w, v in sorted(SENTOP.LEXICON.items()))
-SQL["lexicon_sentiment"] = W(
-    f"lex AS (SELECT * FROM (VALUES {_LEX}) t(word, valence))",
-    r"""tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}]+'),
+# Words and values stated here again, on purpose.
+LEXICON = {
+    "amazing": 2.8, "awesome": 3.1, "best": 3.2, "better": 1.9, "comfy": 1.5, "durable": 1.2,
+    "educational": 1.2, "excellent": 2.7, "fast": 1.0, "fresh": 1.3, "good": 1.9,
+    "great": 3.1, "happy": 2.7, "helpful": 1.8, "love": 3.2, "lovely": 2.8, "nice": 1.8,
+    "perfect": 2.7, "recommended": 1.5, "safe": 1.9, "useful": 1.9, "value": 1.4,
+    "wonderful": 2.7, "affordable": 1.3, "fine": 0.8, "glad": 2.0, "like": 1.5,
+    "bad": -2.5, "broken": -2.0, "cheap": -0.8, "damaged": -2.2, "disappointed": -2.3,
+    "fake": -2.2, "hate": -2.7, "late": -1.1, "poor": -2.1, "problem": -1.7, "refund": -1.0,
+    "slow": -1.3, "terrible": -2.9, "useless": -2.4, "waste": -2.2, "worst": -3.1,
+    "wrong": -2.1, "awful": -2.9, "sad": -2.1, "angry": -2.3, "error": -1.5,
+}
+DOCUMENT_WORDS = {"the": 0.5, "and": -0.2, "that": -0.9, "der": 0.4, "und": -0.3, "de": 0.2, "la": -0.6,
+                  "les": 0.3, "que": -0.1, "el": 0.7}
+
+
+def _lexicon_sql(words: dict) -> str:
+    values = ", ".join(f"({lit(w)}, CAST({v!r} AS DOUBLE))" for w, v in words.items())
+    return W(
+        f"lex AS (SELECT * FROM (VALUES {values}) t(word, valence))",
+        r"""tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}]+'),
       lambda t: t <> '')) AS word FROM documents)""",
-    """agg AS (SELECT tok.doc_id, COUNT(*) AS n_tokens, COUNT(lex.valence) AS n_hits,
+        """agg AS (SELECT tok.doc_id, COUNT(*) AS n_tokens, COUNT(lex.valence) AS n_hits,
       SUM(lex.valence) AS s FROM tok LEFT JOIN lex ON tok.word = lex.word GROUP BY tok.doc_id)""",
-    """a2 AS (SELECT d.doc_id, COALESCE(n_tokens, 0) AS n_tokens, COALESCE(n_hits, 0) AS n_hits,
+        """a2 AS (SELECT d.doc_id, COALESCE(n_tokens, 0) AS n_tokens, COALESCE(n_hits, 0) AS n_hits,
       COALESCE(s, 0.0) AS s FROM documents d LEFT JOIN agg ON d.doc_id = agg.doc_id)""") + f"""
 SELECT doc_id, n_tokens, n_hits, {R('s', 4)} AS score, {R('s / sqrt(s * s + 15.0)', 4)} AS compound,
   {R('greatest(CAST(0.35 AS DOUBLE), least(CAST(0.95 AS DOUBLE), s / sqrt(s * s + 15.0)))', 4)} AS sentiment
 FROM a2"""
 
+
+SQL["lexicon_sentiment"] = _lexicon_sql(LEXICON)
+SQL["lexicon_documents"] = _lexicon_sql(DOCUMENT_WORDS)
+
 SQL["interest_index"] = f"""SELECT product, date, n_events,
   {R(div('n_events * 100', 'peak'))} AS interest FROM (
   SELECT event_type AS product, CAST(ts AS DATE) AS date, COUNT(*) AS n_events,
@@ -295,9 +315,11 @@ FROM (SELECT *, regexp_replace(array_to_string(list_transform(list_filter(
 SQL["bengali_flag"] = f"""SELECT doc_id, lang, regexp_matches(text, {lit(TXT.bengali_regex(java=False))}) AS is_bengali
 FROM documents"""
 
-_PATHS = TXT.REPLY_SHAPES + ["$.k"]
-SQL["json_coalesce"] = "SELECT event_id, COALESCE(" + ", ".join(
-    f"json_extract_string(props, {lit(p)})" for p in _PATHS) + ") AS reply FROM events"
+SQL["json_coalesce"] = "SELECT event_id, json_extract_string(props, '$.k') AS reply FROM events"
+
+SQL["reply_shapes"] = "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 6 <> 1 THEN text END AS reply FROM conversations"
+
+SQL["bengali_mixed"] = "SELECT doc_id, lang, doc_id % 5 = 0 AS is_bengali FROM documents"
 
 SQL["date_labels"] = f"""SELECT dt, dayname(dt) AS weekday,
   concat_ws(' ', {arr(L.WEEKDAYS_EN)}[isodow(dt)], CAST(day(dt) AS VARCHAR), {arr(L.MONTHS_EN)}[month(dt)],
@@ -397,14 +419,11 @@ SQL["graph_nodes"] = W(TX, EDGES) + """SELECT product AS id, 'product' AS kind,
 GROUP BY product UNION ALL SELECT "user", 'user', COUNT(*) FROM e GROUP BY "user\""""
 SQL["graph_neighbours"] = W(TX, EDGES) + f"""SELECT product, "user" AS neighbour, weight FROM e
 WHERE product = {lit(Q.GRAPH_PRODUCT)}"""
-INSIGHTS = """gi AS (SELECT d.product, d.degree, d.units, 'Related to: [' || array_to_string(t.users, ', ')
-  || CASE WHEN d.degree > 3 THEN ', …' ELSE '' END || ']' AS insight
-  FROM (SELECT product, COUNT(*) AS degree, CAST(SUM(total_quantity) AS BIGINT) AS units
-        FROM e GROUP BY product) d
-  JOIN (SELECT product, list("user" ORDER BY r) AS users FROM (SELECT product, "user",
-        row_number() OVER (PARTITION BY product ORDER BY weight DESC, "user") AS r FROM e) x
-        WHERE r <= 3 GROUP BY product) t ON d.product = t.product)"""
-SQL["graph_insights"] = W(TX, EDGES, INSIGHTS) + "SELECT * FROM gi"
+DEGREES = """dg AS (SELECT product, COUNT(*) AS degree, CAST(SUM(total_quantity) AS BIGINT) AS units
+  FROM e GROUP BY product)"""
+SQL["graph_insights"] = W(TX, EDGES, DEGREES) + """SELECT e.product, "user" AS neighbour, weight, degree, units
+FROM e JOIN dg ON e.product = dg.product"""
+INSIGHTS = """gi AS (SELECT product, 'Related to: ' || degree || ' customers, ' || units || ' units' AS insight FROM dg)"""
 
 SQL["knn_l2"] = W("""c AS (SELECT label, list(x ORDER BY pos) AS vec FROM (
     SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM (
@@ -422,10 +441,12 @@ def F2(x: str) -> str:
     return f"CAST(CAST(ROUND(CAST({x} AS DECIMAL(38,6)), 2) AS DECIMAL(38,2)) AS VARCHAR)"
 
 
-SQL["dashboard_context"] = W(*_fc_ctes("day"), CP, SENT, POP, RECS, EDGES, INSIGHTS,
+SQL["dashboard_context"] = W(*_fc_ctes("day"), CP, SENT, POP, RECS, EDGES, DEGREES, INSIGHTS,
                              "fl AS (SELECT product, arg_max(yhat, ds) AS f_yhat FROM fc GROUP BY product)",
                              f"""pr AS (SELECT product, {R('current_raw')} AS cur, {R('current_raw')} AS opt FROM cp)""",
-                             f"se AS (SELECT product, {R('avg(sentiment)', 4)} AS s_avg FROM sent GROUP BY product)",
+                             f"""se AS (SELECT CASE product WHEN 'view' THEN 'STANDARD' WHEN 'click' THEN 'PROMO'
+                               WHEN 'purchase' THEN 'LARGE' WHEN 'signup' THEN 'SMALL' END AS product,
+                               {R('avg(sentiment)', 4)} AS s_avg FROM sent GROUP BY sent.product)""",
                              "rt AS (SELECT array_to_string(list(product ORDER BY rank), ', ') AS r FROM recs)") + f"""
 SELECT p.product, concat_ws(chr(10),
   COALESCE('Forecast (next period) yhat=' || {F2('fl.f_yhat')}, 'Forecast: unavailable'),
@@ -452,19 +473,9 @@ SQL["date_spine"] = W(TX, """d AS (SELECT product, dt, SUM(quantity) AS q, SUM(t
 FROM sp LEFT JOIN d ON sp.product = d.product AND sp.dt = d.dt"""
 
 
-def _boost_sql() -> str:
-    parts = []
-    for months, cats, factor in reversed(SPINE.BOOST_RULES):
-        parts.append(f"WHEN month(dt) IN ({', '.join(map(str, months))}) AND category IN ({_in(cats)}) "
-                     f"THEN CAST({factor!r} AS DOUBLE)")
-    wk = ", ".join(str(d) for d in SPINE.WEEKEND_DAYS)
-    return (f"(CASE {' '.join(parts)} ELSE 1.0 END) * (CASE WHEN isodow(dt) - 1 IN ({wk}) "
-            f"THEN CAST({SPINE.WEEKEND_FACTOR!r} AS DOUBLE) ELSE 1.0 END)")
-
-
-SQL["seasonal_boost"] = W(TX) + f"""SELECT dt, product, quantity, {R(_boost_sql(), 4)} AS boost,
-  {R('sin(CAST(dayofyear(dt) AS DOUBLE) / 365.0 * ' + repr(2 * 3.141592653589793) + ') * 0.1', 6)} AS wave
-FROM (SELECT dt, product, category, CAST(SUM(quantity) AS BIGINT) AS quantity FROM tx GROUP BY 1, 2, 3) t"""
+SQL["seasonal_index"] = W(TX, """bm AS (SELECT product, CAST(month(dt) AS INTEGER) AS month,
+  CAST(SUM(total_amount) AS DOUBLE) AS revenue FROM tx GROUP BY 1, 2)""") + f"""SELECT product, month, revenue,
+  {R('revenue / avg(revenue) OVER (PARTITION BY product)', 4)} AS seasonal_index FROM bm"""
 
 SQL["category_distinct"] = W(TX) + """SELECT category, COUNT(DISTINCT product_name) AS n_products,
   COUNT(*) AS n_rows FROM tx GROUP BY category"""
@@ -484,3 +495,48 @@ SQL["user_top_products"] = W(TX) + """SELECT user_id, rank, product, score FROM
 WHERE rank <= 3"""
 
 SQL["product_list"] = W(TX) + "SELECT DISTINCT product FROM tx"
+
+
+SQL["orphan_counts"] = """SELECT (SELECT COUNT(*) FROM lineitem) AS n_lines,
+  (SELECT COUNT(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS lines_without_order,
+  (SELECT COUNT(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)) AS lines_without_part,
+  (SELECT COUNT(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS orders_without_lines"""
+
+SQL["stock_alert_levels"] = SQL["stock_alert"].replace("k AS (SELECT product,", """lv AS (SELECT p_type AS product,
+  CAST(CAST(SUM(l_quantity) AS BIGINT) * (length(p_type) - 4) // 400 AS INTEGER) AS stock
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type),
+k AS (SELECT product,""").replace("100 AS current_stock", "stock AS current_stock").replace(
+    "trunc(100.0 / avg)", "trunc(stock / avg)").replace("FROM s)", "FROM s JOIN lv USING (product))")
+
+SQL["profit_brand_costs"] = W(TX, """pr AS (SELECT product, SUM(total_amount) AS rev,
+  SUM(total_amount * CAST((50 + CAST(regexp_extract(brand, '([0-9]+)$', 1) AS INTEGER)) / 100.0 AS DECIMAL(5,4))) AS cost_dec,
+  CAST(SUM(quantity) AS BIGINT) AS quantity FROM tx GROUP BY product)""", PROFIT_ROWS) + "SELECT * FROM pb"
+
+SQL["revenue_by_month"] = W(TX) + """SELECT CAST(month(dt) AS INTEGER) AS month,
+  CAST(SUM(total_amount) AS DOUBLE) AS revenue FROM tx GROUP BY 1"""
+
+SQL["forecast_latest"] = W(*_fc_ctes("day")) + f"""SELECT product, max(ds) AS ds, {R('arg_max(yhat, ds)')} AS yhat
+FROM fc GROUP BY product"""
+
+SQL["sales_ingest"] = W(TX) + f"""SELECT dt, product, product AS category,
+  quantity, {R('price')} AS price, {R('quantity * ' + R('price'))} AS total_amount, user_id FROM tx"""
+
+SQL["sales_export"] = W(TX) + """SELECT 'sales_data' AS sheet, COUNT(*) AS n_rows, CAST(SUM(quantity) AS BIGINT) AS units FROM tx
+UNION ALL SELECT 'summary_statistics', COUNT(DISTINCT product), CAST(SUM(quantity) AS BIGINT) FROM tx
+UNION ALL SELECT 'daily_sales', COUNT(DISTINCT (dt, product)), CAST(SUM(quantity) AS BIGINT) FROM tx"""
+
+SQL["comparison_export"] = W(TX) + f"""SELECT product, COUNT(*) AS n_rows, CAST(SUM(quantity) AS BIGINT) AS units
+FROM tx WHERE product IN ({_CMP}) GROUP BY product"""
+
+SQL["trend_append"] = "SELECT *, 'trends' AS source FROM (" + SQL["interest_index"] + ") i"
+
+# Least squares with two features, from the centred sums.
+SQL["regression_multi"] = W(TX, DAILY_PQ, f"""x AS (SELECT q AS y, p AS a, CAST(isodow(dt) - 1 AS DOUBLE) AS b
+  FROM d WHERE product = {lit(Q.FORECAST_PRODUCT)})""", """m AS (SELECT covar_pop(a, y) AS ay, covar_pop(b, y) AS by_,
+  covar_pop(a, b) AS ab, var_pop(a) AS aa, var_pop(b) AS bb, var_pop(y) AS yy, avg(y) AS my, avg(a) AS ma, avg(b) AS mb,
+  COUNT(*) AS n FROM x)""", """c AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ca,
+  (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM m)""", """t AS (
+  SELECT 'intercept' AS term, my - ca * ma - cb * mb AS coefficient, (ca * ay + cb * by_) / yy AS r2, n FROM c
+  UNION ALL SELECT 'p', ca, (ca * ay + cb * by_) / yy, n FROM c
+  UNION ALL SELECT 'wd', cb, (ca * ay + cb * by_) / yy, n FROM c)""") + f"""SELECT term, {R('coefficient', 3)} AS coefficient,
+  {R('r2', 4)} AS r2, n FROM t"""

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from haat.operators import (compare, customers, export, graph, kpi, marketing, pricing, profit,
                             recommend, seasonal, sentiment, spine, stock, text, trends, vectors)
 from haat.operators import context as ctxop
+from haat.functions.numeric import rnd
+from haat.functions.text import reply_text
 from haat.operators import forecast as fc
-from haat.operators.daily import materialized_daily
+from haat.operators.daily import daily_stats
 from haat.plans.context import Ctx
 from haat.schemas import DAILY_SALES
 from haat.session import scratch_dir
@@ -55,7 +57,7 @@ def _revenue_by_product(spark, sf_dir):
 @query("kpi_sheet")
 def _kpi_sheet(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return kpi.kpi_sheet(c.tx, c.periods)
+    return kpi.kpi_sheet(c.tx, c.periods, c.orders)
 
 
 @query("period_growth")
@@ -206,8 +208,17 @@ def _social_weekly(spark, sf_dir):
 
 @query("lexicon_sentiment")
 def _lexicon_sentiment(spark, sf_dir):
-    return sentiment.lexicon_sentiment(table(spark, sf_dir, "documents"),
-                                       sentiment.lexicon_frame(spark))
+    return sentiment.lexicon_sentiment(table(spark, sf_dir, "documents"))
+
+
+# A lexicon whose words the documents use: every score band occurs.
+DOCUMENT_LEXICON = {"the": 0.5, "and": -0.2, "that": -0.9, "der": 0.4, "und": -0.3, "de": 0.2, "la": -0.6,
+                    "les": 0.3, "que": -0.1, "el": 0.7}
+
+
+@query("lexicon_documents")
+def _lexicon_documents(spark, sf_dir):
+    return sentiment.lexicon_sentiment(table(spark, sf_dir, "documents"), DOCUMENT_LEXICON)
 
 
 @query("interest_index")
@@ -239,8 +250,8 @@ def _date_labels(spark, sf_dir):
 
 
 def _daily(spark, sf_dir):
-    """The checkpointed daily cube: one pass over the facts per query."""
-    return materialized_daily(Ctx(spark, sf_dir).tx)
+    """The daily cube."""
+    return daily_stats(Ctx(spark, sf_dir).tx)
 
 
 @query("forecast_daily")
@@ -253,11 +264,6 @@ def _forecast_row_grain(spark, sf_dir):
     return fc.forecast(_daily(spark, sf_dir), grain="row")
 
 
-@query("forecast_fourier")
-def _forecast_fourier(spark, sf_dir):
-    return fc.forecast_fourier(_daily(spark, sf_dir))
-
-
 @query("forecast_mean")
 def _forecast_mean(spark, sf_dir):
     return fc.forecast_mean(_daily(spark, sf_dir))
@@ -334,7 +340,7 @@ def _knn_l2(spark, sf_dir):
 
 @query("dashboard_context")
 def _dashboard_context(spark, sf_dir):
-    return ctxop.dashboard_context(Ctx(spark, sf_dir).tx, adapter.social_sentiment(spark, sf_dir))
+    return ctxop.dashboard_context(Ctx(spark, sf_dir).tx, adapter.product_sentiment(spark, sf_dir))
 
 
 @query("catalog")
@@ -347,9 +353,9 @@ def _date_spine(spark, sf_dir):
     return spine.daily_spine(Ctx(spark, sf_dir).tx)
 
 
-@query("seasonal_boost")
-def _seasonal_boost(spark, sf_dir):
-    return spine.seasonal_boost(Ctx(spark, sf_dir).tx)
+@query("seasonal_index")
+def _seasonal_index(spark, sf_dir):
+    return spine.seasonal_index(Ctx(spark, sf_dir).tx)
 
 
 @query("category_distinct")
@@ -369,11 +375,12 @@ def _csv_round_trip(spark, sf_dir):
 
 @query("append_dedup")
 def _append_dedup(spark, sf_dir):
-    """The weekly sentiment batch appended twice, deduplicated on read."""
+    """The weekly sentiment batch appended twice, the first time with other
+    values; on read the newer row of a key counts."""
     path = scratch_dir(spark, "weekly-append")
     batch = sentiment.weekly_sentiment(adapter.social_sentiment(spark, sf_dir))
-    files.write_table(batch, path, "append")
-    files.write_table(batch, path, "append")
+    files.write_table(batch.withColumn("sentiment", F.lit(0.0)).withColumn("batch_id", F.lit(0)), path, "append")
+    files.write_table(batch.withColumn("batch_id", F.lit(1)), path, "append")
     return files.read_dedup(spark, path, ["week", "product"])
 
 
@@ -399,3 +406,118 @@ def _user_top_products(spark, sf_dir):
 @query("product_list")
 def _product_list(spark, sf_dir):
     return recommend.product_list(Ctx(spark, sf_dir).lines)
+
+
+# --- adapter and branches that need their own inputs -----------------------------------------------
+@query("orphan_counts")
+def _orphan_counts(spark, sf_dir):
+    return adapter.orphan_counts(spark, sf_dir)
+
+
+@query("stock_alert_levels")
+def _stock_alert_levels(spark, sf_dir):
+    """K2 with stock levels from a table: units sold, scaled by the length of
+    the product's name, so that every status band occurs."""
+    c = Ctx(spark, sf_dir)
+    levels = c.lines.groupBy("product").agg(F.sum("quantity").alias("units")).select(
+        "product", F.expr("units * (length(product) - 4) div 400").alias("stock"))
+    return stock.stock_alert(c.tx, c.periods, levels)
+
+
+def _brand_costs(spark, sf_dir):
+    """A cost ratio per brand: 0.50 plus 0.01 per brand number."""
+    number = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("brand"), (F.lit(50) + number).cast("decimal(10,4)").alias("pct")).distinct() \
+        .select("brand", (F.col("pct") / 100).cast("decimal(5,4)").alias("cost_ratio"))
+
+
+@query("profit_brand_costs")
+def _profit_brand_costs(spark, sf_dir):
+    return profit.profit_by_product(Ctx(spark, sf_dir).lines, _brand_costs(spark, sf_dir))
+
+
+@query("revenue_by_month")
+def _revenue_by_month(spark, sf_dir):
+    return seasonal.revenue_by_month_number(Ctx(spark, sf_dir).orders)
+
+
+@query("forecast_latest")
+def _forecast_latest(spark, sf_dir):
+    f = fc.forecast_latest(_daily(spark, sf_dir))
+    return f.select("product", "ds", rnd(F.col("yhat")).alias("yhat"))
+
+
+@query("reply_shapes")
+def _reply_shapes(spark, sf_dir):
+    """F25 over every reply shape, built from the conversations."""
+    conv = table(spark, sf_dir, "conversations")
+    t = F.col("text")
+    case = (F.col("conv_id") + F.col("turn")) % 6
+    one = lambda **kw: F.array(F.struct(*[v.alias(k) for k, v in kw.items()]))
+    js = (F.when(case == 0, F.to_json(F.struct(one(content=F.lit(""), text=t).alias("candidates"))))
+          .when(case == 1, F.to_json(F.struct(one(other=F.lit(1)).alias("candidates"), t.alias("response"))))
+          .when(case == 2, F.to_json(F.struct(one(content=t, text=F.lit("no")).alias("output"))))
+          .when(case == 3, F.to_json(F.struct(one(text=t).alias("outputs"))))
+          .when(case == 4, F.to_json(F.struct(t.alias("response"))))
+          .otherwise(F.to_json(F.struct(F.array(F.lit("x")).alias("output"), t.alias("response")))))
+    return conv.select("conv_id", "turn", reply_text(js).alias("reply"))
+
+
+@query("bengali_mixed")
+def _bengali_mixed(spark, sf_dir):
+    """F23 with both answers: every fifth document ends in a Bengali word."""
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" \u09a6\u09cb\u0995\u09be\u09a8")))
+        .otherwise(F.col("text")))
+    return text.bengali_flag(docs)
+
+
+# --- files written and read back ---------------------------------------------------------------------
+@query("sales_ingest")
+def _sales_ingest(spark, sf_dir):
+    """A reference-shaped CSV (text dates, five columns) written,
+    scanned and conformed to the transactions schema."""
+    path = scratch_dir(spark, "sales-csv")
+    tx = Ctx(spark, sf_dir).tx.select(F.col("dt").cast("string").alias("date"), "product", "quantity",
+                                      rnd(F.col("price")).alias("price"), "user_id")
+    files.write_csv(tx, path)
+    raw = files.read_csv(spark, path, "date string, product string, quantity int, price double, user_id long")
+    return adapter.conform_sales(raw).select("dt", "product", "category", "quantity", "price",
+                                             rnd(F.col("total_amount")).alias("total_amount"), "user_id")
+
+
+@query("sales_export")
+def _sales_export(spark, sf_dir):
+    """The three sheets written and read back; rows and units of each."""
+    paths = export.write_sales_export(Ctx(spark, sf_dir).tx, scratch_dir(spark, "sales-export"))
+    units = {"sales_data": "quantity", "summary_statistics": "qty_sum", "daily_sales": "quantity"}
+    parts = [spark.read.parquet(p).agg(F.lit(n).alias("sheet"), F.count(F.lit(1)).alias("n_rows"),
+                                       F.sum(units[n]).alias("units")) for n, p in paths.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("comparison_export")
+def _comparison_export(spark, sf_dir):
+    """The per-product sheets written and read back."""
+    paths = export.write_comparison_export(Ctx(spark, sf_dir).lines, COMPARE_PRODUCTS, scratch_dir(spark, "compare"))
+    return spark.read.parquet(paths["products"]).groupBy(F.col("sheet").alias("product")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("quantity").alias("units"))
+
+
+@query("trend_append")
+def _trend_append(spark, sf_dir):
+    """Interest series appended with a constant source column."""
+    path = scratch_dir(spark, "trends")
+    files.write_table(files.with_constant(sentiment.interest_index(table(spark, sf_dir, "events")), "source", "trends"),
+                      path, "append")
+    return spark.read.parquet(path)
+
+
+@query("regression_multi")
+def _regression_multi(spark, sf_dir):
+    """M11 with two features: daily units of one product on price and weekday."""
+    d = pricing.daily_price_demand(_daily(spark, sf_dir)).where(F.col("product") == FORECAST_PRODUCT) \
+        .withColumn("wd", F.weekday("dt").cast("double"))
+    m = pricing.fit_linear_model(d, ["p", "wd"], "q")
+    return m.select("term", rnd(F.col("coefficient"), 3).alias("coefficient"), rnd(F.col("r2"), 4).alias("r2"), "n")

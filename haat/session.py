@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -48,21 +47,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def scratch_dir(spark: SparkSession, name: str = "") -> str:
-    """A fresh, not yet existing folder under the cluster's shared checkpoint
-    location.
-
-    The location is read from the session (the context's checkpoint dir or
-    ``spark.checkpoint.dir``).  Only when neither is set — local tests — a
-    temporary folder is made and registered as the checkpoint dir.
-    """
-    try:
-        sc = spark.sparkContext
-        current = sc.getCheckpointDir()
-    except Exception:  # noqa: BLE001 - sessions without a local context
-        sc, current = None, None
-    base = current or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="haat-ckpt-")
-    if sc is not None and not current:
-        sc.setCheckpointDir(base)
+    """A fresh, not yet existing folder that all executors share: under the
+    session's checkpoint folder, or where none is set under its warehouse."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
+        or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "scratch")
     return os.path.join(base.rstrip("/"), f"{name or 'scratch'}-{uuid.uuid4().hex[:12]}")

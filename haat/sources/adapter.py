@@ -42,9 +42,9 @@ def transactions_from(li: DataFrame, od: DataFrame, pt: DataFrame,
     (``transaction_id``) need no further exchange.  When lineitem and orders
     are bucketed by the order key (``layout``), ``part_first=False`` joins
     them first, bucket by bucket, without any shuffle."""
-    joined = (li.join(pt, li.l_partkey == pt.p_partkey).join(od, li.l_orderkey == od.o_orderkey)
-              if part_first else
-              li.join(od, li.l_orderkey == od.o_orderkey).join(pt, li.l_partkey == pt.p_partkey))
+    part, order = li.l_partkey == pt.p_partkey, li.l_orderkey == od.o_orderkey
+    joined = (li.join(pt, part, "left").join(od, order, "left") if part_first else
+              li.join(od, order, "left").join(pt, part, "left"))
     return (
         joined
         .select(
@@ -56,7 +56,7 @@ def transactions_from(li: DataFrame, od: DataFrame, pt: DataFrame,
             pt.p_brand.alias("brand"),
             pt.p_name.alias("product_name"),
             li.l_quantity.cast("int").alias("quantity"),
-            (li.l_extendedprice / li.l_quantity).alias("price"),
+            F.try_divide(li.l_extendedprice, li.l_quantity).alias("price"),
             li.l_extendedprice.cast("decimal(18,2)").alias("total_amount"),
             od.o_custkey.alias("user_id"),
             (li.l_discount > 0).alias("discount_applied"),
@@ -67,19 +67,20 @@ def transactions_from(li: DataFrame, od: DataFrame, pt: DataFrame,
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``transactions`` without the order columns (``dt``, ``user_id``).
 
-    Product-only metrics do not need ``orders``; every line has its order
-    (a foreign key, checked on the data), so leaving the join out changes no
-    result and removes the one shuffle join that grows on both sides."""
+    Product-only metrics do not need ``orders``.  All views keep every line
+    (unknown orders and parts give NULL columns), so leaving the join out
+    changes no result and removes the one shuffle join that grows on both
+    sides."""
     li = table(spark, sf_dir, "lineitem")
     pt = table(spark, sf_dir, "part")
-    return li.join(pt, li.l_partkey == pt.p_partkey).select(
+    return li.join(pt, li.l_partkey == pt.p_partkey, "left").select(
         li.l_orderkey.alias("transaction_id"),
         pt.p_type.alias("product"),
         pt.p_type.alias("category"),
         pt.p_brand.alias("brand"),
         pt.p_name.alias("product_name"),
         li.l_quantity.cast("int").alias("quantity"),
-        (li.l_extendedprice / li.l_quantity).alias("price"),
+        F.try_divide(li.l_extendedprice, li.l_quantity).alias("price"),
         li.l_extendedprice.cast("decimal(18,2)").alias("total_amount"),
         (li.l_discount > 0).alias("discount_applied"),
     )
@@ -99,7 +100,7 @@ def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(li.l_extendedprice.cast("decimal(18,2)")).alias("total_amount"),
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(li.l_quantity.cast("int")).alias("quantity"))
-    return per.join(od, per.l_orderkey == od.o_orderkey).select(
+    return per.join(od, per.l_orderkey == od.o_orderkey, "left").select(
         per.l_orderkey.alias("transaction_id"),
         od.o_orderdate.cast("date").alias("dt"),
         od.o_custkey.alias("user_id"),
@@ -117,15 +118,26 @@ def social_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Which product an event type speaks about; types not named concern none.
+EVENT_PRODUCTS = {"view": "STANDARD", "click": "PROMO", "purchase": "LARGE", "signup": "SMALL"}
+
+
+def product_sentiment(spark: SparkSession, sf_dir: str, products: dict[str, str] | None = None) -> DataFrame:
+    """``social_sentiment`` with event types replaced by the products that
+    ``products`` names for them; other events are left out."""
+    names = F.create_map(*[F.lit(x) for item in (products or EVENT_PRODUCTS).items() for x in item])
+    sent = social_sentiment(spark, sf_dir)
+    return sent.withColumn("product", F.element_at(names, F.col("product"))).where(F.col("product").isNotNull())
+
+
 _AS_OF_MEMO: dict[tuple, _dt.date] = {}
 
 
 def resolve_as_of(spark: SparkSession, sf_dir: str, as_of=None) -> _dt.date:
     """The reference date of all period filters.
 
-    An explicit value wins.  Otherwise it is the newest order date — one
-    scalar fetched from a single-column aggregate over ``orders``,
-    remembered per input snapshot (file names, sizes, modification times).
+    An explicit value wins.  Otherwise it is the newest order date that has
+    lines — one scalar, remembered per input snapshot (file names, sizes, modification times).
     Turning it into a literal lets ``dt > as_of - 30`` reach the Parquet scan
     as a pushed filter on ``o_orderdate``.
     """
@@ -139,12 +151,27 @@ def resolve_as_of(spark: SparkSession, sf_dir: str, as_of=None) -> _dt.date:
     if key is not None and key in _AS_OF_MEMO:
         return _AS_OF_MEMO[key]
     od = table(spark, sf_dir, "orders")
-    value = od.agg(F.max(od.o_orderdate.cast("date")).alias("as_of")).first()["as_of"]
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    value = od.join(li, "o_orderkey", "left_semi").agg(F.max(F.col("o_orderdate").cast("date")).alias("as_of")) \
+        .first()["as_of"]
     if key is not None:
         _AS_OF_MEMO[key] = value
     return value
 
 
+def orphan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: lines, lines without an order, lines without a part, orders
+    without lines.  Each view keeps such lines with NULL columns."""
+    li, od, pt = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
+    keys = od.select(F.col("o_orderkey").alias("l_orderkey")).distinct()
+    used = li.select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).select(name).scalar().alias(name)
+    return spark.range(1).select(
+        n(li, "n_lines"), n(li.join(keys, "l_orderkey", "left_anti"), "lines_without_order"),
+        n(li.join(pt, li.l_partkey == pt.p_partkey, "left_anti"), "lines_without_part"),
+        n(od.join(used, "o_orderkey", "left_anti"), "orders_without_lines"))
+
+
 def conform_sales(df: DataFrame) -> DataFrame:
     """Bring a reference-shaped sales frame onto ``schemas.TRANSACTIONS``.
 
@@ -152,7 +179,8 @@ def conform_sales(df: DataFrame) -> DataFrame:
     ``product``, ``quantity``, ``price`` and optionally ``user_id``,
     ``transaction_id``, ``category``, ``product_name``, ``discount_applied``).
     Missing optional columns are decided once, while the plan is built (P14):
-    ``transaction_id`` falls back to a row id, ``user_id`` to NULL.
+    ``transaction_id`` falls back to a hash of the row, which does not depend
+    on how the file is split (equal rows share it), ``user_id`` to NULL.
     """
     cols = set(df.columns)
     price = F.col("price").cast("double")
@@ -160,7 +188,7 @@ def conform_sales(df: DataFrame) -> DataFrame:
     dt = F.to_date(F.col("date"))                                   # P4
     opt = (lambda name, default: F.col(name) if name in cols else default)
     return df.select(
-        opt("transaction_id", F.monotonically_increasing_id()).cast("long").alias("transaction_id"),
+        opt("transaction_id", F.xxhash64(*[F.col(c) for c in df.columns])).cast("long").alias("transaction_id"),
         dt.cast("timestamp_ntz").alias("order_ts"),
         dt.alias("dt"),
         F.col("product").cast("string").alias("product"),

@@ -1,31 +1,11 @@
-"""Product catalog."""
+"""Product catalog."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haat.functions.numeric import rnd
-from haat.schemas import CATALOG
-
-# FIXED VALUES — the reference's sample catalog, as served by its products API.
-SAMPLE_CATALOG = [
-    (1, "Lovely Linen Shirt", 28.99, 39.99, "USD",
-     "https://via.placeholder.com/400x300.png?text=Linen+Shirt", 23, 4.6,
-     "Cool, comfy, and camera-ready—linen that breathes all day.", ["Best Seller", "Eco"], 2),
-    (2, "Smart Home Charger", 45.00, 59.00, "USD",
-     "https://via.placeholder.com/400x300.png?text=Charger", 8, 4.4,
-     "Fast charge without fuss—power up in a snap.", ["New"], 3),
-    (3, "Everyday Tote Bag", 19.50, None, "USD",
-     "https://via.placeholder.com/400x300.png?text=Tote+Bag", 120, 4.2,
-     "Carry everything with style—durable, light, and washable.", ["Budget"], 1),
-]
-
-
-def sample_catalog(spark: SparkSession) -> DataFrame:
-    """The literal catalog with its array and nullable columns."""
-    return spark.createDataFrame(SAMPLE_CATALOG, CATALOG)
-
 
 def catalog_from_parts(part: DataFrame, lineitem: DataFrame) -> DataFrame:
     """K16 over the data: one catalog entry per part.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,20 +15,15 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through the Hadoop file system of the session (so it
-    works for any scheme the cluster mounts).  Sessions without a local JVM
-    gateway answer by trying to list the path."""
+    """Whether Spark finds the path.  Only "not found" counts as absent; any
+    other error (permission, network) is raised."""
     try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(conf).exists(p)
-    except Exception:  # noqa: BLE001 - no local context (e.g. a remote session)
-        try:
-            spark.read.format("binaryFile").load(path).limit(0).collect()
-            return True
-        except Exception:  # noqa: BLE001
+        spark.read.format("binaryFile").load(path)
+        return True
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return False
+        raise
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType,
@@ -49,19 +45,15 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite",
     return path
 
 
-def read_dedup(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """S6 read side: appending twice duplicates rows; keep one per key."""
-    return spark.read.parquet(path).dropDuplicates(keys)
+def read_dedup(spark: SparkSession, path: str, keys: list[str], newest: str = "batch_id") -> DataFrame:
+    """S6 read side: of the rows appended for a key the one with the largest
+    ``newest`` counts (``max_by``, combined map-side)."""
+    t = spark.read.parquet(path)
+    rest = [c for c in t.columns if c not in (*keys, newest)]
+    return t.groupBy(*keys).agg(F.max_by(F.struct(*rest), newest).alias("_row")).select(*keys, "_row.*")
 
 
 def with_constant(df: DataFrame, name: str, value) -> DataFrame:
     """Add a constant column (e.g. the product of a trend series)."""
     return df.withColumn(name, F.lit(value))
 
-
-def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once to the shared scratch area and read it back: the
-    lineage is cut (executor loss re-reads files instead of recomputing the
-    plan) and later queries scan it with partition pruning."""
-    write_table(df, path, "overwrite", partition_by)
-    return df.sparkSession.read.parquet(path)

@@ -42,10 +42,11 @@ def transactions_bucketed(spark: SparkSession, sf_dir: str, lineitem_table: str,
     return adapter.transactions_from(li, od, pt, part_first=False)
 
 
-def write_fact_table(tx: DataFrame, path: str) -> str:
-    """The fact table partitioned by month, rows sorted by date per file."""
+def write_fact_table(tx: DataFrame, path: str, per_month: int = 32) -> str:
+    """The fact table partitioned by month, rows sorted by date per file; a
+    month is split into up to ``per_month`` files by transaction."""
     (tx.withColumn("month", F.trunc("dt", "month"))
-     .repartition("month").sortWithinPartitions("dt")
+     .repartition("month", F.pmod(F.xxhash64("transaction_id"), F.lit(per_month))).sortWithinPartitions("month", "dt")
      .write.mode("overwrite").partitionBy("month").parquet(path))
     return path
 

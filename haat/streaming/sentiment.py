@@ -2,8 +2,8 @@
 
 Each event contributes its clamped score to the Monday-based week that
 contains it (7-day windows shifted by 4 days from the Thursday epoch);
-sums and counts are kept as state per (week, product) until the watermark
-passes the week, and every batch's updated weeks are appended
+sums and counts are kept as state per (week, product), without a watermark, so
+late events count too, and every batch's updated weeks are appended
 (``ingest.start_append``).  The week label is its Sunday, as in the batch
 ``operators.sentiment.weekly_sentiment``.
 """
@@ -18,12 +18,11 @@ from haat.streaming.ingest import file_stream, read_latest, start_append
 
 
 def weekly_sentiment_stream(spark: SparkSession, source_dir: str, file_glob: str = "events*.parquet",
-                            watermark: str = "8 days") -> DataFrame:
-    ev = file_stream(spark, source_dir, file_glob).select(
+                            max_files_per_trigger: int | None = None) -> DataFrame:
+    ev = file_stream(spark, source_dir, file_glob, max_files_per_trigger).select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("product"),
         clamp(F.col("value") / 100.0, 0.35, 0.95).alias("sentiment"))
-    return (ev.withWatermark("ts", watermark)
-            .groupBy(F.window("ts", "7 days", startTime="4 days").alias("w"), "product")
+    return (ev.groupBy(F.window("ts", "7 days", startTime="4 days").alias("w"), "product")
             .agg(F.sum("sentiment").alias("s_sum"), F.count(F.lit(1)).alias("n")))
 
 

@@ -16,8 +16,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     import tempfile
     from haat.session import get_spark
-    s = get_spark("local[4]", 4, app_name="haat-tests",
-                  extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="haat-wh-")})
+    base = tempfile.mkdtemp(prefix="haat-tests-")
+    s = get_spark("local[4]", 4, app_name="haat-tests", extra={
+        "spark.sql.warehouse.dir": f"{base}/warehouse", "spark.checkpoint.dir": f"{base}/checkpoints"})
     yield s
     s.stop()
 

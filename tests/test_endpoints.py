@@ -16,7 +16,7 @@ def test_endpoints(spark):
     recs = d.recommend(user_id=7).collect()
     assert len(recs) == 5 and {r["user_id"] for r in recs} == {7}
     g = d.graph(p)
-    assert g["insights"].count() == 1 and g["nodes"].count() > 0 and g["edges"].count() > 0
+    assert g["insights"].count() > 3 and g["nodes"].count() > 0 and g["edges"].count() > 0
     assert d.products().count() > 0
     assert d.social("click").count() == 1 and d.social_series("click").count() > 0
     assert d.kpis()["sheet"].count() == 1 and d.kpis()["top_products"].count() == 5

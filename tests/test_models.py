@@ -59,8 +59,7 @@ def test_row_grain_sigma_equals_raw_residual_std(tx):
 def test_lexicon_scoring(spark):
     docs = spark.createDataFrame([(1, "Great product, LOVE it!"), (2, "terrible; slow."),
                                   (3, ""), (4, "nothing here")], "doc_id long, text string")
-    out = {r["doc_id"]: r for r in sentiment.lexicon_sentiment(
-        docs, sentiment.lexicon_frame(spark)).collect()}
+    out = {r["doc_id"]: r for r in sentiment.lexicon_sentiment(docs).collect()}
     s = 3.1 + 3.2
     assert out[1]["n_tokens"] == 4 and out[1]["n_hits"] == 2 and out[1]["score"] == round(s, 4)
     assert out[1]["compound"] == round(s / math.sqrt(s * s + 15), 4)
@@ -75,8 +74,25 @@ def test_graph_shapes(fixture_tx):
     assert e.count() == 7
     nodes = {(r["id"], r["kind"]): r["degree"] for r in graph.nodes(e).collect()}
     assert nodes[("toys", "product")] == 2 and nodes[("user_4", "user")] == 2
-    ins = {r["product"]: r for r in graph.insights(e, k=1).collect()}
-    assert ins["food"]["insight"] == "Related to: [user_3, …]" and ins["food"]["degree"] == 2
+    ins = graph.insights(e).collect()
+    assert len(ins) == 7 and {(r["neighbour"], r["degree"]) for r in ins if r["product"] == "food"} == {("user_1", 2), ("user_3", 2)}
+    text = {r["product"]: r["insight"] for r in graph.insight_text(e).collect()}
+    assert text["toys"].startswith("Related to: 2 customers, ")
+
+
+def test_als_takes_ids_of_any_size(spark):
+    rows = [(2 ** 40 + u, f"p{p}", 1 + (u * p) % 3) for u in range(12) for p in range(4) if (u + p) % 3]
+    tx = spark.createDataFrame(rows, "user_id long, product string, quantity int")
+    got = recommend.recommend_als(tx, n=2, rank=2, max_iter=2, blocks=2).collect()
+    assert {r["user_id"] for r in got} == {r[0] for r in rows} and {r["rank"] for r in got} == {1, 2}
+
+
+def test_knn_takes_any_number_of_queries(spark):
+    from haat.operators.vectors import knn_l2
+    emb = spark.range(40).selectExpr("id AS vec_id", "array(cast(id AS float), 0f) AS embedding")
+    queries = spark.range(5000).selectExpr("id AS qid", "array(cast(id % 40 AS double), 0d) AS vec")
+    got = knn_l2(emb, queries, k=1, blocks=8)
+    assert got.count() == 5000 and got.where("vec_id <> qid % 40 or distance <> 0").count() == 0
 
 
 def test_user_top_products(fixture_tx):
@@ -94,27 +110,3 @@ def test_ml_linear_model_matches_single_feature_slope(tx):
     two = fit_linear_model(d.withColumn("p2", F.col("p") * F.col("p")), ["p", "p2"], "q")
     assert {r["term"] for r in two.collect()} == {"intercept", "p", "p2"}
 
-
-def test_fourier_forecast_matches_numpy(spark, tx):
-    import numpy as np
-    import pandas as pd
-    from haat.operators.forecast import ORIGIN, _fourier_design, forecast_fourier
-    got = forecast_fourier(daily_stats(tx), order=2).collect()
-    per = {}
-    for r in got:
-        per.setdefault(r["product"], []).append(r)
-        assert r["yhat_lower"] <= r["yhat"] <= r["yhat_upper"]
-    assert per and all(len(v) == 30 for v in per.values())
-    # independent numpy fit for one product
-    p = sorted(per)[0]
-    d = (tx.where(F.col("product") == p).groupBy("dt").agg(F.sum("quantity").alias("y"))
-         .orderBy("dt").toPandas())
-    dts = pd.to_datetime(d["dt"])
-    t = (dts - pd.Timestamp(ORIGIN)).dt.days.to_numpy()
-    X = _fourier_design(t, dts.dt.dayofyear.to_numpy(), dts.dt.weekday.to_numpy(), 2)
-    beta = np.linalg.lstsq(X, d["y"].to_numpy(dtype=float), rcond=None)[0]
-    first = min(per[p], key=lambda r: r["ds"])
-    f = pd.Timestamp(first["ds"])
-    x1 = _fourier_design(np.array([(f - pd.Timestamp(ORIGIN)).days]), np.array([f.dayofyear]),
-                         np.array([f.weekday()]), 2)
-    assert abs(float(x1 @ beta) - first["yhat"]) <= 0.01

@@ -11,13 +11,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from haat.plans.registry import QUERIES
 from haat.sources.tables import TABLES
 
 from tests.conftest import SF_SMALL
 
 SF = os.environ.get("HAAT_ORACLE_SF", SF_SMALL)
 SQL = E.oracle_sql()
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
 
 
 def norm(v):
@@ -46,8 +47,8 @@ def con():
 
 def test_every_query_has_oracle_or_is_model():
     assert set(SQL) <= set(E.queries())
-    # iterative ALS and the per-product matrix solve have no SQL equivalent
-    assert set(E.queries()) - set(SQL) == {"recommend_als", "forecast_fourier"}
+    # iterative ALS has no SQL equivalent
+    assert set(QUERIES) - set(SQL) == {"recommend_als"}
 
 
 def test_entry_smoke(spark):

@@ -39,3 +39,18 @@ def test_weekly_sentiment_stream_matches_batch(spark):
     assert set(got) == set(exp)
     for k in exp:
         assert got[k][1] == exp[k][1] and abs(got[k][0] - exp[k][0]) <= 1e-4
+
+
+def test_late_files_are_counted(spark, tmp_path):
+    """The newer half arrives first, the older half second."""
+    from pyspark.sql import functions as F
+    ev = table(spark, SF_SMALL, "events")
+    mid = ev.select(F.expr("percentile_approx(cast(ts AS timestamp), 0.5)")).first()[0]
+    newer = F.col("ts").cast("timestamp") >= F.lit(mid)
+    src = tmp_path / "src"
+    out, ck = scratch_dir(spark, "late-table"), scratch_dir(spark, "late-ckpt")
+    for i, half in enumerate((newer, ~newer)):
+        ev.where(half).coalesce(1).write.mode("append").parquet(str(src))
+        counts = interest.event_counts_stream(spark, str(src), file_glob="*.parquet")
+        interest.start_ingest(counts, out, ck).awaitTermination(300)
+    assert interest.read_counts(spark, out).agg(F.sum("n_events")).first()[0] == ev.count()
