@@ -42,6 +42,11 @@ MAGIC = b"PFR1"
 AT_ONCE = 4096                       # blocks that are encoded or decoded at once
 
 
+def _holds(width: int) -> str:
+    """The smallest integer type that holds so many bits."""
+    return "<u1" if width <= 8 else "<u2" if width <= 16 else "<u4"
+
+
 def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The blocks of ``ids`` (u32) as bytes, and each block's offset there."""
     n = -(-len(ids) // BLOCK)
@@ -52,9 +57,9 @@ def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     values = ids.reshape(n, BLOCK)
     low = values.min(1)
     diff = values - low[:, None]
-    top = np.sort(diff, 1)[:, RANK]
+    top = np.partition(diff, RANK, axis=1)[:, RANK]
     width = np.ceil(np.log2(top.astype(np.float64) + 1)).astype(np.int64)
-    over = (diff.astype(np.uint64) >> width[:, None].astype(np.uint64)) > 0
+    over = diff > ((1 << width) - 1).astype(np.uint32)[:, None]
     n_over = over.sum(1)
     size = 8 + 16 * width + 5 * n_over
     at = np.concatenate([[0], np.cumsum(size)])
@@ -66,8 +71,9 @@ def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     for w in np.unique(width):
         if w:
             rows = np.flatnonzero(width == w)
-            bits = (kept[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+            bits = np.unpackbits(kept[rows].astype(_holds(w)).reshape(-1).view(np.uint8), bitorder="little")
+            bits = bits.reshape(len(rows) * BLOCK, -1)[:, :w]
+            packed = np.packbits(bits.reshape(-1), bitorder="little").reshape(len(rows), -1)
             out[at[rows, None] + 8 + np.arange(16 * w)] = packed
     blocks, places = np.nonzero(over)
     if len(blocks):
@@ -89,9 +95,10 @@ def unpack_blocks(data: bytes, at: np.ndarray) -> np.ndarray:
     for w in np.unique(width):
         if w:
             rows = np.flatnonzero(width == w)
-            bits = np.unpackbits(raw[at[rows, None] + 8 + np.arange(16 * w)], axis=1, bitorder="little")
-            bits = bits.reshape(len(rows), BLOCK, w).astype(np.uint32)
-            diff[rows] = (bits << np.arange(w, dtype=np.uint32)).sum(2, dtype=np.uint32)
+            packed = raw[at[rows, None] + 8 + np.arange(16 * w)].reshape(-1)
+            bits = np.zeros((len(rows) * BLOCK, 8 * np.dtype(_holds(w)).itemsize), np.uint8)
+            bits[:, :w] = np.unpackbits(packed, bitorder="little").reshape(-1, w)
+            diff[rows] = np.packbits(bits.reshape(-1), bitorder="little").view(_holds(w)).reshape(-1, BLOCK)
     blocks = np.repeat(np.arange(n), n_over)
     if len(blocks):
         nth = np.arange(len(blocks)) - np.repeat(np.cumsum(n_over) - n_over, n_over)

@@ -18,7 +18,7 @@ from array import array
 
 import numpy as np
 
-MAX_ENTRIES = 300_000      # pieces kept by a worker
+MAX_ENTRIES = 500_000      # pieces kept by a worker
 MAX_PIECE = 64             # characters of a piece that is kept
 # At least what the split pattern takes for white space, but for " " and "\n".
 RARE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎" + "".join(map(chr, range(0x2000, 0x200B))) \
@@ -51,6 +51,10 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.split = regex.compile(PATTERN)
+        # A token of a byte-level BPE is written with one character a byte.
+        vocab = self.lib.get_vocab(with_added_tokens=True)
+        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.n_bytes[list(vocab.values())] = list(map(len, vocab))
         self.inner: dict[str, bytes] = {}     # piece p, standing for " " + p
         self.pre: dict[str, bytes] = {}       # pre-tokens of pieces that hold more than a word
         self.ends = dict(zip(".,", self._library([".", ","])))
@@ -60,16 +64,21 @@ class Encoder:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of " word" for words of letters alone: as one text, which the
-        library splits into those very words again."""
-        e = self.lib.encode(" " + " ".join(words), add_special_tokens=False)
-        ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
-        ends = (np.flatnonzero(np.diff(of, append=-1)) + 1) * 4
+        library splits into those very words again.  Ids of a byte-level BPE
+        stand for a fixed number of bytes, so their running total shows where
+        each word ends."""
+        text = " " + " ".join(words)
+        ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        text = np.frombuffer(text.encode(), np.uint8)
+        goals = np.append(np.flatnonzero(text == 32)[1:], len(text))
+        total = np.cumsum(self.n_bytes[ids])
+        ends = np.searchsorted(total, goals)
+        if len(goals) != len(words) or total[-1] != len(text) or (total[ends] != goals).any():
+            return self._library([" " + w for w in words])
         raw, at, out = ids.tobytes(), 0, []
-        for end in ends.tolist():
+        for end in ((ends + 1) * 4).tolist():
             out.append(raw[at:end])
             at = end
-        if len(out) != len(words):
-            return self._library([" " + w for w in words])
         return out
 
     def _learn(self, pieces: set) -> None:
