@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,6 +49,41 @@ def ship(spark: SparkSession) -> None:
     sc._haat_shipped = True
 
 
+# What a Python worker keeps between the tasks of one kind (such as tables of
+# token ids), by kind.
+KEPT: dict[str, dict] = {}
+
+
+def kept(kind: str) -> dict:
+    return KEPT.setdefault(kind, {})
+
+
+def _begin(kind: str) -> None:
+    for other in set(KEPT) - {kind}:
+        del KEPT[other]
+
+
+def _end() -> None:
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def task(run: Callable, kind: str = "") -> Callable:
+    """``run`` for mapInArrow or mapInPandas.  Spark uses Python workers again
+    for later stages, and they wait beside the executor's JVM meanwhile: so a
+    task begins by dropping what tasks of another kind kept, and ends by
+    giving free memory back to the system."""
+    def whole(batches):
+        _begin(kind)
+        try:
+            yield from run(batches)
+        finally:
+            _end()
+    return whole
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from that copy, so
     that a lost executor costs no recomputation of what lies before it."""

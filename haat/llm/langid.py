@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haat.llm.common import cut, ship
+from haat.llm.common import cut, ship, task
 from haat.llm.tokens import in_chunks
 
 SPACE = 32
@@ -96,7 +96,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k), pa.array(n[a:a + 100_000])],
                                                  ["lang", "key", "n"])
 
-    counted = rows.mapInArrow(run, "lang string, key long, n long")
+    counted = rows.mapInArrow(task(run), "lang string, key long, n long")
     return cut(counted.groupBy("lang", "key").agg(F.sum("n").alias("n")))
 
 
@@ -285,7 +285,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                         [None if np.isnan(x) else float(x) for x in best]]
                 yield pa.RecordBatch.from_arrays([pa.array(d, k) for d, k in zip(data, kinds)], cols)
 
-    scored = cut(rows.select("doc_id", "text", "held_out", "lang").mapInArrow(run, schema))
+    scored = cut(rows.select("doc_id", "text", "held_out", "lang").mapInArrow(task(run), schema))
     length = F.least(F.floor(F.log2(F.greatest("n_units", F.lit(1)))), F.lit(10)).cast("int")
     trained = scored.filter(~F.col("held_out") & (F.col("lang") == F.col("lang_pred")))
     limits = trained.groupBy(length.alias("length")).agg(

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haat.llm.common import columns, cut, ship
+from haat.llm.common import columns, cut, ship, task
 
 OUTPUTS = ("n_lines", "deleted", "earlier", "dedup_text")
 
@@ -139,7 +139,7 @@ def lines(docs: DataFrame) -> DataFrame:
                     rows = [[] for _ in rows]
             yield _batch(rows)
 
-    out = docs.mapInArrow(run, "doc_id long, text_hash long, seq int, pos int, line binary, words int, first int")
+    out = docs.mapInArrow(task(run), "doc_id long, text_hash long, seq int, pos int, line binary, words int, first int")
     return out.select(F.struct("doc_id", "text_hash").alias("d"), "seq", "pos", "line", "words", "first")
 
 
@@ -150,7 +150,6 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
 
 
 
-
 def align(pairs: DataFrame, min_words: int) -> DataFrame:
     """(d, home, deleted) for rows (d, home, later, earlier) of line lists."""
     def run(batches):
@@ -166,7 +165,7 @@ def align(pairs: DataFrame, min_words: int) -> DataFrame:
                                           ("deleted", pa.list_(pa.int32()))]))
 
     return pairs.select("d", "home", "later", "earlier").mapInArrow(
-        run, "doc_id long, text_hash long, home long, deleted array<int>")
+        task(run), "doc_id long, text_hash long, home long, deleted array<int>")
 
 
 def deletions(docs: DataFrame, min_words: int, rare: int) -> DataFrame:

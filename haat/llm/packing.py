@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from haat.llm.common import columns, ship
-from haat.llm.tokens import default_tokenizer, encoder, in_chunks
+from haat.llm.common import columns, ship, task
+from haat.llm.tokens import TOKENS, default_tokenizer, encoder, in_chunks
 
 POOL = 2048      # pieces that wait at most, of less than one sequence each
 
@@ -200,7 +200,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt
         if rows:
             yield _batch(rows)
 
-    return docs.select(*columns(docs.select(*cols))).mapInArrow(run, SCHEMA)
+    return docs.select(*columns(docs.select(*cols))).mapInArrow(task(run, TOKENS), SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

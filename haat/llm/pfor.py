@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haat.llm.common import cut, shared_dir, ship
-from haat.llm.tokens import default_tokenizer, encoder, in_chunks
+from haat.llm.common import cut, shared_dir, ship, task
+from haat.llm.tokens import TOKENS, default_tokenizer, encoder, in_chunks
 
 BLOCK = 128
 RANK = -(-BLOCK * 9 // 10) - 1       # of the 90th percentile in a sorted block
@@ -235,7 +235,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
                 "part": part, "path": f"part-{part:06d}.pfor", "n_docs": len(writer.docs),
                 "n_tokens": sum(d[2] for d in writer.docs)}])
 
-    return cut(ranged.mapInArrow(run, "part long, path string, n_docs long, n_tokens long"))
+    return cut(ranged.mapInArrow(task(run, TOKENS), "part long, path string, n_docs long, n_tokens long"))
 
 
 def read(files_written: DataFrame, folder: str) -> DataFrame:
@@ -257,7 +257,7 @@ def read(files_written: DataFrame, folder: str) -> DataFrame:
                     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-    return parts.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.repartition(n).mapInArrow(task(run, TOKENS), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def new_folder(spark) -> str:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haat.llm.common import cut, ship
+from haat.llm.common import cut, ship, task
 
 CELL = 8192            # fingerprints that a cell holds; eight times as many probes
 PAIRS = 500_000      # pairs that are compared at once
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInArrow(run, "doc_id long, fp long")
+        .mapInArrow(task(run), "doc_id long, fp long")
 
 
 # --- bit groups and thresholds -----------------------------------------------------
@@ -89,7 +89,7 @@ def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
             n += len(x)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(4097)), pa.array(np.append(both.ravel(), n))], ["i", "n"])
 
-    rows = fps.select("fp").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    rows = fps.select("fp").mapInArrow(task(run), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
     flat = np.zeros(4097, np.int64)
     for r in rows:
         flat[r.i] = r.n
@@ -141,7 +141,7 @@ def near_counts(fps: DataFrame, groups: list[list[int]]) -> list[list[np.ndarray
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], ["i", "n"])
 
-    rows = fps.select("fp").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    rows = fps.select("fp").mapInArrow(task(run), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(len(blocks) << BLOCK_BITS)
     for r in rows:
         counts[r.i] = r.n
@@ -218,7 +218,7 @@ def spread(fps: DataFrame, groups: list[list[int]], near: list, n: int, max_bits
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, kinds, whose)],
                                                  ["key", "probe", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "key long, probe byte, fp long")
+    return fps.select("fp").mapInArrow(task(run), "key long, probe byte, fp long")
 
 
 def edges(rows: DataFrame, max_bits: int, cell: int = CELL) -> DataFrame:
@@ -248,7 +248,7 @@ def edges(rows: DataFrame, max_bits: int, cell: int = CELL) -> DataFrame:
             held = [c[last] for c in cols]        # the last cell may go on; its own rows come first
 
     return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "probe", "fp") \
-        .mapInArrow(run, "u long, v long").distinct()
+        .mapInArrow(task(run), "u long, v long").distinct()
 
 
 def _verify(cols: list[np.ndarray], max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

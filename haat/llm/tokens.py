@@ -18,6 +18,8 @@ from array import array
 
 import numpy as np
 
+from haat.llm.common import kept
+
 MAX_ENTRIES = 500_000      # pieces kept by a worker
 MAX_PIECE = 64             # characters of a piece that is kept
 # At least what the split pattern takes for white space, but for " " and "\n".
@@ -27,7 +29,7 @@ BLANK = r"\s᠎"
 CUT = re.compile(rf"(?<=[^{BLANK}]) (?=[^{BLANK}])")
 LATIN = re.compile(r"[\x00-ɏ]*")
 
-_ENCODERS: dict[str, "Encoder"] = {}
+TOKENS = "tokens"          # the kind of tasks that keep an encoder
 
 
 def default_tokenizer() -> str:
@@ -37,9 +39,10 @@ def default_tokenizer() -> str:
 
 def encoder(path: str) -> "Encoder":
     """This worker's encoder for the file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    mine = kept(TOKENS)
+    if path not in mine:
+        mine[path] = Encoder(path)
+    return mine[path]
 
 
 class Encoder:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haat.llm.common import cut, ship
+from haat.llm.common import cut, ship, task
 
 CHUNK = 256          # candidates evaluated at once
 
@@ -126,7 +126,7 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
             far = np.sqrt(np.maximum((m ** 2).sum(1)[:, None] + (pivots ** 2).sum(1) - 2 * m @ pivots.T, 0))
             yield pdf.assign(piv=list(far))
 
-    table = v.mapInPandas(with_pivots, "id long, v array<long>, piv array<double>")
+    table = v.mapInPandas(task(with_pivots), "id long, v array<long>, piv array<double>")
     table = cut(table)
     block = F.pmod(F.xxhash64("id"), F.lit(n_blocks))
     q_block = F.pmod(F.xxhash64("id"), F.lit(n_query_blocks))
