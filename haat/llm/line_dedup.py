@@ -13,6 +13,12 @@ documents share has a home, the earliest document that holds it.
    are aligned in the same way.  So no shared line is left out, and the rows
    stay in proportion to the line occurrences, however many documents share a
    line.
+3. A short line of a block may have another home than the lines beside it.  So
+   windows, the shortest runs of two or more shared lines that begin or end at
+   a line and have ``min_words`` words, have homes too: up to ``rare``
+   documents they pair documents as in 1, above that their lines join the
+   groups of 2.  Every line of a block is such a line of ``min_words`` words
+   or stands in such a window of the block.
 
 A block is a run of aligned lines without a gap on either side (blank lines
 aside).  Blocks of ``min_words`` words or more are deleted from the later
@@ -149,13 +155,62 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
                                       ["doc_id", "text_hash", "seq", "pos", "line", "words", "first"])
 
 
+ENTRY = "array<struct<seq: int, line: binary, words: int, pos: int>>"
+
+
+def spans(entries: list[tuple], min_words: int) -> set[tuple[int, int]]:
+    """(first, last) of the shortest runs of two or more lines without a gap
+    that begin or end at a line and have ``min_words`` words or more."""
+    out = set()
+    for step in (1, -1):
+        for i in range(len(entries)):
+            j, words = i, entries[i][2]
+            while words < min_words and 0 <= j + step < len(entries) and \
+                    entries[j + step][0] == entries[j][0] + step:
+                j += step
+                words += entries[j][2]
+            if words >= min_words and j != i:
+                out.add((min(i, j), max(i, j)))
+    return out
+
+
+def windows(listed: DataFrame, min_words: int) -> DataFrame:
+    """(d, line, lines) for rows (d, lines) of shared lines: each window of a
+    document once, by a hash of its lines, with the lines of all its places."""
+    entry = pa.struct([("seq", pa.int32()), ("line", pa.binary()), ("words", pa.int32()), ("pos", pa.int32())])
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(entry)]
+
+    def run(batches):
+        from xxhash import xxh128_digest
+        for batch in batches:
+            rows: list[list] = [[], [], [], []]
+            for row in batch.to_pylist():
+                entries = sorted({tuple(x.values()) for x in row["lines"]})
+                found: dict[bytes, set] = {}
+                for i, j in spans(entries, min_words):
+                    some = entries[i:j + 1]
+                    found.setdefault(xxh128_digest(b"".join(x[1] for x in some)), set()).update(some)
+                for key, some in found.items():
+                    whole = [dict(zip(("seq", "line", "words", "pos"), x)) for x in sorted(some)]
+                    for col, x in zip(rows, (row["d"]["doc_id"], row["d"]["text_hash"], key, whole)):
+                        col.append(x)
+                if len(rows[0]) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names)
+                    rows = [[] for _ in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names)
+
+    names = ["doc_id", "text_hash", "line", "lines"]
+    out = listed.select("d", "lines").mapInArrow(
+        task(run), f"doc_id long, text_hash long, line binary, lines {ENTRY}")
+    return out.select(F.struct("doc_id", "text_hash").alias("d"), "line", "lines")
+
 
 def align(pairs: DataFrame, min_words: int) -> DataFrame:
     """(d, home, deleted) for rows (d, home, later, earlier) of line lists."""
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                as_lists = [[tuple(x.values()) for x in row[side]] for side in ("later", "earlier")]
+                as_lists = [list({tuple(x.values()) for x in row[side]}) for side in ("later", "earlier")]
                 gone = common_blocks(*as_lists, min_words)
                 if gone:
                     yield pa.RecordBatch.from_pylist(
@@ -177,12 +232,18 @@ def deletions(docs: DataFrame, min_words: int, rare: int) -> DataFrame:
     away = F.col("home") < F.col("d")
     entry = F.struct("seq", "line", "words", "pos")
     listed = shared.groupBy("d").agg(F.collect_list(entry).alias("lines"))       # one document's lines
-    found = shared.filter(away & (F.col("n_docs") <= rare)).select("d", "home").distinct()
+    wide = cut(windows(listed, min_words))
+    homes = wide.groupBy("line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("d").alias("home")).filter("n_docs > 1")
+    wide = cut(wide.join(homes, "line"))
+    often = F.col("n_docs") > rare
+    found = shared.filter(away & ~often).select("d", "home") \
+        .unionByName(wide.filter(away & ~often).select("d", "home")).distinct()
     whole = found.join(listed.withColumnRenamed("lines", "later"), "d") \
         .join(listed.select(F.col("d").alias("home"), F.col("lines").alias("earlier")), "home")
-    common = shared.filter(F.col("n_docs") > rare)
-    at_home = common.filter(F.col("home") == F.col("d")).groupBy("line").agg(F.collect_list(entry).alias("earlier"))
-    apart = common.filter(away).groupBy("line", "home", "d").agg(F.collect_list(entry).alias("later"))
+    one = shared.filter(often).groupBy("line", "home", "d").agg(F.collect_list(entry).alias("lines"))
+    common = one.unionByName(wide.filter(often).select("line", "home", "d", "lines"))
+    at_home = common.filter(F.col("home") == F.col("d")).select("line", F.col("lines").alias("earlier"))
+    apart = common.filter(away).withColumnRenamed("lines", "later")
     grouped = apart.join(at_home, "line").groupBy("d", "home").agg(
         F.flatten(F.collect_list("later")).alias("later"), F.flatten(F.collect_list("earlier")).alias("earlier"))
     gone = align(whole, min_words).unionByName(align(grouped, min_words))

@@ -204,3 +204,31 @@ def test_line_dedup_edges(spark):
     assert out[1].dedup_text == "X y z\n\nend" and out[1].earlier == [0]
     kept = rewritten(df)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1] and kept.columns == df.columns
+
+
+def whole_blocks(rows, min_words=5):
+    """Positions of lines in runs of ``min_words`` words that an earlier
+    document holds too, from all runs of all documents; no alignment."""
+    gone, seen = {}, set()
+    for i, t in sorted(rows):
+        ls = [(p, x.strip()) for p, x in enumerate(t.split("\n")) if x.split()]
+        runs = {(a, b) for a in range(len(ls)) for b in range(a + 1, len(ls) + 1)
+                if sum(len(x.split()) for _, x in ls[a:b]) >= min_words}
+        gone[i] = sorted({p for a, b in runs if tuple(x for _, x in ls[a:b]) in seen for p, _ in ls[a:b]})
+        seen |= {tuple(x for _, x in ls[a:b]) for a, b in runs}
+    return gone
+
+
+def test_common_blocks_go_whole(spark):
+    """40 copies of blocks with short lines that earlier documents hold alone."""
+    alone = ["Les.\nun deux", "And.\ntrois", "so it\nquatre cinq", "six\nwent on"]
+    blocks = ["Alpha beta\nLes.\nGamma delta", "so it\n\nwent on\nAnd.", "One long line of seven words here\nAnd."]
+    copies = [f"own {i}\n" + "\n".join(f"{b}\nof {i} {n}" for n, b in enumerate(blocks)) for i in range(40)]
+    rows = list(enumerate(alone + copies))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = whole_blocks(rows)
+    assert want[20] == [1, 2, 3, 5, 7, 8, 10, 11]
+    unsplit = slow_line_dedup(rows, 5, 10 ** 9)
+    for rare in (32, 3, 1000):
+        got = {r.doc_id: r.deleted for r in line_dedup(df, rare=rare).collect()}
+        assert got == want and all(set(unsplit[i]) <= set(got[i]) for i in got)
