@@ -104,3 +104,21 @@ def test_edges(spark):
     assert all(r.held_out for r in got if r.doc_id is None)
     blank = {r.doc_id for r in docs.collect() if not any(c.isalpha() for c in r.text or "")}
     assert all((r.lang_pred == "und") == (r.doc_id in blank) for r in got)
+
+
+@pytest.mark.parametrize("held", [300, 1])
+def test_a_model_larger_than_tasks_hold_changes_nothing(spark, held):
+    docs = helpers.read(spark).select("doc_id", "text", "lang")
+    more = [(10_000_000 + i, t, None) for i, t in enumerate(helpers.ODD_TEXTS)] \
+        + [(20_000_001 + 4 * i, "語言日本" * 3 + "ab" * i + "\U00010400" * i, "xx") for i in range(8)] + [(None, "und so", "de")]
+    docs = docs.union(spark.createDataFrame(more, docs.schema))
+    got, want = (sorted(identify(docs, max_ngrams=n).collect(), key=lambda r: (r.doc_id or 0, r.text_hash))
+                 for n in (held, 1_000_000))
+    assert len(got) == len(want) == docs.count()
+    for g, w in zip(got, want):
+        assert (g.doc_id, g.text_hash, g.held_out, g.n_units) == (w.doc_id, w.text_hash, w.held_out, w.n_units)
+        if w.score < 0.99 and w.cross_entropy is not None:      # ties by rounding
+            assert abs(g.score - w.score) < 1e-3
+        else:
+            assert (g.lang_pred, g.rejected) == (w.lang_pred, w.rejected)
+        assert g.cross_entropy == w.cross_entropy or abs(g.cross_entropy - w.cross_entropy) < 1e-4
