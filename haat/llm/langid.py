@@ -16,7 +16,9 @@ speed, never results.
 A text gets the language with the lowest cross-entropy per character.  It is
 rejected when it has no letter, or when that cross-entropy is out of reach of
 the training texts of its length class: over median + ``reach`` x (99.9 %
-quantile - median).
+quantile - median).  A class (by the power of two of the length, 1,024
+characters and more in one) with fewer than ``enough`` training texts takes
+the limit of the training texts of all lengths.
 """
 
 from __future__ import annotations
@@ -346,7 +348,7 @@ def held_out(ident: Column) -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             max_ngrams: int = 100_000, reach: float = 3.0) -> DataFrame:
+             max_ngrams: int = 100_000, reach: float = 3.0, enough: int = 1000) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, held_out, lang_pred,
     score, n_units, cross_entropy, rejected.
 
@@ -398,12 +400,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     length = F.least(F.floor(F.log2(F.greatest("n_units", F.lit(1)))), F.lit(10)).cast("int")
     trained = scored.filter(~F.col("held_out") & (F.col("lang") == F.col("lang_pred")))
     limits = trained.groupBy(length.alias("length")).agg(
-        F.percentile_approx("cross_entropy", [0.5, 0.999], 10_000).alias("q")) \
-        .select("length", (F.col("q")[0] + reach * (F.col("q")[1] - F.col("q")[0])).alias("limit"))
+        F.percentile_approx("cross_entropy", [0.5, 0.999], 10_000).alias("q"), F.count(F.lit(1)).alias("c")) \
+        .filter(F.col("c") >= enough).select("length", (F.col("q")[0] + reach * (F.col("q")[1] - F.col("q")[0])).alias("limit"))
     top = trained.agg(F.percentile_approx("cross_entropy", [0.5, 0.999], 10_000)).first()[0]
     whole = F.lit(top[0] + reach * (top[1] - top[0]) if top else None).cast("double")
     out = scored.withColumn("length", length).join(F.broadcast(limits), "length", "left")     # 11 rows
-    limit = F.greatest(F.coalesce("limit", whole), whole)
+    limit = F.coalesce("limit", whole)
     return out.withColumn("rejected", F.col("cross_entropy").isNull() | F.coalesce(F.col("cross_entropy") > limit, F.lit(True))) \
         .select("doc_id", "text_hash", "held_out", "lang_pred", "score", "n_units", "cross_entropy", "rejected")
 

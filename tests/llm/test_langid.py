@@ -122,3 +122,21 @@ def test_a_model_larger_than_tasks_hold_changes_nothing(spark, held):
         else:
             assert (g.lang_pred, g.rejected) == (w.lang_pred, w.rejected)
         assert g.cross_entropy == w.cross_entropy or abs(g.cross_entropy - w.cross_entropy) < 1e-4
+
+
+def test_limit_of_the_length_class(spark):
+    """Long texts that are part noise: within the limit that short texts make,
+    over the one of long texts.  A class with few texts takes the one of all."""
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(200)]
+
+    def text(n, noise=0.0):
+        return " ".join("".join(rng.choice(list("abcdefgh"), 6)) if rng.random() < noise else str(w)
+                        for w in rng.choice(words, n))
+    rows = [(i, text(250) if i % 2 else text(int(rng.integers(1, 4)), 0.1), "xx") for i in range(4000)]
+    noisy = [(5000 + i, text(250, 0.5), None) for i in range(5)]
+    df = spark.createDataFrame(rows + noisy, "doc_id long, text string, lang string")
+    for enough, rejected in ((1000, 5), (10 ** 6, 0)):
+        got = identify(df, enough=enough).collect()
+        assert sum(r.rejected for r in got if r.doc_id >= 5000) == rejected
+        assert sum(r.rejected for r in got if r.doc_id < 5000) <= 40
