@@ -9,7 +9,8 @@ the limits, each dimension weighted by how scarce it is in the pool.  When
 none fits whole, the longest is cut to fill what is left.
 
 Each task packs what it reads, in one pass: no shuffle, and a pool of bounded
-size.  What remains at a task's end is cut into sequences whose lengths are
+size.  What closes below the token limit, because it has reached another limit
+or nothing remains at a task's end, is cut into sequences whose lengths are
 powers of two, so that it needs no padding either.
 """
 
@@ -64,20 +65,20 @@ class Packer:
         tokens, _, loss = (int(x) for x in self.cap)
         while item.length >= tokens or item.loss_of(item.length) > loss:
             n = item.most(tokens, loss)
-            yield from self._close([self._take(item, n)])
+            yield from self._out([self._take(item, n)])
         if item.length:
             self._put(item)
         if self.n == POOL:
             while self.n > POOL // 2:
-                yield from self._close(self._fill())
+                yield from self._out(self._fill())
 
     def finish(self) -> Iterator[tuple]:
         while self.n:
-            pieces = self._fill()
-            if self.n or sum(p[2] for p in pieces) == self.cap[0]:
-                yield from self._close(pieces)
-            else:
-                yield from self._powers(pieces)
+            yield from self._out(self._fill())
+
+    def _out(self, pieces: list[tuple]) -> Iterator[tuple]:
+        full = sum(p[2] for p in pieces) == self.cap[0]
+        yield from self._close(pieces) if full else self._powers(pieces)
 
     def _put(self, item: Item) -> None:
         self.demand[self.n] = item.length, 1, item.loss_of(item.length)

@@ -148,3 +148,10 @@ def test_random_access(spark):
         reader = pfor.Reader(f)
         for a, b in ((0, 1), (127, 129), (100, 1000), (500, 500)):
             assert reader.read(a, b).tolist() == ids[a:b]
+
+
+def test_sequences_of_many_tiny_texts_need_no_padding(spark):
+    texts = {i: "ab"[:i % 3] for i in range(5000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    check_packing(pack(df).collect(), texts)
+    check_packing(pack(df, max_tokens=64, max_segments=64, max_loss=20).collect(), texts, 64, 64, 20)
