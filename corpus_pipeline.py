@@ -46,8 +46,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in sequences of at most 1,024 tokens, with their ids."""
-    return pack(docs)
+    """Pieces in sequences of at most 1,024 tokens, with their ids.  Files of
+    the stage before are read in any order, so the schedule, which depends on
+    the rows alone, is worked out again: the sort's partitions follow it, and
+    sequence ids follow the partitions."""
+    return pack(mixing(spark, docs, sf_dir))
 
 
 STAGES = [
