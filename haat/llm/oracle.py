@@ -102,3 +102,65 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_bas
        CAST(coalesce(score, 0) AS DOUBLE) AS score
 FROM d LEFT JOIN agg ON d.doc_id IS NOT DISTINCT FROM agg.doc_id
 """
+
+# Three rounds of means from the fixed start, written out one after the other.
+_KM_DISTANCE = "CAST(list_sum(list_transform(range(1, 65), lambda j: (v[j] - m[j]) * (v[j] - m[j]))) AS BIGINT)"
+
+
+def _km_assign(i: int) -> str:
+    return f"""a{i} AS (SELECT rid, arg_min(struct_pack(c := c, d := d), d * 1000 + c) AS best FROM (
+  SELECT rid, c, {_KM_DISTANCE} AS d FROM v, c{i}) GROUP BY rid)"""
+
+
+def _km_update(i: int) -> str:
+    return f"""s{i} AS (SELECT c, list(CAST(floor(x / n) AS BIGINT) ORDER BY j) AS m FROM (
+  SELECT best.c AS c, j, CAST(sum(x) AS DOUBLE) AS x, count(*) AS n FROM (
+    SELECT best, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM v JOIN a{i} USING (rid)) GROUP BY 1, 2) GROUP BY c),
+c{i + 1} AS (SELECT c, coalesce(s{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN s{i} USING (c))"""
+
+
+SQL["op11_centroids"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS INTEGER) AS c, v AS m
+       FROM v QUALIFY c < 16),
+""" + ",\n".join(x for i in range(3) for x in (_km_assign(i), _km_update(i))) + ",\n" + _km_assign(3) + """
+SELECT vec_id, best.c AS cluster, best.d AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM v JOIN a3 USING (rid) JOIN c3 ON c3.c = best.c
+"""
+
+SQL["op13_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+            FROM w JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS k) ON len(w) >= k)
+      GROUP BY ALL HAVING count(*) >= 100),
+f AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE k > 1),
+cuts AS (SELECT lang, phrase, a, k, w, unnest(range(1, k)) AS c FROM f),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, c, gl.a AS l, gr.a AS r, n,
+         CAST(CAST(1000 AS HUGEINT) * cuts.a * n // (CAST(gl.a AS HUGEINT) * gr.a) AS BIGINT) AS score
+  FROM cuts JOIN g gl ON gl.lang = cuts.lang AND gl.phrase = array_to_string(cuts.w[1:c], ' ')
+  JOIN g gr ON gr.lang = cuts.lang AND gr.phrase = array_to_string(cuts.w[c + 1:], ' ')
+  JOIN n ON n.lang = cuts.lang
+  QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, c) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS around
+  FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i
+        FROM (SELECT lang, w, a, k, unnest(range(2, k)) AS m FROM f)) GROUP BY 1, 2)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank,
+       s.phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM scored s LEFT JOIN inner_ i ON i.lang = s.lang AND i.phrase = s.phrase
+WHERE around IS NULL OR around < a
+QUALIFY rank <= 2000
+"""

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haat.llm import pfor
+from haat.llm.best_fit import best_fit
+from haat.llm.collocations import collocations
 from haat.llm.common import documents
 from haat.llm.exact_dedup import exact_dedup
 from haat.llm.langid import identify
 from haat.llm.licenses import scan
 from haat.llm.line_dedup import line_dedup
 from haat.llm.mixing import mix
+from haat.llm.orchard import clusters
 from haat.llm.packing import pack
 from haat.llm.sharding import shard
 from haat.llm.simhash import near_dedup
@@ -84,3 +87,18 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_topk")
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_centroids")
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(table(spark, sf_dir, "embeddings")).drop("n_compared")
+
+
+@query("op12_best_fit")
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(documents(spark, sf_dir), with_ids=False).drop("ids")
+
+
+@query("op13_collocations")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
