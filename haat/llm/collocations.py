@@ -13,10 +13,12 @@ Wanted: per language, every phrase of 2 to ``max_words`` words that occurs
   the guess, and a further pass counts what has come within reach.  Without
   failures the set is closed: a frequent phrase that was never counted would
   have a shortest such part, whose own beginning and end are frequent, hence in
-  the guess, hence it was counted.
+  the guess, hence it was counted.  Where failures are few beside all words, one
+  pass counts the whole expansion: beginnings and ends may then be phrases
+  that were never counted and are themselves within reach.
 
-The guess is held as a bitmap of 2^27 bits (16 MB, whatever the corpus),
-indexed by a phrase's 64-bit hash.  A bit that is set by another phrase only
+The guess is held as a bitmap of 2^27 bits (at most 16 MB, whatever the
+corpus; sent compressed), indexed by a phrase's 64-bit hash.  A bit that is set by another phrase only
 makes more phrases counted; the argument above holds for the set of bits.
 So the sample and the bitmap decide how much is counted, never the result.
 
@@ -31,6 +33,7 @@ chunk are added up before they leave it.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,7 @@ BUCKET = 32_768              # bits of one row of Spark's bitmap aggregate
 LEVELS = 8                   # a hash's lowest 3 bits hold the number of words
 REACH = 64                   # byte positions with a row of random numbers each
 CHARS = 2_000_000            # of texts handled at once
+FEW = 10                     # failures are few: one occurrence in so many words
 TEXTS = 500_000              # phrases a task keeps before it hands them on
 
 _rng = np.random.default_rng(13)
@@ -125,6 +129,23 @@ def has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
 
 
+class Shared:
+    """A bitmap in every task."""
+
+    def __init__(self, spark, bitmap: np.ndarray):
+        self.sent = spark.sparkContext.broadcast(zlib.compress(bitmap.tobytes(), 1))
+        self._bits = None
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        if self._bits is None:
+            self._bits = np.frombuffer(zlib.decompress(self.sent.value), np.uint8)
+        return has(self._bits, h)
+
+    def drop(self) -> None:
+        """Nothing reads it any more: what was counted with it is written."""
+        self.sent.destroy()
+
+
 def _chunks(batches):
     for batch in batches:
         langs = batch.column(0).to_pylist()
@@ -162,6 +183,57 @@ def _bitmap(counted: DataFrame) -> np.ndarray:
     return out
 
 
+def _union(parts: list) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
+
+
+def _occurrences(counted: DataFrame, among: Shared | None) -> int:
+    def run(batches):
+        for batch in batches:
+            h, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(n.sum() if among is None else n[among.has(h)].sum())], pa.int64())], ["n"])
+
+    return counted.mapInArrow(task(run), "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _both(bits: np.ndarray, n: int) -> np.ndarray:
+    """Of phrases one word longer than those of ``bits``: beginning and end are set."""
+    return bits[:n] & bits[1:n + 1]
+
+
+def _first(guess: Shared):
+    """All words, the guess and its negative border."""
+    def pick(words, k, ok):
+        return ok if k == 1 else ok & _both(guess.has(words.hashes(k - 1)[0]), len(ok))
+    return pick
+
+
+def _next(before: Shared, guess: Shared):
+    """What the larger guess brings within reach."""
+    def pick(words, k, ok):
+        h, n = words.hashes(k - 1)[0], len(ok)
+        return ok & _both(guess.has(h), n) & ~_both(before.has(h), n)
+    return pick
+
+
+def _expansion(before: Shared, frequent: Shared):
+    """Everything that can still be frequent: not counted before, and beginning
+    and end are frequent or can still be so themselves."""
+    def pick(words, k, ok):
+        if k == 2:
+            words.can = frequent.has(words.hashes(1)[0])
+        n = len(ok)
+        counted = _both(before.has(words.hashes(k - 1)[0]), n)
+        now = _both(words.can, n) & ~counted & ok
+        words.can = now | (counted & frequent.has(words.hashes(k)[0]))
+        return now
+    return pick
+
+
 def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_words: int = 5,
                      min_count: int = 100, id_col: str = "doc_id", sample_every: int = 16,
                      sample_least: int | None = None) -> DataFrame:
@@ -178,55 +250,51 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     sample_least = max(1, min_count // (2 * sample_every)) if sample_least is None else sample_least
     drawn = F.pmod(F.xxhash64(id_col, text_col), F.lit(sample_every)) == 0
     part = docs.filter(drawn).select(*rows_of)
-    shared = lambda bitmap: spark.sparkContext.broadcast(bitmap.tobytes())      # noqa: E731  16 MB each
 
     # The guess: words and pairs of the sample, then longer phrases of its frequent pairs.
     guess = _bitmap(_count(part, (1, 2), lambda w, k, ok: ok, sample_least))
-    pairs = shared(guess)
+    pairs = Shared(spark, guess)
 
     def of_pairs(words, k, ok):
-        bitmap = np.frombuffer(pairs.value, np.uint8)
-        h, _ = words.hashes(2)
-        two = has(bitmap, h)
+        two = pairs.has(words.hashes(2)[0])
         for j in range(k - 1):
             ok = ok & two[j:j + len(ok)]
         return ok
 
     if max_words > 2:
         guess |= _bitmap(_count(part, range(3, max_words + 1), of_pairs, sample_least))
-    reached, found = None, []
+    pairs.drop()
+    reached = Shared(spark, guess)
+    found = [_count(rows, range(1, max_words + 1), _first(reached), min_count)]
     while True:
-        new, old = shared(guess), None if reached is None else shared(reached)
-
-        def within_reach(words, k, ok):
-            """Beginning and end are guessed, and were not both before."""
-            if k == 1:
-                return ok
-            h, _ = words.hashes(k - 1)
-            n = len(ok)
-            now = has(np.frombuffer(new.value, np.uint8), h)
-            ok = ok & now[:n] & now[1:n + 1]
-            if old is not None:
-                before = has(np.frombuffer(old.value, np.uint8), h)
-                ok &= ~(before[:n] & before[1:n + 1])
-            return ok
-
-        found.append(_count(rows, range(1 if reached is None else 2, max_words + 1), within_reach, min_count))
-        grown = guess | _bitmap(found[-1].filter(F.col("h").bitwiseAND(LEVELS - 1) < max_words))
-        reached = guess
+        last = found[-1].filter(F.col("h").bitwiseAND(LEVELS - 1) < max_words)
+        grown = guess | _bitmap(last)
         if (grown == guess).all():
             break
-        guess = grown
-    frequent = found[0]
-    for more in found[1:]:
-        frequent = frequent.union(more)
-    return _texts(rows, shared(_bitmap(frequent)), max_words, min_count)
+        frequent = Shared(spark, _bitmap(_union(found)))
+        # Occurrences of failures beside all words: counts of words are in the first pass.
+        missed = Shared(spark, grown & ~guess)
+        n_missed = _occurrences(last, missed)
+        missed.drop()
+        whole = n_missed * FEW <= _occurrences(found[0].filter(F.col("h").bitwiseAND(LEVELS - 1) == 1), None)
+        new = Shared(spark, grown)
+        found.append(_count(rows, range(2, max_words + 1),
+                            _expansion(reached, frequent) if whole else _next(reached, new), min_count))
+        for old in (reached, frequent):
+            old.drop()
+        guess, reached = grown, new
+        if whole:
+            break
+    reached.drop()
+    bits = Shared(spark, _bitmap(_union(found)))
+    out = _texts(rows, bits, max_words, min_count)
+    bits.drop()
+    return out
 
 
-def _texts(rows: DataFrame, frequent, max_words: int, min_count: int) -> DataFrame:
+def _texts(rows: DataFrame, frequent: Shared, max_words: int, min_count: int) -> DataFrame:
     """Exact counts of the texts of phrases whose hash is in ``frequent``."""
     def run(batches):
-        bitmap = np.frombuffer(frequent.value, np.uint8)
         seen: dict = {}          # (hash, check) -> [lang, k, phrase, count]
         totals: dict = {}
         for words in _chunks(batches):
@@ -234,7 +302,7 @@ def _texts(rows: DataFrame, frequent, max_words: int, min_count: int) -> DataFra
                 totals[lang] = totals.get(lang, 0) + n
             for k in range(1, max_words + 1):
                 h, ok = words.hashes(k)
-                at = np.flatnonzero(ok & has(bitmap, h))
+                at = np.flatnonzero(ok & frequent.has(h))
                 # A second hash from the same words keeps phrases apart that share the first.
                 check = _mixed(h[at] + words.word[at] * np.uint64(3) + words.word[at + k - 1])
                 keys = np.stack([h[at], check], 1)

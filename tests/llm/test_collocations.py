@@ -59,15 +59,17 @@ def random_rows(seed, n=120):
 
 @pytest.mark.parametrize("seed, least, kw", [
     (1, 3, {}), (2, 8, {}), (3, 5, {"top": 4}), (4, 4, {"contained_pct": 60}), (5, 5, {"max_words": 2}),
-    (6, 6, {"max_words": 3, "sample_every": 1})])
-def test_against_brute_force(spark, seed, least, kw):
+    (6, 6, {"max_words": 3, "sample_every": 1}), (7, 4, {"sample_least": 9}), (7, 4, {"sample_least": 9, "FEW": 0})])
+def test_against_brute_force(spark, monkeypatch, seed, least, kw):
+    monkeypatch.setattr(C, "FEW", kw.pop("FEW", C.FEW))
     rows = random_rows(seed)
     want = brute(rows, least, kw.get("top", 2000), kw.get("max_words", 5), kw.get("contained_pct", 100))
     assert mined(frame(spark, rows), least, **kw) == want and want
 
 
 def test_border_failures_lead_to_further_passes(spark, monkeypatch):
-    """A sample that guesses nothing: every length needs a pass of its own."""
+    """A sample that guesses nothing: every length needs a pass of its own, or
+    where failures count as few, one pass for all."""
     passes = []
     count = C._count
     monkeypatch.setattr(C, "_count", lambda *a: (passes.append(a[1]), count(*a))[1])
@@ -75,6 +77,10 @@ def test_border_failures_lead_to_further_passes(spark, monkeypatch):
     assert mined(frame(spark, rows), 9, sample_least=10 ** 6) == brute(rows, 9)
     assert len(passes) == 2 + 5
     passes.clear()
+    monkeypatch.setattr(C, "FEW", 0)
+    assert mined(frame(spark, rows), 9, sample_least=10 ** 6) == brute(rows, 9)
+    assert len(passes) == 2 + 2
+    passes.clear()
     assert mined(frame(spark, rows), 9, sample_every=1) == brute(rows, 9)
     assert len(passes) == 2 + 1
 
