@@ -47,9 +47,9 @@ BITS = 27
 BUCKET = 32_768              # bits of one row of Spark's bitmap aggregate
 LEVELS = 8                   # a hash's lowest 3 bits hold the number of words
 REACH = 64                   # byte positions with a row of random numbers each
-CHARS = 2_000_000            # of texts handled at once
+CHARS = 1_000_000            # of texts handled at once
 FEW = 10                     # failures are few: one occurrence in so many words
-TEXTS = 500_000              # phrases a task keeps before it hands them on
+TEXTS = 100_000              # phrases a task keeps before it hands them on
 
 _rng = np.random.default_rng(13)
 _BYTE = _rng.integers(0, 1 << 64, REACH * 256, np.uint64)
