@@ -49,7 +49,7 @@ LEVELS = 8                   # a hash's lowest 3 bits hold the number of words
 REACH = 64                   # byte positions with a row of random numbers each
 CHARS = 1_000_000            # of texts handled at once
 FEW = 10                     # failures are few: one occurrence in so many words
-TEXTS = 100_000              # phrases a task keeps before it hands them on
+TEXTS = 500_000              # phrases a task keeps before it hands them on
 
 _rng = np.random.default_rng(13)
 _BYTE = _rng.integers(0, 1 << 64, REACH * 256, np.uint64)
@@ -292,34 +292,65 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     return out
 
 
+class Seen:
+    """Phrases a task has met: hashes in order, each with a second hash that
+    keeps apart phrases that share the first, the count, and the text's place."""
+
+    def __init__(self):
+        self.h = self.check = np.zeros(0, np.uint64)
+        self.n = self.place = np.zeros(0, np.int64)
+        self.texts: list[tuple] = []
+
+    def add(self, words: Words, k: int, h: np.ndarray, at: np.ndarray) -> list:
+        """Count the phrases of k words at ``at``.  Returned are rows for
+        phrases whose hash is another one's here."""
+        check = words.lang[at] + np.uint64(k)
+        for j in range(k):
+            check = _mixed(check + words.word[at + j])
+        order = np.argsort(h, kind="stable")
+        h, check, at = h[order], check[order], at[order]
+        runs = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (check[1:] != check[:-1]))[:len(h)])
+        n = np.diff(np.append(runs, len(h)))
+        h, check, at = h[runs], check[runs], at[runs]
+        i = np.minimum(np.searchsorted(self.h, h), max(0, len(self.h) - 1))
+        known = self.h[i] == h if len(self.h) else np.zeros(len(h), bool)
+        same = known & (self.check[i] == check) if len(self.h) else known
+        self.n[i[same]] += n[same]
+        first = np.append(True, h[1:] != h[:-1])[:len(h)]
+        new, other = ~known & first, ~same & (known | ~first)
+        places = np.arange(len(self.texts), len(self.texts) + int(new.sum()))
+        self.texts += [(words.langs[words.text[j]], k, words.phrase(j, k)) for j in at[new].tolist()]
+        h_all = np.concatenate([self.h, h[new]])
+        order = np.argsort(h_all, kind="stable")
+        self.h = h_all[order]
+        self.check = np.concatenate([self.check, check[new]])[order]
+        self.n = np.concatenate([self.n, n[new]])[order]
+        self.place = np.concatenate([self.place, places])[order]
+        return [[words.langs[words.text[j]], k, words.phrase(j, k), c]
+                for j, c in zip(at[other].tolist(), n[other].tolist())]
+
+    def rows(self) -> list:
+        return [(*self.texts[p], n) for p, n in zip(self.place.tolist(), self.n.tolist())]
+
+
 def _texts(rows: DataFrame, frequent: Shared, max_words: int, min_count: int) -> DataFrame:
     """Exact counts of the texts of phrases whose hash is in ``frequent``."""
     def run(batches):
-        seen: dict = {}          # (hash, check) -> [lang, k, phrase, count]
-        totals: dict = {}
+        seen, totals = Seen(), {}
         for words in _chunks(batches):
             for lang, n in zip(words.langs, np.bincount(words.text, minlength=len(words.langs)).tolist()):
                 totals[lang] = totals.get(lang, 0) + n
             for k in range(1, max_words + 1):
                 h, ok = words.hashes(k)
-                at = np.flatnonzero(ok & frequent.has(h))
-                # A second hash from the same words keeps phrases apart that share the first.
-                check = _mixed(h[at] + words.word[at] * np.uint64(3) + words.word[at + k - 1])
-                keys = np.stack([h[at], check], 1)
-                order = np.lexsort((keys[:, 1], keys[:, 0]))
-                keys = keys[order]
-                new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))[:len(keys)])
-                n = np.diff(np.append(new, len(keys)))
-                for (a, b), i, c in zip(keys[new].tolist(), at[order[new]].tolist(), n.tolist()):
-                    had = seen.get((a, b))
-                    if had is None:
-                        seen[(a, b)] = [words.langs[words.text[i]], k, words.phrase(i, k), c]
-                    else:
-                        had[3] += c
-            if len(seen) > TEXTS:
-                yield _text_batch(list(seen.values()))
-                seen = {}
-        yield _text_batch([[lang, 0, "", n] for lang, n in totals.items()] + list(seen.values()))
+                at = np.flatnonzero(ok)
+                at = at[frequent.has(h[at])]
+                rest = seen.add(words, k, h[at], at)
+                if rest:
+                    yield _text_batch(rest)
+            if len(seen.h) > TEXTS:
+                yield _text_batch(seen.rows())
+                seen = Seen()
+        yield _text_batch([[lang, 0, "", n] for lang, n in totals.items()] + seen.rows())
 
     counted = rows.mapInArrow(task(run), "lang string, k int, phrase string, a long")
     return cut(counted.groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a"))

@@ -110,6 +110,24 @@ def test_large_numbers_stay_exact(spark, monkeypatch):
     assert r.score == 1000 * (10 ** 7 + 1) * big // ((10 ** 7 + 3) * (10 ** 7 + 9))
 
 
+def test_phrases_that_share_a_hash_are_kept_apart():
+    """Hashes cut to a few values: what shares one is handed on as a row."""
+    rows = random_rows(9, 30)
+    seen, got = C.Seen(), Counter()
+    for a in range(0, 30, 10):
+        w = C.Words([t for _, t in rows[a:a + 10]], ["en"] * 10)
+        for k in (1, 2, 3):
+            h, ok = w.hashes(k)
+            at = np.flatnonzero(ok)
+            for lang, j, phrase, n in seen.add(w, k, h[at] % np.uint64(7), at):
+                got[(j, phrase)] += n
+    for lang, j, phrase, n in seen.rows():
+        got[(j, phrase)] += n
+    want = Counter((k, " ".join(p[i:i + k])) for _, t in rows for p in split(t) for k in (1, 2, 3)
+                   for i in range(len(p) - k + 1))
+    assert got == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("aB é\t.\n日 "), max_size=30), min_size=1, max_size=4))
 def test_words_of_a_chunk(texts):
