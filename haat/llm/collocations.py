@@ -315,7 +315,7 @@ class Seen:
         i = np.minimum(np.searchsorted(self.h, h), max(0, len(self.h) - 1))
         known = self.h[i] == h if len(self.h) else np.zeros(len(h), bool)
         same = known & (self.check[i] == check) if len(self.h) else known
-        self.n[i[same]] += n[same]
+        np.add.at(self.n, i[same], n[same])
         first = np.append(True, h[1:] != h[:-1])[:len(h)]
         new, other = ~known & first, ~same & (known | ~first)
         places = np.arange(len(self.texts), len(self.texts) + int(new.sum()))
