@@ -540,3 +540,98 @@ SQL["regression_multi"] = W(TX, DAILY_PQ, f"""x AS (SELECT q AS y, p AS a, CAST(
   UNION ALL SELECT 'p', ca, (ca * ay + cb * by_) / yy, n FROM c
   UNION ALL SELECT 'wd', cb, (ca * ay + cb * by_) / yy, n FROM c)""") + f"""SELECT term, {R('coefficient', 3)} AS coefficient,
   {R('r2', 4)} AS r2, n FROM t"""
+
+SQL["knn_all"] = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(range(1, 65),
+    lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])))) AS d FROM v q JOIN v c ON q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, {R('d', 4)} AS distance FROM (SELECT *,
+  row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) t WHERE rank <= 5"""
+
+# Every window counted anew from the facts.
+SQL["customers_trailing"] = W(TX, """sp AS (SELECT product, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS dt
+  FROM (SELECT product, min(dt) AS lo, max(dt) AS hi FROM tx WHERE user_id IS NOT NULL GROUP BY product) t)""",
+                              "d AS (SELECT DISTINCT product, dt, user_id FROM tx)") + """
+SELECT sp.product, sp.dt, COUNT(DISTINCT d.user_id) AS customers FROM sp LEFT JOIN d
+  ON d.product = sp.product AND d.dt > sp.dt - 30 AND d.dt <= sp.dt GROUP BY sp.product, sp.dt"""
+
+
+def _copurchase(edges: str) -> tuple[str, str, str]:
+    return (edges, "sz AS (SELECT item, COUNT(*) AS n FROM ed GROUP BY item)",
+            """co AS (SELECT p.item, p.other, p.n_both, p.n_both / sqrt(CAST(x.n AS DOUBLE) * CAST(y.n AS DOUBLE)) AS cosine
+  FROM (SELECT l.item, r.item AS other, COUNT(*) AS n_both FROM ed l JOIN ed r
+    ON l.usr = r.usr AND l.item <> r.item GROUP BY 1, 2) p
+  JOIN sz x ON x.item = p.item JOIN sz y ON y.item = p.other)""")
+
+
+SQL["copurchase_neighbours"] = W(*_copurchase("""ed AS (SELECT DISTINCT l_partkey AS item, o_custkey AS usr
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""")) + f"""SELECT item AS part, CAST(rank AS INTEGER) AS rank,
+  other AS neighbour, n_both AS "both", {R('cosine', 6)} AS cosine FROM (SELECT *,
+  row_number() OVER (PARTITION BY item ORDER BY cosine DESC, n_both DESC, other) AS rank FROM co) t WHERE rank <= 5"""
+
+SQL["copurchase_products"] = W(TX, *_copurchase("ed AS (SELECT DISTINCT product AS item, user_id AS usr FROM tx)")) + f"""
+SELECT item AS product, other AS neighbour, n_both AS "both", {R('cosine', 6)} AS cosine FROM co"""
+
+# --- models over all products -------------------------------------------------------------------
+DAYS = """dd AS (SELECT product, dt, CAST(SUM(quantity) AS DOUBLE) AS y, SUM(price) / COUNT(*) AS p FROM tx
+  GROUP BY product, dt)"""
+
+
+def _fourier_row(d: str) -> str:
+    u = f"(date_diff('day', lo, {d}) / greatest(date_diff('day', lo, hi), 1))"
+    t = T_EXPR.format(d=d)
+    waves = [f"{w}({t} * 2 * pi() * {j} / {period})" for period, pairs in (("365.25", 2), ("7.0", 3))
+             for j in range(1, pairs + 1) for w in ("sin", "cos")]
+    return "[1.0, " + u + ", " + ", ".join([f"greatest({u} - {c}, 0)" for c in (0.25, 0.5, 0.75)] + waves) + "]"
+
+
+# The 15 equations of each product, with a ridge of 0.001, by Gauss-Jordan.
+SQL["forecast_fourier"] = "WITH RECURSIVE " + ",\n".join((TX, DAYS, """sp AS (SELECT product, min(dt) AS lo, max(dt) AS hi,
+  COUNT(*) AS n FROM dd GROUP BY product HAVING COUNT(*) >= 10)""", f"""z AS (SELECT dd.product,
+  list_append(CAST({_fourier_row('dt')} AS DOUBLE[]), y) AS z FROM dd JOIN sp ON sp.product = dd.product)""",
+    """sums AS (SELECT product, i, j, sum(z[i] * z[j]) + CASE WHEN i = j AND i > 1 THEN 0.001 ELSE 0 END AS s
+  FROM z, range(1, 16) a(i), range(1, 17) b(j) GROUP BY product, i, j)""",
+    """m0 AS (SELECT product, list(r ORDER BY i) AS m FROM (SELECT product, i, list(s ORDER BY j) AS r FROM sums
+  GROUP BY product, i) t GROUP BY product)""", """gj(product, k, m) AS (SELECT product, 0, m FROM m0 UNION ALL
+  SELECT product, k + 1, list_transform(range(1, 16), lambda r: list_transform(range(1, 17), lambda c:
+    CASE WHEN r = k + 1 THEN m[r][c] / m[r][r] ELSE m[r][c] - m[r][k + 1] * m[k + 1][c] / m[k + 1][k + 1] END))
+  FROM gj WHERE k < 15)""", """be AS (SELECT product, list_transform(range(1, 16), lambda i: m[i][16]) AS b FROM gj WHERE k = 15)""",
+    """sg AS (SELECT z.product, sqrt(sum(pow(z[16] - list_sum(list_transform(range(1, 16), lambda i: z[i] * b[i])), 2))
+  / (count(*) - 1)) AS sigma FROM z JOIN be ON be.product = z.product GROUP BY z.product)""",
+    f"""ahead AS (SELECT sp.product, ds, list_sum(list_transform(range(1, 16), lambda i: x[i] * b[i])) AS yhat,
+  1.2816 * sigma AS band FROM (SELECT *, {_fourier_row('ds')} AS x FROM (SELECT product, lo, hi,
+    CAST(hi + CAST(h AS INTEGER) AS DATE) AS ds FROM sp, range(1, 31) r(h)) f) sp
+  JOIN be ON be.product = sp.product JOIN sg ON sg.product = sp.product)""")) + f"""
+SELECT product, ds, {R('yhat', 4)} AS yhat, {R('yhat - band', 4)} AS yhat_lower, {R('yhat + band', 4)} AS yhat_upper FROM ahead"""
+
+SQL["forecast_backtest"] = W(TX, DAYS, """o AS (SELECT *, CAST(date_diff('day', min(dt) OVER (PARTITION BY product), dt) AS DOUBLE) AS t
+  FROM dd)""", """f AS (SELECT product, dt, t, regr_slope(y, t) OVER w AS b, regr_intercept(y, t) OVER w AS a, COUNT(*) OVER w AS n
+  FROM o WINDOW w AS (PARTITION BY product ORDER BY dt))""", """s AS (SELECT f.product, CAST(h AS INTEGER) AS ahead,
+  a + b * (f.t + h) - o.y AS e, o.y FROM f, range(1, 31) r(h) JOIN o ON o.product = f.product
+  AND o.dt = f.dt + CAST(h AS INTEGER) WHERE n >= 30)""") + f"""SELECT product, ahead, COUNT(*) AS n,
+  {R('avg(abs(e))', 4)} AS mae, {R('avg(e)', 4)} AS bias, {R('sum(abs(e)) / sum(y)', 4)} AS share FROM s GROUP BY product, ahead"""
+
+SQL["regression_products"] = W(TX, DAYS, """x AS (SELECT product, y, p AS a, CAST(isodow(dt) - 1 AS DOUBLE) AS b FROM dd)""",
+                               """m AS (SELECT product, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(a, b) AS ab,
+  var_pop(a) AS aa, var_pop(b) AS bb, var_pop(y) AS yy, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, COUNT(*) AS n FROM x
+  GROUP BY product)""", """c AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ca,
+  (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM m)""") + f"""SELECT product, {R('my - ca * ma - cb * mb', 3)} AS intercept,
+  {R('ca', 3)} AS price, {R('cb', 3)} AS weekday, {R('(ca * ay + cb * by_) / yy', 4)} AS r2, n FROM c"""
+
+# Shapley values over the six orders in which three features can join.
+_ORDERS = [(a, b, c) for a in "pwm" for b in "pwm" for c in "pwm" if len({a, b, c}) == 3]
+
+
+def _gain(x: str) -> str:
+    v = lambda s: "v_" + "".join(k for k in "pwm" if k in s)      # noqa: E731
+    return "(" + " + ".join(f"({v(o[:o.index(x) + 1])} - {v(o[:o.index(x)])})" for o in _ORDERS) + ") / 6.0"
+
+
+SQL["demand_shapley"] = W(TX, DAYS, """x AS (SELECT product, y, CAST(CASE WHEN p < 0.95 * mp THEN -1 WHEN p > 1.05 * mp THEN 1
+  ELSE 0 END AS INTEGER) AS p, CAST(isodow(dt) - 1 AS INTEGER) AS w, CAST(month(dt) AS INTEGER) AS m
+  FROM (SELECT *, avg(p) OVER (PARTITION BY product) AS mp FROM dd) t)""", "v AS (SELECT DISTINCT product, p, w, m, " + ", ".join(
+    f"avg(y) OVER (PARTITION BY {', '.join(['product', *s])}) AS v_{s}" for s in ("", "p", "w", "m", "pw", "pm", "wm", "pwm"))
+    + ", COUNT(*) OVER (PARTITION BY product, p, w, m) AS n FROM x)") + f"""SELECT product, p AS price_band, w AS weekday,
+  m AS month, n, {R('v_pwm', 4)} AS mean, {R('v_', 4)} AS base, {R(_gain('p'), 4)} AS phi_price_band,
+  {R(_gain('w'), 4)} AS phi_weekday, {R(_gain('m'), 4)} AS phi_month FROM v"""

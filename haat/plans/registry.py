@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from haat.operators import (compare, customers, export, graph, kpi, marketing, pricing, profit,
-                            recommend, seasonal, sentiment, spine, stock, text, trends, vectors)
+from haat.operators import (backtest, compare, copurchase, customers, customers_window, export, forecast_fourier, graph,
+                            kpi, least_squares, marketing, neighbours, pricing, profit, recommend, seasonal, sentiment,
+                            shapley, spine, stock, text, trends, vectors)
 from haat.operators import context as ctxop
 from haat.functions.numeric import rnd
 from haat.functions.text import reply_text
@@ -521,3 +522,67 @@ def _regression_multi(spark, sf_dir):
         .withColumn("wd", F.weekday("dt").cast("double"))
     m = pricing.fit_linear_model(d, ["p", "wd"], "q")
     return m.select("term", rnd(F.col("coefficient"), 3).alias("coefficient"), rnd(F.col("r2"), 4).alias("r2"), "n")
+
+
+# --- many-query neighbours, trailing distinct counts, co-purchase ------------------------------------
+@query("knn_all")
+def _knn_all(spark, sf_dir):
+    """The nearest others of every stored vector."""
+    return neighbours.nearest_of_all(table(spark, sf_dir, "embeddings"))
+
+
+@query("customers_trailing")
+def _customers_trailing(spark, sf_dir):
+    """A3: distinct customers of each product in the 30 days up to each day."""
+    return customers_window.customers_trailing(Ctx(spark, sf_dir).tx)
+
+
+def _part_purchases(spark, sf_dir):
+    li, od = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    return copurchase.purchases(li.join(od, li.l_orderkey == od.o_orderkey), "l_partkey", "o_custkey")
+
+
+@query("copurchase_neighbours")
+def _copurchase_neighbours(spark, sf_dir):
+    """For every part the five most often bought by the same customers."""
+    return copurchase.copurchase_neighbours(_part_purchases(spark, sf_dir)).select(
+        F.col("item").alias("part"), "rank", F.col("other").alias("neighbour"), "both",
+        rnd(F.col("cosine"), 6).alias("cosine"))
+
+
+@query("copurchase_products")
+def _copurchase_products(spark, sf_dir):
+    """Every pair of products with common customers."""
+    return copurchase.copurchase(copurchase.purchases(Ctx(spark, sf_dir).tx)).select(
+        F.col("item").alias("product"), F.col("other").alias("neighbour"), "both",
+        rnd(F.col("cosine"), 6).alias("cosine"))
+
+
+# --- models over all products ------------------------------------------------------------------------
+@query("forecast_fourier")
+def _forecast_fourier(spark, sf_dir):
+    """M1: change points and Fourier seasons, every product in one job."""
+    return forecast_fourier.forecast_fourier(_daily(spark, sf_dir))
+
+
+@query("forecast_backtest")
+def _forecast_backtest(spark, sf_dir):
+    """Errors out of sample, from every origin."""
+    return backtest.rolling_origin_errors(_daily(spark, sf_dir))
+
+
+@query("regression_products")
+def _regression_products(spark, sf_dir):
+    """Daily units on price and weekday, fitted for every product."""
+    d = pricing.daily_price_demand(_daily(spark, sf_dir))
+    sums = least_squares.normal_equations(d, ["product"], {"p": F.col("p"), "wd": F.weekday("dt")}, F.col("q"))
+    m = least_squares.solve(sums, ["product"])
+    return m.select("product", *[rnd(F.element_at("beta", i + 1), 3).alias(c)
+                                 for i, c in enumerate(("intercept", "price", "weekday"))],
+                    rnd(F.col("r2"), 4).alias("r2"), "n")
+
+
+@query("demand_shapley")
+def _demand_shapley(spark, sf_dir):
+    """Shapley values of price, weekday and month."""
+    return shapley.demand_shapley(_daily(spark, sf_dir))
