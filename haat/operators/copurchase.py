@@ -37,14 +37,20 @@ def pair_counts(edges: DataFrame, block: int = 256) -> DataFrame:
     blocks = F.coalesce(F.ceil(F.col("d") / block), F.lit(1)).cast("int")
     dealt = edges.join(large, "user", "left").select(
         "user", "item", blocks.alias("n"), F.pmod(F.xxhash64("item"), blocks).cast("int").alias("mine"))
-    # Block i meets the blocks from i on; block j those up to j.
-    left = dealt.select("user", "item", F.col("mine").alias("i"),
-                        F.explode(F.sequence(F.col("mine"), F.col("n") - 1)).alias("j"))
-    right = dealt.select("user", F.col("item").alias("other"), F.col("mine").alias("j"),
-                         F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("i"))
-    pairs = left.join(right, ["user", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("item") < F.col("other"))) \
-        .filter(F.col("item") != F.col("other"))
-    return pairs.groupBy(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")) \
+    # A block is about ``block`` products, kept as one sorted array.
+    held = dealt.groupBy("user", "n", F.col("mine").alias("i")).agg(F.sort_array(F.collect_list("item")).alias("x"))
+    inside = held.filter(F.size("x") > 1).select(F.explode(F.flatten(F.transform("x", lambda a, at: F.transform(
+        F.slice("x", at + 2, F.size("x")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
+    # Block i of a customer with several meets each later block j.
+    several = held.filter(F.col("n") > 1)
+    left = several.filter(F.col("i") < F.col("n") - 1).select(
+        "user", "i", "x", F.explode(F.sequence(F.col("i") + 1, F.col("n") - 1)).alias("j"))
+    right = several.filter(F.col("i") > 0).select(
+        "user", F.col("i").alias("j"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("i"))
+    across = left.join(right, ["user", "i", "j"]).select(F.explode(F.flatten(F.transform("x", lambda a: F.transform(
+        "y", lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))))).alias("p"))
+    pairs = inside.unionByName(across).select("p.a", "p.b")
+    return pairs.groupBy("a", "b") \
         .agg(F.count(F.lit(1)).alias("both"))
 
 
