@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from haat.functions.labels import date_text
 from haat.functions.numeric import money, rnd
+from haat.session import scratch_dir
 
 
 def date_bounds(tx: DataFrame, start=None, end=None) -> DataFrame:
@@ -61,9 +62,12 @@ def export_daily(tx: DataFrame, start=None, end=None) -> DataFrame:
 def write_sales_export(tx: DataFrame, out_dir: str, start=None, end=None,
                        fmt: str = "parquet") -> dict[str, str]:
     """The three sheets, each written as its own dataset."""
-    sheets = {"sales_data": sales_rows(tx, start, end),
-              "summary_statistics": export_summary(tx, start, end),
-              "daily_sales": export_daily(tx, start, end)}
+    # The joined rows are written once; the three sheets are derived from them.
+    staged = scratch_dir(tx.sparkSession, "sales-export-rows")
+    date_bounds(tx, start, end).select("transaction_id", "dt", "product", "product_name", "quantity", "price",
+                                       "total_amount", "user_id", "discount_applied").write.parquet(staged)
+    rows = tx.sparkSession.read.parquet(staged)
+    sheets = {"sales_data": sales_rows(rows), "summary_statistics": export_summary(rows), "daily_sales": export_daily(rows)}
     paths = {}
     for name, df in sheets.items():
         path = os.path.join(out_dir, name)
@@ -95,13 +99,22 @@ def write_forecast_report(forecast: DataFrame, out_dir: str) -> str:
     return out_dir
 
 
+def read_sheets(spark, paths: dict[str, str]) -> DataFrame:
+    """The rows of written sheets in one frame: ``sheet`` and the columns of
+    all of them (null where a sheet has none of that name)."""
+    parts = [spark.read.parquet(p).withColumn("sheet", F.lit(n)) for n, p in paths.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def write_comparison_export(tx: DataFrame, products, out_dir: str) -> dict[str, str]:
     """Comparison statistics plus one folder per product, by its full name."""
     from haat.operators.compare import _restrict, comparison_stats
     stats_path = os.path.join(out_dir, "comparison")
     comparison_stats(tx, products).write.mode("overwrite").parquet(stats_path)
     rows_path = os.path.join(out_dir, "products")
+    # One file or a few per sheet, and a sheet with most rows is written by many tasks.
     (_restrict(tx, products).withColumn("sheet", F.col("product"))
+     .withColumn("salt", F.pmod(F.xxhash64("transaction_id"), F.lit(8))).repartition("sheet", "salt").drop("salt")
      .write.mode("overwrite").partitionBy("sheet").parquet(rows_path))
     return {"comparison": stats_path, "products": rows_path}
 

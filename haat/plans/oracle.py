@@ -635,3 +635,33 @@ SQL["demand_shapley"] = W(TX, DAYS, """x AS (SELECT product, y, CAST(CASE WHEN p
     + ", COUNT(*) OVER (PARTITION BY product, p, w, m) AS n FROM x)") + f"""SELECT product, p AS price_band, w AS weekday,
   m AS month, n, {R('v_pwm', 4)} AS mean, {R('v_', 4)} AS base, {R(_gain('p'), 4)} AS phi_price_band,
   {R(_gain('w'), 4)} AS phi_weekday, {R(_gain('m'), 4)} AS phi_month FROM v"""
+
+# --- whole sheets, the report's lines, dates and prefixes ---------------------------------------
+def _unbounded(sql: str) -> str:
+    return sql[:sql.rindex("WHERE dt >=")]
+
+
+def _body(name: str) -> str:
+    """A statement without the common ``tx``."""
+    return SQL[name][len(W(TX)):]
+
+
+SQL["sales_sheets"] = W(TX) + "SELECT 'sales_data' AS sheet, * FROM (" + _unbounded(_body("sales_range")) + """) a
+UNION ALL BY NAME SELECT 'summary_statistics' AS sheet, * FROM (""" + _body("export_summary") + """) b
+UNION ALL BY NAME SELECT 'daily_sales' AS sheet, * FROM (""" + _body("export_daily") + ") c"
+
+SQL["comparison_sheets"] = W(TX) + f"""SELECT product AS sheet, transaction_id, product, product_name, quantity,
+  {R('price')} AS price, CAST(total_amount AS DOUBLE) AS total_amount FROM tx WHERE product IN ({_CMP})
+UNION ALL BY NAME SELECT 'comparison' AS sheet, * FROM (""" + _body("comparison_stats") + ") c"
+
+SQL["forecast_report"] = W(*_fc_ctes("day"), "rep AS (" + FC_SELECT + ")") + """SELECT product,
+  strftime(ds, '%Y-%m-%d') || '  yhat=' || CAST(yhat AS VARCHAR) || '  lower=' || CAST(yhat_lower AS VARCHAR)
+  || '  upper=' || CAST(yhat_upper AS VARCHAR) AS line FROM rep
+UNION ALL SELECT product, unnest(['=== Demand Forecast Report ===', 'Product: ' || product]) FROM (SELECT DISTINCT product FROM rep) r"""
+
+SQL["day_of_year"] = W(TX) + """SELECT CAST(dayofyear(dt) AS INTEGER) AS day_of_year, COUNT(DISTINCT transaction_id) AS n_orders,
+  CAST(SUM(total_amount) AS DOUBLE) AS revenue FROM tx GROUP BY 1"""
+
+SQL["sheet_names"] = """SELECT product, CASE WHEN n > 1 THEN prefix || '~' || i ELSE prefix END AS sheet FROM (
+  SELECT product, prefix, count(*) OVER (PARTITION BY prefix) AS n, row_number() OVER (PARTITION BY prefix ORDER BY product) AS i
+  FROM (SELECT DISTINCT p_name AS product, p_name[1:30] AS prefix FROM part) a) b"""

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from pyspark.sql import functions as F
 
@@ -586,3 +586,48 @@ def _regression_products(spark, sf_dir):
 def _demand_shapley(spark, sf_dir):
     """Shapley values of price, weekday and month."""
     return shapley.demand_shapley(_daily(spark, sf_dir))
+
+
+# --- whole sheets, the report's lines, dates and prefixes ---------------------------------------------
+@query("sales_sheets")
+def _sales_sheets(spark, sf_dir):
+    """Every row of the three sheets, written and read back."""
+    paths = export.write_sales_export(Ctx(spark, sf_dir).tx, scratch_dir(spark, "sales-sheets"))
+    return export.read_sheets(spark, paths)
+
+
+@query("comparison_sheets")
+def _comparison_sheets(spark, sf_dir):
+    """Every row of the statistics sheet and of the products' sheets."""
+    paths = export.write_comparison_export(Ctx(spark, sf_dir).lines, COMPARE_PRODUCTS, scratch_dir(spark, "compare-sheets"))
+    rows = spark.read.parquet(paths["products"]).select(
+        F.col("sheet"), "transaction_id", "product", "product_name", "quantity", rnd(F.col("price")).alias("price"),
+        F.col("total_amount").cast("double").alias("total_amount"))
+    stats = spark.read.parquet(paths["comparison"]).withColumn("sheet", F.lit("comparison"))
+    return rows.unionByName(stats, allowMissingColumns=True)
+
+
+@query("forecast_report")
+def _forecast_report(spark, sf_dir):
+    """The lines of the text report, written and read back."""
+    path = export.write_forecast_report(fc.forecast(_daily(spark, sf_dir)), scratch_dir(spark, "report"))
+    return spark.read.text(path).select("product", F.col("value").alias("line"))
+
+
+@query("day_of_year")
+def _day_of_year(spark, sf_dir):
+    """orders and revenue by day of the year."""
+    return Ctx(spark, sf_dir).orders.groupBy(F.dayofyear("dt").alias("day_of_year")).agg(
+        F.count(F.lit(1)).alias("n_orders"), F.sum("total_amount").cast("double").alias("revenue"))
+
+
+@query("sheet_names")
+def _sheet_names(spark, sf_dir):
+    """a sheet's name is the product's first 30 characters; names that
+    fall together get a number."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("product")).distinct() \
+        .withColumn("prefix", F.substring("product", 1, 30))
+    same = Window.partitionBy("prefix")
+    nth = F.row_number().over(same.orderBy("product"))
+    return names.select("product", F.when(F.count(F.lit(1)).over(same) > 1, F.concat_ws("~", "prefix", nth.cast("string")))
+                        .otherwise(F.col("prefix")).alias("sheet"))

@@ -10,7 +10,8 @@ from haat.plans.registry import QUERIES as REGISTERED
 from tests.conftest import SF_SMALL
 
 EAGER = {"csv_round_trip", "append_dedup", "recommend_als", "sales_ingest", "sales_export", "comparison_export",
-         "trend_append", "regression_multi", "knn_all", "copurchase_neighbours", "copurchase_products"}
+         "trend_append", "regression_multi", "knn_all", "copurchase_neighbours", "copurchase_products",
+         "sales_sheets", "comparison_sheets", "forecast_report"}
 
 
 def _plan(df):
