@@ -18,11 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haat.llm.common import kept, ship, task
-from haat.llm.tokens import in_chunks
-from haat.llm.units import Encoder
-
-KIND = "units"
+from haat.llm.common import ship, task
+from haat.llm.tokens import TOKENS, encoder, in_chunks
 
 
 def default_tokenizer() -> str:
@@ -30,14 +27,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def unit_encoder(path: str) -> Encoder:
-    """This worker's encoder for the file."""
-    mine = kept(KIND)
-    if path not in mine:
-        mine[path] = Encoder(path)
-    return mine[path]
-
-
 class OpenBins:
     """At most ``limit`` open bins of ``size`` tokens."""
 
@@ -99,11 +88,11 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
 
     def run(batches):
         from pyspark import TaskContext
-        encoder, bins = unit_encoder(tokenizer), OpenBins(max_tokens, open_bins)
+        units, bins = encoder(tokenizer), OpenBins(max_tokens, open_bins)
         base = TaskContext.get().partitionId() << 32
         for batch in batches:
             for docs_of, texts in in_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, at = encoder.encode(texts, end=0)
+                ids, at = units.encode(texts, end=0)
                 yield _pieces(docs_of, ids, at, bins, base)
 
     def _pieces(docs_of, ids, at, bins, base):
@@ -129,4 +118,4 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
              pa.array(placed[:, 1])], NAMES)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(task(run, KIND), SCHEMA)
+    return rows.mapInArrow(task(run, TOKENS), SCHEMA)

@@ -175,16 +175,22 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt
         from pyspark import TaskContext
         enc, packer = encoder(tokenizer), Packer(max_tokens, max_segments, max_loss)
         base = TaskContext.get().partitionId() << 32
-        end = bytes(4)
 
         def items():
             for batch in batches:
                 ids = list(zip(batch.column(0).to_pylist(),
                                batch.column(2).to_pylist() if prompt_col else [""] * len(batch)))
                 for some, texts in in_chunks(ids, batch.column(1).to_pylist()):
-                    heads = enc.encode([p or "" for _, p in some]) if prompt_col else [b""] * len(some)
-                    for (doc, _), head, body in zip(some, heads, enc.encode(texts)):
-                        yield Item(doc, np.frombuffer(head + body + end, "<u4"), 0, len(head) // 4)
+                    ids, at = enc.encode(texts, end=0)
+                    at = at.tolist()
+                    if not prompt_col:
+                        for (doc, _), a, z in zip(some, at, at[1:]):
+                            yield Item(doc, ids[a:z].copy(), 0, 0)
+                        continue
+                    heads, h_at = enc.encode([p or "" for _, p in some])
+                    h_at = h_at.tolist()
+                    for (doc, _), a, z, b, y in zip(some, at, at[1:], h_at, h_at[1:]):
+                        yield Item(doc, np.concatenate([heads[b:y], ids[a:z]]), 0, y - b)
 
         def pieces():
             for item in items():
@@ -193,7 +199,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt
 
         rows = []
         for doc, start, n, ids, whole, loss, seq, at in pieces():
-            rows.append((doc, start, n, ids.tolist() if with_ids else None, zlib.crc32(ids.tobytes()), whole,
+            rows.append((doc, start, n, ids.tolist() if with_ids else None, zlib.crc32(ids), whole,
                          max(0, start + n - max(loss, start)), base + seq, at))
             if len(rows) == 4096:
                 yield _batch(rows)

@@ -114,28 +114,28 @@ def unpack_blocks(data: bytes, at: np.ndarray) -> np.ndarray:
 class Writer:
     def __init__(self, out):
         self.out, self.at = out, 4
-        self.rest: list[bytes] = []
+        self.rest: list[np.ndarray] = []
         self.waiting = 0
         self.index: list[np.ndarray] = []
         self.docs: list[tuple] = []
         out.write(MAGIC)
 
-    def add(self, doc, ids: bytes) -> None:
-        self.docs.append((doc or 0, doc is not None, len(ids) // 4))
+    def add(self, doc, ids: np.ndarray) -> None:
+        self.docs.append((doc or 0, doc is not None, len(ids)))
         self.rest.append(ids)
-        self.waiting += len(ids) // 4
+        self.waiting += len(ids)
         if self.waiting >= AT_ONCE * BLOCK:
             self._flush(False)
 
     def _flush(self, all_of_it: bool) -> None:
-        ids = np.frombuffer(b"".join(self.rest), "<u4")
+        ids = np.concatenate([np.zeros(0, np.uint32), *self.rest])
         whole = len(ids) if all_of_it else len(ids) // BLOCK * BLOCK
         for a in range(0, whole, AT_ONCE * BLOCK):
             data, at = pack_blocks(ids[a:min(a + AT_ONCE * BLOCK, whole)])
             self.out.write(data)
             self.index.append(at + self.at)
             self.at += len(data)
-        self.rest = [ids[whole:].tobytes()]
+        self.rest = [ids[whole:].copy()]
         self.waiting = len(ids) - whole
 
     def close(self) -> None:
@@ -217,7 +217,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         task = TaskContext.get()
         part, own = task.partitionId(), f"{task.partitionId():06d}-{task.taskAttemptId()}"
         files, path = filesystem(folder)
-        enc, end = encoder(tokenizer), bytes(4)
+        enc = encoder(tokenizer)
         out = writer = None
         for batch in batches:
             for ids, texts in in_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -225,8 +225,10 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
                     files.create_dir(path, recursive=True)
                     out = files.open_output_stream(f"{path}/.{own}.tmp")
                     writer = Writer(out)
-                for doc, body in zip(ids, enc.encode(texts)):
-                    writer.add(doc, body + end)
+                found, at = enc.encode(texts, end=0)
+                at = at.tolist()
+                for doc, a, z in zip(ids, at, at[1:]):
+                    writer.add(doc, found[a:z])
         if writer is not None:
             writer.close()
             out.close()

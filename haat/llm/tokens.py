@@ -1,33 +1,10 @@
-"""Whole texts to token ids with a tokenizer file of the tokenizers library.
-
-A byte-level BPE never merges across its pre-tokens, and in its split pattern
-a single space between two non-space characters always begins a pre-token.  So
-a text may be cut there: each piece (" word") is encoded by the library once
-per worker and looked up from then on, and the ids of a text are the joined
-ids of its pieces.  Pieces of basic and extended Latin are cut further by the
-same split pattern, to share more.  Tables are emptied when they grow past a
-bound; that costs time, never results.
-"""
+"""What tasks that encode texts share: the tokenizer file, this worker's
+encoder for it (``units.Encoder``), and texts in chunks."""
 
 from __future__ import annotations
 
-import gc
-import os
-import re
-from array import array
-
-import numpy as np
-
 from haat.llm.common import kept
-
-MAX_ENTRIES = 500_000      # pieces kept by a worker
-MAX_PIECE = 64             # characters of a piece that is kept
-# At least what the split pattern takes for white space, but for " " and "\n".
-RARE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎" + "".join(map(chr, range(0x2000, 0x200B))) \
-    + "    　"
-BLANK = r"\s᠎"
-CUT = re.compile(rf"(?<=[^{BLANK}]) (?=[^{BLANK}])")
-LATIN = re.compile(r"[\x00-ɏ]*")
+from haat.llm.units import Encoder
 
 TOKENS = "tokens"          # the kind of tasks that keep an encoder
 
@@ -37,7 +14,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str) -> "Encoder":
+def encoder(path: str) -> Encoder:
     """This worker's encoder for the file."""
     mine = kept(TOKENS)
     if path not in mine:
@@ -45,111 +22,6 @@ def encoder(path: str) -> "Encoder":
     return mine[path]
 
 
-class Encoder:
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
-        from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
-        self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
-        self.split = regex.compile(PATTERN)
-        # A token of a byte-level BPE is written with one character a byte.
-        vocab = self.lib.get_vocab(with_added_tokens=True)
-        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
-        self.n_bytes[list(vocab.values())] = list(map(len, vocab))
-        self.inner: dict[str, bytes] = {}     # piece p, standing for " " + p
-        self.pre: dict[str, bytes] = {}       # pre-tokens of pieces that hold more than a word
-        self.ends = dict(zip(".,", self._library([".", ","])))
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of " word" for words of letters alone: as one text, which the
-        library splits into those very words again.  Ids of a byte-level BPE
-        stand for a fixed number of bytes, so their running total shows where
-        each word ends."""
-        text = " " + " ".join(words)
-        ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        text = np.frombuffer(text.encode(), np.uint8)
-        goals = np.append(np.flatnonzero(text == 32)[1:], len(text))
-        total = np.cumsum(self.n_bytes[ids])
-        ends = np.searchsorted(total, goals)
-        if len(goals) != len(words) or total[-1] != len(text) or (total[ends] != goals).any():
-            return self._library([" " + w for w in words])
-        raw, at, out = ids.tobytes(), 0, []
-        for end in ((ends + 1) * 4).tolist():
-            out.append(raw[at:end])
-            at = end
-        return out
-
-    def _learn(self, pieces: set) -> None:
-        """Put the ids of " " + piece into the table, for each piece."""
-        inner, words, ended, mixed, other = self.inner, set(), [], [], []
-        for p in pieces:
-            if not (p.isascii() or LATIN.fullmatch(p)):
-                other.append(p)
-            elif p.isalpha():
-                words.add(p)
-            elif p[-1:] in self.ends and p[:-1].isalpha():
-                ended.append(p)
-            else:
-                mixed.append(p)
-        bodies = [p[:-1] for p in ended]
-        words = list(words.union(bodies).difference(inner))
-        for a in range(0, len(words), 10_000):
-            inner.update(zip(words[a:a + 10_000], self._words(words[a:a + 10_000])))
-        for p, body in zip(ended, bodies):
-            inner[p] = inner[body] + self.ends[p[-1]]
-        parts = [self.split.findall(" " + p) for p in mixed]
-        new = list({t for ts in parts for t in ts if t not in self.pre})
-        self.pre.update(zip(new, self._library(new)))
-        for p, ts in zip(mixed, parts):
-            inner[p] = b"".join([self.pre[t] for t in ts])
-        inner.update(zip(other, self._library([" " + p for p in other])))
-        for t in new:
-            if len(t) > MAX_PIECE:
-                del self.pre[t]
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        """The pieces: cut at each single space between two non-blanks."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in ("", " ", "\n") \
-                or text[-1] in " \n" or any(c in text for c in RARE):
-            return CUT.split(text)
-        return text.split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        collects = gc.isenabled()
-        gc.disable()       # no cycles are made here, and the tables are large
-        try:
-            return self._encode(texts)
-        finally:
-            if collects:
-                gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        inner, heads, tails = self.inner, [], []
-        for t in texts:
-            head, *tail = self._cut(t)
-            heads.append(head)
-            tails.append(tail)
-        new = set().union(*tails).difference(inner)
-        if new:
-            self._learn(new)
-        get = inner.__getitem__
-        out = [h + b"".join(map(get, t)) for h, t in zip(self._library(heads), tails)]
-        for p in new:
-            if len(p) > MAX_PIECE:
-                del inner[p]
-        for table in (inner, self.pre):
-            if len(table) > MAX_ENTRIES:
-                table.clear()
-        return out
-
-
 def in_chunks(ids: list, texts: list, chars: int = 1_000_000):
     """(ids, texts) in runs of about ``chars`` characters; null text as ""."""
     a, n = 0, 0
