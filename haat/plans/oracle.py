@@ -665,3 +665,38 @@ SQL["day_of_year"] = W(TX) + """SELECT CAST(dayofyear(dt) AS INTEGER) AS day_of_
 SQL["sheet_names"] = """SELECT product, CASE WHEN n > 1 THEN prefix || '~' || i ELSE prefix END AS sheet FROM (
   SELECT product, prefix, count(*) OVER (PARTITION BY prefix) AS n, row_number() OVER (PARTITION BY prefix ORDER BY product) AS i
   FROM (SELECT DISTINCT p_name AS product, p_name[1:30] AS prefix FROM part) a) b"""
+
+# --- rules, bad lines, repeated ingestion -------------------------------------------------------
+def _rules_sql(table: str, ids: str) -> str:
+    words = ", ".join(f"({lit(w)}, CAST({v!r} AS DOUBLE))" for w, v in DOCUMENT_WORDS.items())
+    b = lambda d: f"coalesce(b{d}.strength, 0)"      # noqa: E731
+    return W(
+        f"lex AS (SELECT * FROM (VALUES {words}) t(word, valence))",
+        "boost AS (SELECT * FROM (VALUES ('of', 0.293), ('in', 0.293), ('le', -0.293), ('en', 0.293)) t(word, strength))",
+        f"""src AS (SELECT row_number() OVER () AS rid, {ids}, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}]+'),
+      lambda t: t <> '') AS w FROM {table})""",
+        "tok AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM src)",
+        """back AS (SELECT *, lag(word, 1) OVER p AS w1, lag(word, 2) OVER p AS w2, lag(word, 3) OVER p AS w3 FROM tok
+      WINDOW p AS (PARTITION BY rid ORDER BY i))""",
+        f"""hits AS (SELECT rid, valence, coalesce(w1 IN ('to', 'is', 'die', 'un'), false) OR coalesce(w2 IN ('to', 'is', 'die', 'un'), false)
+      OR coalesce(w3 IN ('to', 'is', 'die', 'un'), false) AS neg, {b(1)} + 0.95 * {b(2)} + 0.9 * {b(3)} AS boost
+      FROM back JOIN lex ON back.word = lex.word LEFT JOIN boost b1 ON b1.word = w1 LEFT JOIN boost b2 ON b2.word = w2
+      LEFT JOIN boost b3 ON b3.word = w3)""",
+        """agg AS (SELECT rid, COUNT(*) AS n_hits, COUNT(*) FILTER (neg) AS n_negated,
+      SUM((valence + sign(valence) * boost) * CASE WHEN neg THEN -0.74 ELSE 1 END) AS s FROM hits GROUP BY rid)""",
+        f"""a2 AS (SELECT {ids}, len(w) AS n_tokens, coalesce(n_hits, 0) AS n_hits, coalesce(n_negated, 0) AS n_negated,
+      CAST(coalesce(s, 0.0) AS DOUBLE) AS s FROM src LEFT JOIN agg ON src.rid = agg.rid)""") + f"""
+SELECT {ids}, n_tokens, n_hits, n_negated, {R('s', 4)} AS score, {R('s / sqrt(s * s + 15.0)', 4)} AS compound,
+  {R('greatest(CAST(0.35 AS DOUBLE), least(CAST(0.95 AS DOUBLE), s / sqrt(s * s + 15.0)))', 4)} AS sentiment FROM a2"""
+
+
+SQL["rules_documents"] = _rules_sql("documents", "doc_id")
+SQL["rules_conversations"] = _rules_sql("conversations", "conv_id, turn")
+
+SQL["csv_bad_lines"] = W(TX, "d AS (" + _body("export_daily") + ")") + """SELECT
+  CASE WHEN bad IS NULL THEN dt END AS dt, CASE WHEN bad IS NULL THEN product END AS product,
+  CASE WHEN bad IS NULL THEN quantity END AS quantity, CASE WHEN bad IS NULL THEN price END AS price, bad AS reason,
+  CASE bad WHEN 'value' THEN concat_ws(',', dt, product, quantity, 'n/a') WHEN 'fields' THEN concat_ws(',', dt, product) END AS line
+FROM (SELECT *, CASE WHEN quantity % 7 = 0 THEN 'value' WHEN quantity % 11 = 0 OR quantity % 13 = 0 THEN 'fields' END AS bad FROM d) t"""
+
+SQL["ingest_twice"] = SQL["export_daily"]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from haat.operators import (backtest, compare, copurchase, customers, customers_window, export, forecast_fourier, graph,
                             kpi, least_squares, marketing, neighbours, pricing, profit, recommend, seasonal, sentiment,
-                            shapley, spine, stock, text, trends, vectors)
+                            sentiment_rules, shapley, spine, stock, text, trends, vectors)
 from haat.operators import context as ctxop
 from haat.functions.numeric import rnd
 from haat.functions.text import reply_text
@@ -631,3 +631,48 @@ def _sheet_names(spark, sf_dir):
     nth = F.row_number().over(same.orderBy("product"))
     return names.select("product", F.when(F.count(F.lit(1)).over(same) > 1, F.concat_ws("~", "prefix", nth.cast("string")))
                         .otherwise(F.col("prefix")).alias("sheet"))
+
+
+# --- rules, bad lines, repeated ingestion -------------------------------------------------------------
+# Rules whose words the tables use, so that every branch occurs.
+TABLE_RULES = sentiment_rules.Rules(lexicon=DOCUMENT_LEXICON, boosters={"of": 0.293, "in": 0.293, "le": -0.293, "en": 0.293},
+                                    negations=("to", "is", "die", "un"))
+
+
+@query("rules_documents")
+def _rules_documents(spark, sf_dir):
+    """Negations and boosters over whole documents."""
+    return sentiment_rules.rule_sentiment(table(spark, sf_dir, "documents"), ["doc_id"], rules=TABLE_RULES)
+
+
+@query("rules_conversations")
+def _rules_conversations(spark, sf_dir):
+    return sentiment_rules.rule_sentiment(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], rules=TABLE_RULES)
+
+
+@query("csv_bad_lines")
+def _csv_bad_lines(spark, sf_dir):
+    """S3: the daily sheet as text, some lines damaged; accepted rows and rejects."""
+    d = export.export_daily(Ctx(spark, sf_dir).tx)
+    q = F.col("quantity")
+    path = scratch_dir(spark, "bad-lines")
+    d.select(F.when(q % 7 == 0, F.concat_ws(",", "dt", "product", "quantity", F.lit("n/a")))
+             .when(q % 11 == 0, F.concat_ws(",", "dt", "product"))
+             .when(q % 13 == 0, F.concat_ws(",", "dt", "product", "quantity", "price", F.lit("more")))
+             .otherwise(F.concat_ws(",", "dt", "product", "quantity", "price"))).write.text(path)
+    rows, rejects = files.read_csv_checked(spark, path, DAILY_SALES, scratch_dir(spark, "checked"), header=False)
+    return rows.unionByName(rejects.filter("reason = 'fields'").withColumn("line", F.regexp_extract("line", "^[^,]*,[^,]*", 0))
+                            .unionByName(rejects.filter("reason = 'value'")), allowMissingColumns=True)
+
+
+@query("ingest_twice")
+def _ingest_twice(spark, sf_dir):
+    """Overlapping batches of months, the second one twice; one copy of
+    each day."""
+    path = scratch_dir(spark, "ingest")
+    d = export.export_daily(Ctx(spark, sf_dir).tx).withColumn("month", F.date_format("dt", "yyyy-MM"))
+    files.ingest_days(d.where("dt < date'1997-01-01'").withColumn(
+        "quantity", F.when(F.year("dt") == 1996, F.col("quantity") * 2).otherwise(F.col("quantity"))), path, "month")
+    for _ in range(2):
+        files.ingest_days(d.where("dt >= date'1996-01-01'"), path, "month")
+    return spark.read.parquet(path).select("dt", "product", "quantity", "price")

@@ -11,7 +11,7 @@ from tests.conftest import SF_SMALL
 
 EAGER = {"csv_round_trip", "append_dedup", "recommend_als", "sales_ingest", "sales_export", "comparison_export",
          "trend_append", "regression_multi", "knn_all", "copurchase_neighbours", "copurchase_products",
-         "sales_sheets", "comparison_sheets", "forecast_report"}
+         "sales_sheets", "comparison_sheets", "forecast_report", "csv_bad_lines", "ingest_twice"}
 
 
 def _plan(df):
