@@ -12,8 +12,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from haat.llm.common import documents, shared_dir
+from haat.llm.common import columns, documents, shared_dir
 from haat.llm.langid import accepted
 from haat.llm.line_dedup import rewritten
 from haat.llm.mixing import mix
@@ -36,13 +37,16 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (with several rows of that id, all of them; rows without id stay where no
     row of their group has one)."""
     found = near_dedup(docs)
-    stays = found.filter(found.doc_id.eqNullSafe(found.component_id)).select(found.doc_id.alias("_id")).distinct()
-    return docs.join(stays, docs.doc_id.eqNullSafe(stays._id), "left_semi")
+    stays = found.filter(found.doc_id.eqNullSafe(found.component_id)).select(found.doc_id.alias("stays")).distinct()
+    rows = docs.select(F.struct(*columns(docs)).alias("input"), "doc_id")
+    return rows.join(stays, rows.doc_id.eqNullSafe(stays.stays), "left_semi").select("input.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the schedule."""
-    return mix(docs).orderBy("mix_position", "mix_place").select(*docs.columns)
+    """All documents, in the order of the schedule; the input row goes along
+    whole, whatever its columns are called."""
+    rows = docs.select(F.struct(*columns(docs)).alias("input"), "source", "doc_id")
+    return mix(rows).orderBy("mix_position", "mix_place").select("input.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
