@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haat.llm.common import cut, ship, task
+from haat.llm.common import columns, cut, ship, task
 from haat.llm.tokens import in_chunks
 
 SPACE = 32
@@ -470,6 +470,10 @@ def _joined(rows: DataFrame, sent, rest: Tables, schema: str) -> DataFrame:
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` that ``identify`` does not reject."""
     bad = identify(docs, id_col, text_col, **kw).filter("rejected").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")
+        F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    # The input row goes along whole, whatever its columns are called.
+    rows = docs.select(F.struct(*columns(docs)).alias("input"), F.col(f"`{id_col}`").alias("id"),
+                       F.xxhash64(text).alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash"))
+    return rows.join(bad, same, "left_anti").select("input.*")

@@ -288,7 +288,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` with the shorter texts; documents that lose their last line go."""
-    out = line_dedup(docs, id_col, text_col, **kw)
+    # The other columns go along whole, whatever they are called.
+    rows = docs.select(F.struct(*columns(docs, text_col)).alias("input"),
+                       F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    out = line_dedup(rows, "id", "text", **kw)
     emptied = (F.size("deleted") > 0) & (F.length(F.trim(F.regexp_replace("dedup_text", r"\s", ""))) == 0)
-    cols = [F.col("dedup_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return out.filter(~emptied).select(*cols)
+    return out.filter(~emptied).select(*[(F.col("dedup_text") if c == text_col else F.col(f"input.`{c}`")).alias(c)
+                                         for c in docs.columns])

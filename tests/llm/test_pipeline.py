@@ -70,3 +70,19 @@ def test_run_on_a_planted_table(spark, tmp_path):
     pieces = final.collect()
     check_packing(pieces, {i: x[0] for i, x in out[3].items()})
     assert np.unique([r.sequence_id for r in pieces]).size > 1
+
+
+def test_input_columns_survive_clashing_names(spark):
+    """Columns called like outputs, or like names used on the way, keep their values."""
+    names = ["deleted", "earlier", "n_lines", "dedup_text", "mix_slot", "mix_position", "_id", "_hash", "stays", "input",
+             "bad_id", "rank", "src", "none", "component_id"]
+    plain = helpers.read(spark).select("doc_id", "text", "lang", "source").limit(80)
+    odd = plain.select("*", *[(F.col("doc_id") * 100 + i).alias(n) for i, n in enumerate(names)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, "")
+        assert got.columns == odd.columns
+        rows = got.collect()
+        assert rows and all(r[n] == r.doc_id * 100 + i for r in rows for i, n in enumerate(names))
+        assert sorted((r.doc_id, r.text) for r in rows) == sorted(
+            (r.doc_id, r.text) for r in stage(spark, plain, "").collect())
+    assert corpus_pipeline.packing(spark, odd, "").count() == corpus_pipeline.packing(spark, plain, "").count()
