@@ -346,10 +346,10 @@ def _fc_ctes(grain: str) -> list[str]:
     CAST(isodow(o.dt) - 1 AS INTEGER) AS wd, CAST(month(o.dt) AS INTEGER) AS mo
     FROM obs o JOIN tr ON o.product = tr.product)""",
             "wk AS (SELECT product, wd, avg(r1) AS w FROM r1 GROUP BY 1, 2)",
-            """r2 AS (SELECT r1.product, r1.mo, r1.r1 - wk.w AS r2 FROM r1
+            """r2 AS (SELECT r1.product, r1.dt, r1.mo, r1.r1 - wk.w AS r2 FROM r1
     JOIN wk ON r1.product = wk.product AND r1.wd = wk.wd)""",
             "mo AS (SELECT product, mo, avg(r2) AS m FROM r2 GROUP BY 1, 2)",
-            """r3 AS (SELECT r2.product, r2.r2 - mo.m AS r3 FROM r2
+            """r3 AS (SELECT r2.product, r2.dt, r2.r2 - mo.m AS r3 FROM r2
     JOIN mo ON r2.product = mo.product AND r2.mo = mo.mo)""",
             "sg AS (SELECT product, stddev_samp(r3) AS sigma FROM r3 GROUP BY product)",
             """fut AS (SELECT product, a, b, CAST(last_dt + CAST(h AS INTEGER) AS DATE) AS ds
@@ -700,3 +700,53 @@ SQL["csv_bad_lines"] = W(TX, "d AS (" + _body("export_daily") + ")") + """SELECT
 FROM (SELECT *, CASE WHEN quantity % 7 = 0 THEN 'value' WHEN quantity % 11 = 0 OR quantity % 13 = 0 THEN 'fields' END AS bad FROM d) t"""
 
 SQL["ingest_twice"] = SQL["export_daily"]
+
+# --- gaps between groups, quality of recommendations ---------------------------------------------
+def _gaps_sql(ctes: list[str], src: str) -> str:
+    """``src`` gives g (group), y (value) and k (key).  Poisson(1) weights: the
+    number of cuts (its distribution function in 65,536ths) not above four hex
+    digits of an md5."""
+    cuts = arr(["5e2d", "bc5b", "eb71", "fb24", "ff10", "ffd9", "fffb", "ffff"])
+    return W(*ctes, f"src AS ({src})", f"""w AS (SELECT g, y, b, i, len(list_filter({cuts},
+      lambda c: c <= substr(md5(k || '|' || b), CAST(4 * i + 1 AS INTEGER), 4))) AS w FROM src, range(25) t(b), range(8) u(i) WHERE y IS NOT NULL)""",
+             "rep AS (SELECT g, b, i, SUM(w) AS n, SUM(w * y) AS s, COUNT(*) AS n0, SUM(y) AS s0 FROM w GROUP BY g, b, i)",
+             """rest AS (SELECT *, SUM(n) OVER q - n AS rn, SUM(s) OVER q - s AS rs, SUM(n0) OVER q - n0 AS rn0, SUM(s0) OVER q - s0 AS rs0
+      FROM rep WINDOW q AS (PARTITION BY b, i))""",
+             f"""each AS (SELECT g, n0, {div('s0', 'n0')} AS m, {div('rs0', 'rn0')} AS r, {div('s', 'n')} - {div('rs', 'rn')} AS gap,
+      {div(div('s', 'n'), div('rs', 'rn'))} AS ratio FROM rest)""",
+             """a AS (SELECT g, max(n0) AS n0, max(m) AS m, max(r) AS r, quantile_cont(gap, [0.025, 0.975]) AS gq,
+      quantile_cont(ratio, [0.025, 0.975]) AS rq FROM each GROUP BY g)""") + f"""SELECT g AS "group", n0 AS n_rows,
+  {R('m', 4)} AS mean, {R('r', 4)} AS rest, {R('m - r', 4)} AS gap, {R('gq[1]', 4)} AS gap_low, {R('gq[2]', 4)} AS gap_high,
+  {R(div('m', 'r'), 4)} AS ratio, {R('rq[1]', 4)} AS ratio_low, {R('rq[2]', 4)} AS ratio_high FROM a"""
+
+
+SQL["error_gaps"] = _gaps_sql(_fc_ctes("day"),
+                              "SELECT product AS g, abs(r3) AS y, product || '|' || CAST(dt AS VARCHAR) AS k FROM r3")
+SQL["order_value_gaps"] = _gaps_sql([], """SELECT c_mktsegment AS g, o_totalprice AS y, CAST(o_orderkey AS VARCHAR) AS k
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
+
+
+def _quality_sql(item: str, ks: tuple) -> str:
+    n = max(ks)
+    return W(TX, f"""u AS (SELECT user_id, {item} AS product, dt, transaction_id, quantity FROM tx
+      WHERE user_id IS NOT NULL AND {item} IS NOT NULL AND dt IS NOT NULL)""",
+             """o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY dt DESC, transaction_id DESC) AS nth,
+      count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT DISTINCT user_id, dt, transaction_id FROM u) d)""",
+             "held AS (SELECT user_id, transaction_id FROM o WHERE nth = 1 AND n > 1)",
+             "train AS (SELECT u.* FROM u ANTI JOIN held USING (user_id, transaction_id))",
+             "test AS (SELECT DISTINCT u.user_id, u.product FROM u SEMI JOIN held USING (user_id, transaction_id))",
+             "pop AS (SELECT product, row_number() OVER (ORDER BY count(*) DESC, product) AS rank FROM train GROUP BY product)",
+             """hist AS (SELECT user_id, product, row_number() OVER (PARTITION BY user_id ORDER BY sum(quantity) DESC, product) AS rank
+      FROM train GROUP BY user_id, product)""",
+             """h AS (SELECT 'popular' AS model, test.user_id, rank FROM test LEFT JOIN pop ON pop.product = test.product UNION ALL
+      SELECT 'history', test.user_id, rank FROM test LEFT JOIN hist ON hist.user_id = test.user_id AND hist.product = test.product)""",
+             f"""per AS (SELECT model, CAST(k AS INTEGER) AS k, user_id, count(*) AS wanted, count(*) FILTER (rank <= k) AS hits,
+      coalesce(sum(1.0::DOUBLE / log2(rank + 1)) FILTER (rank <= k), 0.0) AS dcg,
+      list_sum([1.0::DOUBLE / log2(i + 1) for i in range(1, least(k, count(*)) + 1)]) AS best
+      FROM h, (VALUES {", ".join(f"({k})" for k in ks)}) ks(k) GROUP BY model, k, user_id)""") + f"""
+SELECT model, k, count(*) AS n_users, CAST(sum(hits) AS BIGINT) AS n_hits, {R('avg(hits / wanted)', 4)} AS recall,
+  {R('avg(dcg / best)', 4)} AS ndcg FROM per GROUP BY model, k"""
+
+
+SQL["recommend_quality"] = _quality_sql("product", (1, 2, 3))
+SQL["recommend_quality_brands"] = _quality_sql("brand", (1, 5, 10))

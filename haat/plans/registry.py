@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 
 from pyspark.sql import functions as F
 
-from haat.operators import (backtest, compare, copurchase, customers, customers_window, export, forecast_fourier, graph,
-                            kpi, least_squares, marketing, neighbours, pricing, profit, recommend, seasonal, sentiment,
+from haat.operators import (backtest, bootstrap, compare, copurchase, customers, customers_window, export, forecast_fourier, graph,
+                            kpi, least_squares, marketing, neighbours, pricing, profit, recommend, recommend_quality,
+                            seasonal, sentiment,
                             sentiment_rules, shapley, spine, stock, text, trends, vectors)
 from haat.operators import context as ctxop
 from haat.functions.numeric import rnd
@@ -676,3 +677,35 @@ def _ingest_twice(spark, sf_dir):
     for _ in range(2):
         files.ingest_days(d.where("dt >= date'1996-01-01'"), path, "month")
     return spark.read.parquet(path).select("dt", "product", "quantity", "price")
+
+
+# --- gaps between groups, quality of recommendations --------------------------------------------------
+@query("error_gaps")
+def _error_gaps(spark, sf_dir):
+    """Errors of each product's forecast against the others', with intervals."""
+    return bootstrap.error_gaps(_daily(spark, sf_dir))
+
+
+@query("order_value_gaps")
+def _order_value_gaps(spark, sf_dir):
+    """Order values of each customer segment against the others'."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    rows = o.join(c, o.o_custkey == c.c_custkey, "left")
+    return bootstrap.group_gaps(rows, F.col("c_mktsegment"), F.col("o_totalprice"), F.col("o_orderkey"))
+
+
+@query("recommend_quality")
+def _recommend_quality(spark, sf_dir):
+    """M6, M7: the last order of each user held out; popular and own products."""
+    return recommend_quality.compare_lists(Ctx(spark, sf_dir).tx)
+
+
+@query("recommend_quality_brands")
+def _recommend_quality_brands(spark, sf_dir):
+    return recommend_quality.compare_lists(Ctx(spark, sf_dir).tx.withColumn("product", F.col("brand")), (1, 5, 10))
+
+
+@query("recommend_als_quality")
+def _recommend_als_quality(spark, sf_dir):
+    """M6, M7: ALS by brand, fitted without the held-out orders, and the popular brands."""
+    return recommend_quality.als_quality(Ctx(spark, sf_dir).tx.withColumn("product", F.col("brand")), (1, 5, 10))

@@ -9,7 +9,7 @@ from haat.plans.registry import QUERIES as REGISTERED
 
 from tests.conftest import SF_SMALL
 
-EAGER = {"csv_round_trip", "append_dedup", "recommend_als", "sales_ingest", "sales_export", "comparison_export",
+EAGER = {"csv_round_trip", "append_dedup", "recommend_als", "recommend_als_quality", "sales_ingest", "sales_export", "comparison_export",
          "trend_append", "regression_multi", "knn_all", "copurchase_neighbours", "copurchase_products",
          "sales_sheets", "comparison_sheets", "forecast_report", "csv_bad_lines", "ingest_twice"}
 
