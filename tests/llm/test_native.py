@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from haat.llm.common import id_bucket, ranked
 from haat.llm.exact_dedup import exact_dedup
 from haat.llm.licenses import NOTICES, scan
 from haat.llm.mixing import mix
@@ -170,3 +171,36 @@ def test_licenses(spark):
     assert got[texts.index(" ".join(mit[:8])) + 1].labels == ""
     assert scan(helpers.empty(spark)).count() == 0
     assert scan(helpers.with_null_and_repeats(spark)).count() == 2 * len(helpers.ODD_TEXTS) + 1
+
+
+def clumps(n):
+    """Ids in far-apart clumps, with both ends of the long range, nulls and repeats."""
+    ids = list(range(n)) + [10 ** 12 + 7 * i for i in range(n)] + [-10 ** 15 + i * i for i in range(n)]
+    return ids + [2 ** 60, 2 ** 63 - 1, -2 ** 63] + [None] * 9 + [5] * 40
+
+
+def test_id_buckets_stay_even_beside_far_ids(spark):
+    ids = clumps(3000)
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(4)
+    got = df.select("id", id_bucket(df, "id", 100).alias("b")).collect()
+    sizes = Counter(r.b for r in got)
+    assert sizes.pop(-1) == 9
+    assert max(sizes.values()) <= 500 and 45 <= len(sizes) <= 300
+    got = sorted((r.id, r.b) for r in got if r.id is not None)
+    assert all(a[1] <= b[1] for a, b in zip(got, got[1:]))
+    few = spark.createDataFrame([(None,), (3,), (2 ** 60,)], "id long")
+    assert few.select(id_bucket(few, "id", 100).alias("b")).distinct().count() <= 4
+    none = few.filter("id is null")
+    assert {r.b for r in none.select(id_bucket(none, "id", 100).alias("b")).collect()} == {-1}
+
+
+def test_ranked_beside_far_ids(spark):
+    ids = clumps(500)
+    rows = [("hot" if k % 3 else f"s{k % 7}", i) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "part string, id long").repartition(4)
+    got = {}
+    for r in ranked(df, "part", "id", "rank", rows_per_bucket=20).collect():
+        got.setdefault(r.part, {})[r["rank"]] = r.id
+    for part in {p for p, _ in rows}:
+        want = sorted((i for p, i in rows if p == part), key=lambda i: (i is not None, i))
+        assert [got[part][k] for k in range(len(want))] == want
