@@ -95,6 +95,25 @@ def test_knn_takes_any_number_of_queries(spark):
     assert got.count() == 5000 and got.where("vec_id <> qid % 40 or distance <> 0").count() == 0
 
 
+def test_knn_is_the_same_with_and_without_broadcast(spark):
+    import random
+    from haat.operators.vectors import knn_l2
+    rng = random.Random(3)
+    point = lambda: [float(rng.randint(-3, 3)) for _ in range(3)]      # noqa: E731
+    vectors, asked = {i: point() for i in range(300)}, {q: point() for q in range(25)}
+    emb = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame(list(asked.items()), "qid long, vec array<double>")
+    want = {(q, r, i) for q, v in asked.items() for r, (_, i) in enumerate(
+        sorted((math.dist(v, x), i) for i, x in vectors.items())[:4], 1)}
+    for bound, joined in ((1 << 20, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        got = knn_l2(emb, queries, 4, broadcast_bytes=bound)
+        assert {(r.qid, r["rank"], r.vec_id) for r in got.collect()} == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and (joined in plan or bound == 0)
+    none = queries.limit(0)
+    assert knn_l2(emb, none, 4).count() == 0 and knn_l2(emb.limit(0), queries, 4).count() == 0
+
+
 def test_user_top_products(fixture_tx):
     rows = recommend.user_top_products(fixture_tx, 1).collect()
     top = {r["user_id"]: (r["product"], r["score"]) for r in rows}
