@@ -7,10 +7,15 @@ one task busy.  A customer's products are therefore dealt into
 ceil(d / block) blocks by hash, and each pair of blocks (i <= j) is a join key
 of its own: a triangle of keys, none with more than about block x block
 pairs, which Spark spreads over all tasks.  Counts combine map-side.
+
+Where only the nearest are wanted, pairs are not shuffled at all: see
+``copurchase_neighbours``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +33,21 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def pair_counts(edges: DataFrame, block: int = 256) -> DataFrame:
-    """(a, b, both) for products a < b with at least one common customer."""
-    # Both sides are read from files, so that adaptive execution can split a
-    # customer's rows in the join with the few large degrees.
-    edges = _written(edges, "purchases")
+def _held(edges: DataFrame, block: int, value: str = "item") -> DataFrame:
+    """Each customer's products in blocks of about ``block``: user, n (blocks of
+    the customer), i (from 0) and x, the block's ``value`` as a sorted array."""
+    # Read from files, so that adaptive execution can split a customer's rows
+    # in the join with the few large degrees.
     large = _written(edges.groupBy("user").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") > block), "degrees")
     blocks = F.coalesce(F.ceil(F.col("d") / block), F.lit(1)).cast("int")
     dealt = edges.join(large, "user", "left").select(
-        "user", "item", blocks.alias("n"), F.pmod(F.xxhash64("item"), blocks).cast("int").alias("mine"))
-    # A block is about ``block`` products, kept as one sorted array.
-    held = dealt.groupBy("user", "n", F.col("mine").alias("i")).agg(F.sort_array(F.collect_list("item")).alias("x"))
+        "user", F.col(value).alias("value"), blocks.alias("n"), F.pmod(F.xxhash64("item"), blocks).cast("int").alias("mine"))
+    return dealt.groupBy("user", "n", F.col("mine").alias("i")).agg(F.sort_array(F.collect_list("value")).alias("x"))
+
+
+def pair_counts(edges: DataFrame, block: int = 256) -> DataFrame:
+    """(a, b, both) for products a < b with at least one common customer."""
+    held = _held(_written(edges, "purchases"), block)
     inside = held.filter(F.size("x") > 1).select(F.explode(F.flatten(F.transform("x", lambda a, at: F.transform(
         F.slice("x", at + 2, F.size("x")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
     # Block i of a customer with several meets each later block j.
@@ -66,9 +75,76 @@ def copurchase(edges: DataFrame, block: int = 256) -> DataFrame:
         (F.col("both") / F.sqrt(F.col("size").cast("double") * F.col("other_size").cast("double"))).alias("cosine"))
 
 
-def copurchase_neighbours(edges: DataFrame, k: int = 5, block: int = 256) -> DataFrame:
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """(item, size) with ``id``: dense integers from 0, in the items' order."""
+    placed = _written(sizes.orderBy("item").withColumn("place", F.monotonically_increasing_id()), "sizes")
+    part = F.shiftright("place", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # A row per partition of the sort.
+    starts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")) \
+        .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.col("place").bitwiseAND((1 << 33) - 1)
+    return placed.join(starts, part == F.col("part")).select("item", "size", (F.col("start") + within).alias("id"))
+
+
+def _nearest(counts: DataFrame, k: int) -> DataFrame:
+    """The k best of (id, size, other, other_size, both) for each id."""
+    cosine = F.col("both") / F.sqrt(F.col("size").cast("double") * F.col("other_size").cast("double"))
+    order = Window.partitionBy("id").orderBy(F.col("cosine").desc(), F.col("both").desc(), F.col("other"))
+    return counts.withColumn("cosine", cosine).withColumn("rank", F.row_number().over(order)) \
+        .filter(F.col("rank") <= k).select("id", "rank", "other", "both", "cosine")
+
+
+def copurchase_neighbours(edges: DataFrame, k: int = 5, block: int = 256, hot: int = 50_000,
+                          pairs_per_task: int = 2_000_000) -> DataFrame:
     """Each product's k nearest by cosine (ties: more common customers, then
-    the smaller product)."""
-    order = Window.partitionBy("item").orderBy(F.col("cosine").desc(), F.col("both").desc(), F.col("other"))
-    return copurchase(edges, block).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k) \
-        .select("item", "rank", "other", "both", "cosine")
+    the smaller product).
+
+    Pairs are never shuffled.  A product is sent the blocks of its customers'
+    products, as arrays of dense numbers with the products' sizes beside them
+    (about 5 bytes a pair); the task that has all of a product's blocks counts
+    its pairs and keeps k.  Products with more than ``hot`` customers are
+    counted map-side first, so that none of them keeps one task busy.
+    """
+    edges = _written(edges, "purchases")
+    spark = edges.sparkSession
+    items = _written(_numbered(edges.groupBy("item").agg(F.count(F.lit(1)).alias("size"))), "items")
+    numbered = _written(edges.join(items, "item").select("user", F.col("id").alias("item"), "size"), "numbered")
+    held = _held(numbered.withColumn("entry", F.struct("item", "size")), block, "entry")
+    # Sizes up to 127 take one byte, numbers up to 2^31 four; longer ones are kept whole.
+    sizes, ids = F.col("x.size"), F.col("x.item")
+    packed = held.select(
+        "user", "n", "i", "x",
+        F.when(F.array_max(sizes) < 128, sizes.cast("array<tinyint>")).alias("size1"),
+        F.when(F.array_max(sizes) >= 128, sizes).alias("size8"),
+        F.when(F.array_max(ids) < 1 << 31, ids.cast("array<int>")).alias("id4"),
+        F.when(F.array_max(ids) >= 1 << 31, ids).alias("id8"))
+    packed = _written(packed, "held")
+    theirs = ["size1", "size8", "id4", "id8"]
+    one = packed.filter((F.col("n") == 1) & (F.size("x") > 1)).select(F.explode("x").alias("me"), *theirs)
+    # Block i of a customer with several meets every block j, its own too.
+    several = packed.filter(F.col("n") > 1)
+    to = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    left = several.select("user", "i", "x", to.alias("j"))
+    right = several.select("user", F.col("i").alias("j"), *theirs, to.alias("i"))
+    across = left.join(right, ["user", "i", "j"]).select(F.explode("x").alias("me"), *theirs)
+    sent = one.unionByName(across).select("me.item", "me.size", *theirs)
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        others = F.arrays_zip(F.coalesce(F.col("id4").cast("array<bigint>"), "id8").alias("o"),
+                              F.coalesce(F.col("size1").cast("array<bigint>"), "size8").alias("s"))
+        return rows.select(F.col("item").alias("id"), "size", F.explode(others).alias("p")) \
+            .select("id", "size", F.col("p.o").alias("other"), F.col("p.s").alias("other_size")) \
+            .filter(F.col("id") != F.col("other")) \
+            .groupBy("id", "size", "other", "other_size").agg(F.count(F.lit(1)).alias("both"))
+
+    n_pairs = numbered.groupBy("user").agg(F.count(F.lit(1)).cast("double").alias("d")) \
+        .agg(F.coalesce(F.sum(F.col("d") * F.col("d")), F.lit(0.0))).first()[0]
+    tasks = min(max(math.ceil(n_pairs / pairs_per_task), int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000)
+    cold = sent.filter(F.col("size") <= hot).repartition(tasks, "item")
+    best = _nearest(pairs(cold), k)
+    if items.filter(F.col("size") > hot).limit(1).count():
+        best = best.unionByName(_nearest(pairs(sent.filter(F.col("size") > hot)), k))
+    names = items.select("id", "item")
+    return best.join(names, "id").join(names.toDF("other", "name"), "other").select(
+        "item", "rank", F.col("name").alias("other"), "both", "cosine")

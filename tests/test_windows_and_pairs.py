@@ -81,3 +81,25 @@ def test_neighbours_by_cosine(spark):
     got = [tuple(r) for r in CP.copurchase_neighbours(df, 1).orderBy("item").collect()]
     assert got == [("a", 1, "b", 2, pytest.approx(1.0)), ("b", 1, "a", 2, pytest.approx(1.0)), ("c", 1, "a", 1, 0.5)]
     assert CP.copurchase_neighbours(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block, hot", [(256, 50_000), (3, 50_000), (4, 2)])
+def test_neighbours_send_blocks_and_no_pairs(spark, monkeypatch, block, hot):
+    """Against all pairs; hot users, hot items and sizes over a byte included."""
+    import math
+    import random
+    monkeypatch.setattr(CP, "pair_counts", None)
+    rnd = random.Random(4)
+    edges = {(f"p{rnd.randrange(25)}", rnd.randrange(30)) for _ in range(200)}
+    edges |= {(f"p{i}", 7) for i in range(25)} | {("p3", u) for u in range(150)}
+    of: dict = {}
+    for item, user in edges:
+        of.setdefault(item, set()).add(user)
+    want = []
+    for a in of:
+        near = sorted((-len(of[a] & of[b]) / math.sqrt(len(of[a]) * len(of[b])), -len(of[a] & of[b]), b)
+                      for b in of if b != a and of[a] & of[b])[:3]
+        want += [(a, r + 1, b, -n, pytest.approx(-c)) for r, (c, n, b) in enumerate(near)]
+    df = spark.createDataFrame(sorted(edges), "item string, user int")
+    got = sorted(tuple(r) for r in CP.copurchase_neighbours(df, 3, block, hot).collect())
+    assert got == sorted(want, key=lambda r: r[:2])
