@@ -34,6 +34,8 @@ from haat.functions.numeric import rnd
 from haat.session import scratch_dir
 
 SLACK = 1e-9        # relative, on bounds computed in floating point
+CELLS = 1 << 20     # of a matrix that a task fills at once
+SENT = 2048         # vectors handed on at once
 
 
 def _matrix(column) -> np.ndarray:
@@ -75,7 +77,10 @@ def _best(q: pd.DataFrame, block: pd.DataFrame, bm: np.ndarray, k: int) -> pd.Da
     if len(ids) > k:
         limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + error)
     at, c = np.nonzero((rough <= (limit + error)[:, None]) & np.isfinite(rough))
-    d = np.sqrt(((qm[at] - bm[c]) ** 2).sum(1))
+    d = np.empty(len(at))
+    for i in range(0, len(at), CELLS // 64):        # many, where vectors repeat
+        part = slice(i, i + CELLS // 64)
+        d[part] = np.sqrt(((qm[at[part]] - bm[c[part]]) ** 2).sum(1))
     order = np.lexsort((ids[c], d, at))
     at, c, d = at[order], c[order], d[order]
     starts = np.searchsorted(at, np.arange(len(q)))
@@ -107,8 +112,9 @@ def _streamed(k: int):
                     vectors = [pd.concat(vectors)] if vectors else []
                     m = _matrix(vectors[0]["v"]) if vectors else None
                 if vectors:
-                    for a in range(0, len(asked), 1024):
-                        yield _best(asked.iloc[a:a + 1024], vectors[0], m, k)
+                    step = max(1, min(1024, CELLS // len(m)))
+                    for a in range(0, len(asked), step):
+                        yield _best(asked.iloc[a:a + step], vectors[0], m, k)
     return run
 
 
@@ -119,6 +125,27 @@ def _search(lists: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     return both.repartition("block").sortWithinPartitions("block", "probe").mapInPandas(_streamed(k), FOUND)
 
 
+def _probes(frames: Iterator[pd.DataFrame], centres: np.ndarray, names: np.ndarray, of: np.ndarray, near: np.ndarray,
+            far: np.ndarray) -> Iterator[pd.DataFrame]:
+    """For each vector the other blocks within its reach.  It may ask every
+    block, so rows and probes go on in parts whose size does not depend on
+    the number of blocks."""
+    step = max(1, min(1024, CELLS // len(names)))
+    for whole in frames:
+        for a in range(0, len(whole), step):
+            frame = whole.iloc[a:a + step]
+            to = _distances(_matrix(frame["v"]), centres)[:, of]
+            t = frame["t"].to_numpy()[:, None]
+            gap = SLACK * (to + far) + 1e-12
+            can = (to <= far + t + gap) & (to >= near - t - gap) & (frame["block"].to_numpy()[:, None] != names)
+            q, b = np.nonzero(can)
+            for i in range(0, len(q), SENT):
+                asks = frame.iloc[q[i:i + SENT]]
+                yield pd.DataFrame({"block": names[b[i:i + SENT]], "row": asks["row"].to_numpy(),
+                                    "vec_id": asks["vec_id"].to_numpy(), "v": asks["v"].to_numpy(),
+                                    "t": asks["t"].to_numpy()})
+
+
 def nearest_of_all(emb: DataFrame, k: int = 5, dims: int = 64, block_rows: int = 4096, max_centres: int = 1024,
                    max_blocks: int = 65_536, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """For every vector its k nearest others: query_id, rank (from 1), vec_id,
@@ -146,10 +173,12 @@ def nearest_of_all(emb: DataFrame, k: int = 5, dims: int = 64, block_rows: int =
     centres = _far_apart(_matrix(pd.Series([r.v for r in drawn])), n_centres)
 
     def assign(frames):
-        for frame in frames:
-            d = _distances(_matrix(frame["v"]), centres)
-            at = d.argmin(1)
-            yield frame.assign(list=at.astype("int32"), far=d[np.arange(len(at)), at])
+        for whole in frames:
+            for a in range(0, len(whole), SENT):
+                frame = whole.iloc[a:a + SENT]
+                d = _distances(_matrix(frame["v"]), centres)
+                at = d.argmin(1)
+                yield frame.assign(list=at.astype("int32"), far=d[np.arange(len(at)), at])
 
     dealt = kept.mapInPandas(assign, "vec_id long, v array<double>, row long, list int, far double")
     first = scratch_dir(spark, "neighbour-dealt")
@@ -161,11 +190,12 @@ def nearest_of_all(emb: DataFrame, k: int = 5, dims: int = 64, block_rows: int =
     sizes = dealt.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(
         "far", F.array(*[F.lit(i / 32) for i in range(1, 32)]), 10_000).alias("cuts"))
     shell = F.size(F.filter("cuts", lambda c: c < F.col("far")))
-    parts = F.greatest(F.ceil(F.col("n") / F.lit(32.0 * block_rows)), F.lit(1))
-    layers = F.when(F.col("n") > block_rows, shell).otherwise(F.lit(0))
-    block = F.concat_ws("-", "list", layers, F.pmod(F.xxhash64("row"), parts))
+    parts = F.greatest(F.round(F.col("m") / F.lit(float(block_rows))).cast("long"), F.lit(1).cast("long"))
+    layered = dealt.join(sizes, "list").withColumn("layer", F.when(F.col("n") > block_rows, shell).otherwise(F.lit(0)))
+    fill = layered.groupBy("list", "layer").agg(F.count(F.lit(1)).alias("m"))
+    block = F.concat_ws("-", "list", "layer", F.pmod(F.xxhash64("row"), parts))
     placed = scratch_dir(spark, "neighbour-lists")
-    dealt.join(sizes, "list").select("list", block.alias("block"), "row", "vec_id", "v", "far") \
+    layered.join(fill, ["list", "layer"]).select("list", block.alias("block"), "row", "vec_id", "v", "far") \
         .repartition("list", "block").write.partitionBy("list").parquet(placed)
     lists = spark.read.parquet(placed)
 
@@ -182,16 +212,7 @@ def nearest_of_all(emb: DataFrame, k: int = 5, dims: int = 64, block_rows: int =
     near, far = (np.array([r[c] for r in about]) for c in ("near", "far"))
 
     def probe(frames):
-        for frame in frames:
-            m = _matrix(frame["v"])
-            to = _distances(m, centres)[:, of]
-            t = frame["t"].to_numpy()[:, None]
-            gap = SLACK * (to + far) + 1e-12
-            can = (to <= far + t + gap) & (to >= near - t - gap) & (frame["block"].to_numpy()[:, None] != names)
-            q, b = np.nonzero(can)
-            yield pd.DataFrame({"block": names[b], "row": frame["row"].to_numpy()[q],
-                                "vec_id": frame["vec_id"].to_numpy()[q], "v": frame["v"].to_numpy()[q],
-                                "t": frame["t"].to_numpy()[q]})
+        return _probes(frames, centres, names, of, near, far)
 
     asked = lists.join(bound, "row", "left").select(
         "block", "row", "vec_id", "v",

@@ -60,3 +60,27 @@ def test_bounds_rule_most_blocks_out(spark, monkeypatch):
     (blocks, own), (_, more) = asked
     print("blocks", blocks, "probes beyond the own block", more, "of", own * (blocks - 1))
     assert own == 600 and more < 0.25 * own * (blocks - 1)
+
+
+def test_probes_of_many_blocks_go_on_in_bounded_parts():
+    """Two thousand vectors that may ask 500 blocks each."""
+    import pandas as pd
+    from haat.operators import neighbours as N
+    n, blocks = 2000, 500
+    frame = pd.DataFrame({"block": "none", "row": np.arange(n), "vec_id": np.arange(n),
+                          "v": list(np.zeros((n, 4))), "t": np.inf})
+    of = np.zeros(blocks, int)
+    parts = [len(p) for p in N._probes(iter([frame]), np.zeros((1, 4)), np.arange(blocks).astype(str).astype(object), of,
+                                       np.zeros(blocks), np.ones(blocks))]
+    assert sum(parts) == n * blocks and max(parts) <= N.SENT
+
+
+def test_equal_vectors_are_cut_into_blocks_too(spark, monkeypatch):
+    from haat.operators import neighbours as N
+    sizes = []
+    search = N._search
+    monkeypatch.setattr(N, "_search", lambda lists, probes, k: (sizes.extend(
+        r["count"] for r in lists.groupBy("block").count().collect()), search(lists, probes, k))[1])
+    rows = [(i, [1.0, 2.0]) for i in range(400)]
+    assert [r[:3] for r in got(spark, rows, 2, 2, block_rows=20)] == [r[:3] for r in brute(rows, 2)]
+    assert max(sizes) < 60
