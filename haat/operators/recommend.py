@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from haat.session import scratch_dir
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
 
 def popularity(tx_or_daily: DataFrame) -> DataFrame:
     """Rows per product (``value_counts``)."""
@@ -44,12 +52,14 @@ def recommend_als(tx: DataFrame, n: int = 5, rank: int = 8, max_iter: int = 10,
     the units each user bought of each product.  Users and
     products get dense int ids by distributed numbering, so ids may have any
     size.  ``blocks`` is a parameter, not a property of the cluster, so that
-    results do not depend on where the job runs.
+    results do not depend on where the job runs.  The ratings and the ids are
+    written once: numbering, fitting and naming read them again and again.
     """
     from pyspark.ml.recommendation import ALS
 
-    ratings = tx.groupBy("user_id", "product").agg(F.sum("quantity").cast("float").alias("units"))
-    items, users = dense_ids(ratings, "product", "item"), dense_ids(ratings, "user_id", "user")
+    ratings = _written(tx.groupBy("user_id", "product").agg(F.sum("quantity").cast("float").alias("units")), "ratings")
+    items = _written(dense_ids(ratings, "product", "item"), "rated-items")
+    users = _written(dense_ids(ratings, "user_id", "user"), "rating-users")
     data = ratings.join(items, "product").join(users, "user_id").select("user", "item", "units")
     als = ALS(userCol="user", itemCol="item", ratingCol="units", implicitPrefs=True, rank=rank,
               maxIter=max_iter, regParam=reg, seed=seed, coldStartStrategy="drop",

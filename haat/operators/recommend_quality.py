@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haat.functions.numeric import rnd
-from haat.operators.recommend import recommend_als, recommend_popular, user_top_products
+from haat.operators.recommend import _written, recommend_als, recommend_popular, user_top_products
 
 KS = (1, 2, 3)
 
@@ -77,8 +77,9 @@ def compare_lists(tx: DataFrame, ks: tuple = KS) -> DataFrame:
 
 def als_quality(tx: DataFrame, ks: tuple = KS, **als) -> DataFrame:
     """ALS (``recommend_als`` and its parameters), fitted to the training rows
-    only, against the popular products."""
-    train, test = holdout(tx)
+    only, against the popular products.  Both sides are written once."""
+    rows = tx.select("user_id", "product", "dt", "transaction_id", "quantity")
+    train, test = (_written(df, name) for df, name in zip(holdout(_written(rows, "rows")), ("train", "test")))
     lists = {"als": recommend_als(train, max(ks), **als), "popular": recommend_popular(train, max(ks))}
     personal, popular = (quality(found, test, ks).select(F.lit(name).alias("model"), "*") for name, found in lists.items())
     return personal.union(popular)

@@ -182,3 +182,18 @@ def test_als_finds_tastes_that_popularity_misses(spark):
     got = {(r.model, r.k): r for r in RQ.als_quality(tx, (1, 3), rank=6, max_iter=8, blocks=2).collect()}
     assert got["als", 3].n_users == got["popular", 3].n_users
     assert got["als", 3].recall > 1.5 * got["popular", 3].recall and got["als", 3].ndcg > got["popular", 3].ndcg
+
+
+def test_als_quality_reads_its_rows_once(spark):
+    import datetime as dt
+    rows = [(u, f"p{(u + o) % 4}", dt.date(2024, 1, 1 + o), 10 * u + o, 1) for u in range(12) for o in range(3)]
+    tx = spark.createDataFrame(rows, "user_id long, product string, dt date, transaction_id long, quantity int")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    assert RQ.als_quality(tx.mapInArrow(counted, tx.schema), (1, 3), rank=2, max_iter=2, blocks=2).count() == 4
+    assert read.value == len(rows)
