@@ -671,7 +671,10 @@ def _ingest_twice(spark, sf_dir):
     """Overlapping batches of months, the second one twice; one copy of
     each day."""
     path = scratch_dir(spark, "ingest")
-    d = export.export_daily(Ctx(spark, sf_dir).tx).withColumn("month", F.date_format("dt", "yyyy-MM"))
+    # The three batches are cut from one copy of the daily sheet.
+    daily = scratch_dir(spark, "ingest-daily")
+    export.export_daily(Ctx(spark, sf_dir).tx).withColumn("month", F.date_format("dt", "yyyy-MM")).write.parquet(daily)
+    d = spark.read.parquet(daily)
     files.ingest_days(d.where("dt < date'1997-01-01'").withColumn(
         "quantity", F.when(F.year("dt") == 1996, F.col("quantity") * 2).otherwise(F.col("quantity"))), path, "month")
     for _ in range(2):

@@ -101,9 +101,15 @@ def ingest_days(df: DataFrame, path: str, day: str = "dt") -> DataFrame:
     month, where batches hold whole ones and days would make too many small
     files).  Stored days are compared by digests; only partitions
     of the batch's own days are read, and dynamic overwrite replaces only
-    those that differ.  A failed run can be repeated."""
+    those that differ.  A failed run can be repeated.
+
+    The batch is written once to a scratch folder, as it is read for the
+    digests, the comparison and the replacement."""
     from haat.session import scratch_dir
     spark = df.sparkSession
+    staged = scratch_dir(spark, "batch")
+    df.write.parquet(staged)
+    df = spark.read.schema(df.schema).parquet(staged)
     new = _day_digests(df, day)
     if path_exists(spark, path):
         stored = spark.read.parquet(path).join(df.select(day).distinct(), day, "left_semi").select(*df.columns)

@@ -74,3 +74,19 @@ def test_rules(spark, rules):
         n, hits, negated, s = plain(TEXTS[r.id], rules)
         assert (r.n_tokens, r.n_hits, r.n_negated) == (n, hits, negated)
         assert r.score == pytest.approx(s, abs=1e-4) and r.compound == pytest.approx(s / math.sqrt(s * s + 15), abs=1e-4)
+
+
+def test_a_batch_is_worked_out_once(spark, tmp_path):
+    df = spark.createDataFrame([(f"2024-01-0{i % 5 + 1}", i) for i in range(20)], "dt string, n int")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    path = str(tmp_path / "days")
+    for times in (1, 2):
+        files.ingest_days(df.mapInArrow(counted, df.schema), path)
+        assert read.value == 20 * times
+    assert spark.read.parquet(path).count() == 20
