@@ -22,9 +22,12 @@ corpus; sent compressed), indexed by a phrase's 64-bit hash.  A bit that is set
 makes more phrases counted; the argument above holds for the set of bits.
 So the sample and the bitmap decide how much is counted, never the result.
 
-The passes count hashes.  A last one counts the texts of phrases whose hash
-reached the threshold, in Spark's own grouping by (language, text): a hash
-shared by two phrases can add a candidate, which this drops, but lose none.
+The passes count hashes, with the sum of a second hash over all occurrences.
+Texts of the frequent ones are looked for in a share of the documents; one
+whose second hash explains that sum is the only phrase of its hash.  Hashes
+not met there, or shared by two phrases, are counted as texts over all
+documents, in Spark's own grouping by (language, text), so that nothing is
+lost and rows handed on follow the frequent phrases, not tasks times phrases.
 
 Within a task bytes are split and hashed as arrays, and equal phrases of a
 chunk are added up before they leave it.
@@ -50,6 +53,7 @@ REACH = 64                   # byte positions with a row of random numbers each
 CHARS = 1_000_000            # of texts handled at once
 FEW = 10                     # failures are few: one occurrence in so many words
 TEXTS = 500_000              # phrases a task keeps before it hands them on
+NAMED_FROM = (64, 16)        # texts are looked for in one document of so many first
 
 _rng = np.random.default_rng(13)
 _BYTE = _rng.integers(0, 1 << 64, REACH * 256, np.uint64)
@@ -107,6 +111,8 @@ class Words:
         seeds = np.array([_seed(lang) for lang in langs], np.uint64)
         self.lang = seeds[self.text] if len(langs) else np.zeros(0, np.uint64)
         self._sums = [self.lang.copy()]
+        self._checks = [self.lang.copy()]
+        self._other = _mixed(self.word)
 
     def hashes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, is a phrase) of the k words from each word on; those that
@@ -119,6 +125,15 @@ class Words:
         h = (_mixed(self._sums[k][:n] + np.uint64(k)) & ~np.uint64(LEVELS - 1)) | np.uint64(k)
         return h, self.piece[:n] == self.piece[k - 1:]
 
+    def checks(self, k: int) -> np.ndarray:
+        """Second hashes, 28 bits, of the k words from each word on: they keep
+        apart phrases that share the first."""
+        while len(self._checks) <= k:
+            j = len(self._checks)
+            last = self._checks[-1][:max(0, len(self.word) - j + 1)]
+            self._checks.append(last + self._other[j - 1:] * _PLACE[j])
+        return _mixed(self._checks[k]) >> np.uint64(36)
+
     def phrase(self, i: int, k: int) -> str:
         data = self.bytes[self.s[i]:self.e[i + k - 1]].tobytes().decode()
         return " ".join(w for w in data.replace("\t", " ").split(" ") if w)
@@ -153,23 +168,35 @@ def _chunks(batches):
             yield Words(texts, some)
 
 
-def _counted(words: Words, levels, pick) -> tuple[np.ndarray, np.ndarray]:
-    found = [h[pick(words, k, ok)] for k in levels for h, ok in [words.hashes(k)]]
-    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64),) * 2
+def _counted(words: Words, levels, pick) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found, checks = [], []
+    for k in levels:
+        h, ok = words.hashes(k)
+        at = np.flatnonzero(pick(words, k, ok))
+        found.append(h[at])
+        checks.append(words.checks(k)[at])
+    if not found:
+        return (np.zeros(0, np.uint64),) * 3
+    h, which, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    # At most 2^28 times a chunk's words: exact.
+    return h, n, np.bincount(which, np.concatenate(checks), len(h))
 
 
 def _count(rows: DataFrame, levels, pick, least: int) -> DataFrame:
-    """(h, n) of the phrases with ``levels`` words that ``pick`` chooses and
-    that occur ``least`` times or more."""
+    """(h, n, s) of the phrases with ``levels`` words that ``pick`` chooses and
+    that occur ``least`` times or more; s is the sum of the second hashes of
+    all occurrences, n times that of the phrase where h is one phrase's."""
     def run(batches):
         for words in _chunks(batches):
-            h, n = _counted(words, levels, pick)
+            h, n, s = _counted(words, levels, pick)
             for a in range(0, len(h), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(h[a:a + (1 << 16)].view(np.int64)),
-                                                  pa.array(n[a:a + (1 << 16)].astype(np.int64))], ["h", "n"])
+                part = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[part].view(np.int64)), pa.array(n[part].astype(np.int64)), pa.array(s[part].astype(np.int64))],
+                    ["h", "n", "s"])
 
-    return cut(rows.mapInArrow(task(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-               .filter(F.col("n") >= least))
+    return cut(rows.mapInArrow(task(run), "h long, n long, s long").groupBy("h")
+               .agg(F.sum("n").alias("n"), F.sum("s").alias("s")).filter(F.col("n") >= least))
 
 
 def _bitmap(counted: DataFrame) -> np.ndarray:
@@ -286,10 +313,78 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
         if whole:
             break
     reached.drop()
-    bits = Shared(spark, _bitmap(_union(found)))
-    out = _texts(rows, bits, max_words, min_count)
-    bits.drop()
-    return out
+    return _named(docs, rows_of, [id_col, text_col], _union(found), max_words, min_count)
+
+
+def _named(docs: DataFrame, rows_of: list, drawn_by: list, found: DataFrame, max_words: int, min_count: int) -> DataFrame:
+    """The texts of the counted hashes.  A frequent phrase is met in a share of
+    the documents already, so a task hands on few texts; what is not met there,
+    and hashes whose second hashes say that several phrases share them, are
+    counted as texts over all documents."""
+    spark = docs.sparkSession
+    rows, names = docs.select(*rows_of), []
+    left = found.select("h").distinct()
+    for every in NAMED_FROM:
+        some = docs.filter(F.pmod(F.xxhash64(*drawn_by), F.lit(every)) == 0).select(*rows_of)
+        bits = Shared(spark, _bitmap(left))
+        names.append(cut(_first_texts(some, bits, max_words).join(left, "h", "left_semi").groupBy("h").agg(
+            F.min(F.struct("lang", "k", "phrase", "c")).alias("t"))))
+        bits.drop()
+        left = cut(left.join(names[-1], "h", "left_anti"))
+    one = F.col("t").isNotNull() & (F.col("s") == F.col("n") * F.col("t.c"))
+    told = cut(found.join(_union(names), "h", "left").withColumn("one", F.coalesce(one, F.lit(False))))
+    again = cut(told.filter(~F.col("one")).select("h").distinct())
+    out = told.filter("one").join(again, "h", "left_anti").select("t.lang", "t.k", "t.phrase", F.col("n").alias("a"))
+    if again.limit(1).count():
+        bits = Shared(spark, _bitmap(again))
+        texts = _texts(rows, bits, max_words, min_count)
+        bits.drop()
+        out = cut(out.join(texts, ["lang", "k", "phrase"], "left_anti").unionByName(texts))
+    return out.unionByName(_totals(rows))
+
+
+def _first_texts(rows: DataFrame, wanted: Shared, max_words: int) -> DataFrame:
+    """(h, c, lang, k, phrase): texts of phrases whose hash is in ``wanted``,
+    those a task meets first, with both hashes."""
+    def run(batches):
+        seen = np.zeros(0, np.uint64)
+        for words in _chunks(batches):
+            for k in range(1, max_words + 1):
+                h, ok = words.hashes(k)
+                at = np.flatnonzero(ok)
+                at = at[wanted.has(h[at])]
+                new, first = np.unique(h[at], return_index=True)
+                fresh = ~np.isin(new, seen, assume_unique=True)
+                new, at = new[fresh], at[first[fresh]]
+                seen = np.concatenate([seen, new])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(new.view(np.int64)), pa.array(words.checks(k)[at].astype(np.int64)),
+                     pa.array([words.langs[words.text[j]] for j in at.tolist()], pa.string()),
+                     pa.array([k] * len(at), pa.int32()), pa.array([words.phrase(j, k) for j in at.tolist()], pa.string())],
+                    ["h", "c", "lang", "k", "phrase"])
+            if len(seen) > TEXTS:
+                seen = seen[:0]
+
+    return rows.mapInArrow(task(run), "h long, c long, lang string, k int, phrase string")
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    """(lang, k = 0, phrase "", a): each language's number of words."""
+    def run(batches):
+        totals: dict = {}
+        for batch in batches:
+            for some, texts in in_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), CHARS):
+                raw = [t.encode() for t in texts]
+                word = _CLASS[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)] == WORD
+                begins = np.flatnonzero(word & ~np.append(False, word[:-1]))
+                ends = np.cumsum([len(r) + 1 for r in raw])
+                n = np.diff(np.searchsorted(begins, ends), prepend=0)
+                for lang, c in zip(some, n.tolist()):
+                    totals[lang] = totals.get(lang, 0) + c
+        yield _text_batch([[lang, 0, "", c] for lang, c in totals.items()])
+
+    return cut(rows.mapInArrow(task(run), "lang string, k int, phrase string, a long")
+               .groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a")))
 
 
 class Seen:
@@ -336,10 +431,8 @@ class Seen:
 def _texts(rows: DataFrame, frequent: Shared, max_words: int, min_count: int) -> DataFrame:
     """Exact counts of the texts of phrases whose hash is in ``frequent``."""
     def run(batches):
-        seen, totals = Seen(), {}
+        seen = Seen()
         for words in _chunks(batches):
-            for lang, n in zip(words.langs, np.bincount(words.text, minlength=len(words.langs)).tolist()):
-                totals[lang] = totals.get(lang, 0) + n
             for k in range(1, max_words + 1):
                 h, ok = words.hashes(k)
                 at = np.flatnonzero(ok)
@@ -350,11 +443,11 @@ def _texts(rows: DataFrame, frequent: Shared, max_words: int, min_count: int) ->
             if len(seen.h) > TEXTS:
                 yield _text_batch(seen.rows())
                 seen = Seen()
-        yield _text_batch([[lang, 0, "", n] for lang, n in totals.items()] + seen.rows())
+        yield _text_batch(seen.rows())
 
     counted = rows.mapInArrow(task(run), "lang string, k int, phrase string, a long")
     return cut(counted.groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a"))
-               .filter((F.col("a") >= min_count) | (F.col("k") == 0)))
+               .filter(F.col("a") >= min_count))
 
 
 def _text_batch(rows: list) -> pa.RecordBatch:

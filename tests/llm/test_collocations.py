@@ -139,3 +139,27 @@ def test_words_of_a_chunk(texts):
         grams = [tuple(p[i:i + k]) for t in texts for p in split(t) for i in range(len(p) - k + 1)]
         assert [tuple(w.phrase(i, k).split(" ")) for i in np.flatnonzero(ok)] == grams
         assert len(set(h[ok].tolist())) == len(set(grams))
+
+
+def _spread(spark):
+    rows = [(i, "en", f"alpha beta gamma. n{i}") for i in range(1500)]
+    return spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+
+
+def test_texts_are_found_in_a_share_of_the_documents(spark, monkeypatch):
+    """Rows with texts follow the frequent phrases, not tasks times phrases."""
+    monkeypatch.setattr(C, "_texts", None)
+    got = sorted(tuple(r) for r in C.frequent_phrases(_spread(spark)).collect())
+    words = ["alpha", "beta", "gamma"]
+    assert got == sorted([("en", 0, "", 6000)] + [("en", b - a, " ".join(words[a:b]), 1500)
+                                                  for a in range(3) for b in range(a + 1, 4)])
+
+
+def test_hashes_of_several_phrases_are_counted_as_texts(spark):
+    docs = _spread(spark)
+    cols = [docs["lang"], docs["text"]]
+    found = C._count(docs.select(*cols), range(1, 6), lambda w, k, ok: ok, 100)
+    want = sorted(C._named(docs, cols, ["doc_id", "text"], found, 5, 100).collect())
+    for broken in (found.withColumn("s", found.s + 1), found.unionByName(found.withColumn("s", found.s + 1))):
+        assert sorted(C._named(docs, cols, ["doc_id", "text"], broken, 5, 100).collect()) == want
+    assert len(want) == 7
