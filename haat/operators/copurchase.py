@@ -15,12 +15,20 @@ Where only the nearest are wanted, pairs are not shuffled at all: see
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haat.session import scratch_dir
 
+AT_ONCE = 1 << 20       # pairs that a task counts at once, at least
+ROWS = 2048             # blocks whose pairs are made at once
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def purchases(tx: DataFrame, item: str = "product", user: str = "user_id") -> DataFrame:
     """The graph's edges, each once: (item, user)."""
@@ -33,6 +41,22 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def _clearing(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is run inside go when it has run."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def _dropped(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def _held(edges: DataFrame, block: int, value: str = "item") -> DataFrame:
     """Each customer's products in blocks of about ``block``: user, n (blocks of
     the customer), i (from 0) and x, the block's ``value`` as a sorted array."""
@@ -87,6 +111,9 @@ def _numbered(sizes: DataFrame) -> DataFrame:
     return placed.join(starts, part == F.col("part")).select("item", "size", (F.col("start") + within).alias("id"))
 
 
+NEAREST = "id long, rank int, other long, both long, cosine double"
+
+
 def _nearest(counts: DataFrame, k: int) -> DataFrame:
     """The k best of (id, size, other, other_size, both) for each id."""
     cosine = F.col("both") / F.sqrt(F.col("size").cast("double") * F.col("other_size").cast("double"))
@@ -95,56 +122,150 @@ def _nearest(counts: DataFrame, k: int) -> DataFrame:
         .filter(F.col("rank") <= k).select("id", "rank", "other", "both", "cosine")
 
 
+def _pairs(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """id, size, other, other_size and 1 for every pair of a batch."""
+    rows = [batch.column(c).to_numpy() for c in ("id", "size")]
+    many = np.diff(batch.column("o").offsets.to_numpy())
+    pairs = [np.repeat(r, many) for r in rows] + [batch.column(c).flatten().to_numpy() for c in ("o", "s")]
+    kept = pairs[0] != pairs[2]
+    return [p[kept] for p in pairs] + [np.ones(kept.sum(), np.int64)]
+
+
+def _sums(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The pairs of ``parts``, which come by id, each once and by (id, other)."""
+    pairs = [np.concatenate(p) for p in zip(*parts)]
+    if not len(pairs[0]):
+        return pairs
+    product = np.cumsum(np.diff(pairs[0], prepend=pairs[0][0]) != 0)
+    key = product * (pairs[2].max() + 1) + pairs[2]
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    return [p[order[first]] for p in pairs[:4]] + [np.add.reduceat(pairs[4][order], first)]
+
+
+def _best(found: list[np.ndarray], k: int) -> pa.RecordBatch:
+    """The k best of each id, which come by (id, other)."""
+    ids, size, other, other_size, both = found
+    cosine = both / np.sqrt(size.astype(np.float64) * other_size.astype(np.float64))
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    if len(first):
+        # Only what reaches an id's k-th greatest cosine is sorted: each turn
+        # takes its greatest, with all that equal it.
+        many = np.diff(first, append=len(ids))
+        rest, taken, least = cosine.copy(), np.zeros(len(first), np.int64), np.zeros(len(first))
+        for _ in range(k):
+            top = np.maximum.reduceat(rest, first)
+            least = np.where(taken < k, top, least)
+            equal = rest == np.repeat(top, many)
+            taken += np.add.reduceat(equal, first, dtype=np.int64)
+            rest[equal] = -1
+        reach = cosine >= np.repeat(least, many)
+        ids, other, both, cosine = (c[reach] for c in (ids, other, both, cosine))
+    order = np.lexsort((other, -both, -cosine, ids))
+    at = np.arange(len(ids))
+    rank = at - np.maximum.accumulate(np.where(np.diff(ids, prepend=-1) != 0, at, 0)) + 1
+    order, rank = order[rank <= k], rank[rank <= k]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c) for c in (ids[order], rank.astype(np.int32), other[order], both[order], cosine[order])],
+        ["id", "rank", "other", "both", "cosine"])
+
+
+def _counted(k: int):
+    """``_nearest`` for rows that come by id (id, size, o, s; ``o`` and ``s``
+    are a block's numbers and sizes).  A task holds the pairs of one product
+    and of about ``AT_ONCE`` more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n, enough = [], 0, AT_ONCE
+        for batch in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
+            parts.append(_pairs(batch))
+            n += len(parts[-1][0])
+            if n >= enough:
+                found = _sums(parts)
+                # The last product may go on in the next batch.
+                last = int(np.searchsorted(found[0], found[0][-1]))
+                yield _best([f[:last] for f in found], k)
+                parts = [[f[last:] for f in found]]
+                n = len(parts[0][0])
+                enough = max(AT_ONCE, 2 * n)
+        if parts:
+            yield _best(_sums(parts), k)
+    return run
+
+
+def _in_rounds(edges: DataFrame, k: int, block: int, hot: int, pairs_per_task: int, pairs_per_round: int,
+               pairs_per_edge: int) -> tuple[DataFrame, str]:
+    """The numbered products, and the folder of each one's k best."""
+    spark = edges.sparkSession
+    bought, of_number, in_blocks, nearest = (scratch_dir(spark, n) for n in ("purchases", "numbered", "held", "nearest"))
+    edges.write.parquet(bought)
+    edges = spark.read.parquet(bought)
+    items = _written(_numbered(edges.groupBy("item").agg(F.count(F.lit(1)).alias("size"))), "items")
+    edges.join(items, "item").select("user", F.col("id").alias("item"), "size").write.parquet(of_number)
+    _dropped(spark, bought)
+    held = _held(spark.read.parquet(of_number).withColumn("entry", F.struct("item", "size")), block, "entry")
+    # Sizes up to 127 take one byte, numbers up to 2^31 four; longer ones are kept whole.
+    sizes, ids = F.col("x.size"), F.col("x.item")
+    held.select(
+        "user", "n", "i", F.size("x").alias("m"),
+        F.when(F.array_max(sizes) < 128, sizes.cast("array<tinyint>")).alias("size1"),
+        F.when(F.array_max(sizes) >= 128, sizes).alias("size8"),
+        F.when(F.array_max(ids) < 1 << 31, ids.cast("array<int>")).alias("id4"),
+        F.when(F.array_max(ids) >= 1 << 31, ids).alias("id8")).write.parquet(in_blocks)
+    _dropped(spark, of_number)
+    held = spark.read.parquet(in_blocks)
+    packed = ["size1", "size8", "id4", "id8"]
+    numbers = F.coalesce(F.col("id4").cast("array<bigint>"), "id8").alias("o")
+    of_size = F.coalesce(F.col("size1").cast("array<bigint>"), "size8").alias("s")
+    entries = F.explode(F.arrays_zip(numbers, of_size))
+    n_edges, n_pairs = held.groupBy("user").agg(F.sum("m").cast("double").alias("d")) \
+        .agg(F.coalesce(F.sum("d"), F.lit(0.0)), F.coalesce(F.sum(F.col("d") * F.col("d")), F.lit(0.0))).first()
+    rounds = max(math.ceil(n_pairs / max(pairs_per_round, pairs_per_edge * n_edges)), 1)
+    tasks = min(max(math.ceil(n_pairs / rounds / pairs_per_task), int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000)
+    some_hot = items.filter(F.col("size") > hot).limit(1).count() > 0
+
+    for turn in range(rounds):
+        mine = F.pmod(F.xxhash64("me.o"), F.lit(rounds)) == turn
+        one = held.filter((F.col("n") == 1) & (F.col("m") > 1)).select(entries.alias("me"), *packed).filter(mine)
+        # A product of a customer with several blocks meets every block, its own too.
+        several = held.filter(F.col("n") > 1)
+        left = several.select("user", "n", entries.alias("me")).filter(mine) \
+            .select("user", "me", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+        across = left.join(several.select("user", "i", *packed), ["user", "i"]).select("me", *packed)
+        sent = one.unionByName(across).select(F.col("me.o").alias("id"), F.col("me.s").alias("size"), *packed)
+        cold = sent.filter(F.col("size") <= hot).repartition(tasks, "id")
+        cold.select("id", "size", numbers, of_size).sortWithinPartitions("id").mapInArrow(_counted(k), NEAREST) \
+            .write.mode("append").parquet(nearest)
+        if some_hot:
+            pairs = sent.filter(F.col("size") > hot).select("id", "size", entries.alias("p")) \
+                .select("id", "size", F.col("p.o").alias("other"), F.col("p.s").alias("other_size")) \
+                .filter(F.col("id") != F.col("other")) \
+                .groupBy("id", "size", "other", "other_size").agg(F.count(F.lit(1)).alias("both"))
+            _nearest(pairs, k).write.mode("append").parquet(nearest)
+    _dropped(spark, in_blocks)
+    return items, nearest
+
+
 def copurchase_neighbours(edges: DataFrame, k: int = 5, block: int = 256, hot: int = 50_000,
-                          pairs_per_task: int = 2_000_000) -> DataFrame:
+                          pairs_per_task: int = 2_000_000, pairs_per_round: int = 32_000_000,
+                          pairs_per_edge: int = 4) -> DataFrame:
     """Each product's k nearest by cosine (ties: more common customers, then
     the smaller product).
 
     Pairs are never shuffled.  A product is sent the blocks of its customers'
     products, as arrays of dense numbers with the products' sizes beside them
-    (about 5 bytes a pair); the task that has all of a product's blocks counts
+    (about 4 bytes a pair); the task that has all of a product's blocks counts
     its pairs and keeps k.  Products with more than ``hot`` customers are
     counted map-side first, so that none of them keeps one task busy.
+
+    A customer with d products makes d x d pairs, many times the purchases
+    themselves, so products are taken in rounds of ``pairs_per_edge`` pairs a
+    purchase (``pairs_per_round`` at least).  A round's arrays are removed
+    before the next one, and each written step once the next is written: disk
+    grows with the purchases and not with the pairs.
     """
-    edges = _written(edges, "purchases")
     spark = edges.sparkSession
-    items = _written(_numbered(edges.groupBy("item").agg(F.count(F.lit(1)).alias("size"))), "items")
-    numbered = _written(edges.join(items, "item").select("user", F.col("id").alias("item"), "size"), "numbered")
-    held = _held(numbered.withColumn("entry", F.struct("item", "size")), block, "entry")
-    # Sizes up to 127 take one byte, numbers up to 2^31 four; longer ones are kept whole.
-    sizes, ids = F.col("x.size"), F.col("x.item")
-    packed = held.select(
-        "user", "n", "i", "x",
-        F.when(F.array_max(sizes) < 128, sizes.cast("array<tinyint>")).alias("size1"),
-        F.when(F.array_max(sizes) >= 128, sizes).alias("size8"),
-        F.when(F.array_max(ids) < 1 << 31, ids.cast("array<int>")).alias("id4"),
-        F.when(F.array_max(ids) >= 1 << 31, ids).alias("id8"))
-    packed = _written(packed, "held")
-    theirs = ["size1", "size8", "id4", "id8"]
-    one = packed.filter((F.col("n") == 1) & (F.size("x") > 1)).select(F.explode("x").alias("me"), *theirs)
-    # Block i of a customer with several meets every block j, its own too.
-    several = packed.filter(F.col("n") > 1)
-    to = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    left = several.select("user", "i", "x", to.alias("j"))
-    right = several.select("user", F.col("i").alias("j"), *theirs, to.alias("i"))
-    across = left.join(right, ["user", "i", "j"]).select(F.explode("x").alias("me"), *theirs)
-    sent = one.unionByName(across).select("me.item", "me.size", *theirs)
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        others = F.arrays_zip(F.coalesce(F.col("id4").cast("array<bigint>"), "id8").alias("o"),
-                              F.coalesce(F.col("size1").cast("array<bigint>"), "size8").alias("s"))
-        return rows.select(F.col("item").alias("id"), "size", F.explode(others).alias("p")) \
-            .select("id", "size", F.col("p.o").alias("other"), F.col("p.s").alias("other_size")) \
-            .filter(F.col("id") != F.col("other")) \
-            .groupBy("id", "size", "other", "other_size").agg(F.count(F.lit(1)).alias("both"))
-
-    n_pairs = numbered.groupBy("user").agg(F.count(F.lit(1)).cast("double").alias("d")) \
-        .agg(F.coalesce(F.sum(F.col("d") * F.col("d")), F.lit(0.0))).first()[0]
-    tasks = min(max(math.ceil(n_pairs / pairs_per_task), int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000)
-    cold = sent.filter(F.col("size") <= hot).repartition(tasks, "item")
-    best = _nearest(pairs(cold), k)
-    if items.filter(F.col("size") > hot).limit(1).count():
-        best = best.unionByName(_nearest(pairs(sent.filter(F.col("size") > hot)), k))
-    names = items.select("id", "item")
+    with _clearing(spark):
+        items, nearest = _in_rounds(edges, k, block, hot, pairs_per_task, pairs_per_round, pairs_per_edge)
+    best, names = spark.read.parquet(nearest), items.select("id", "item")
     return best.join(names, "id").join(names.toDF("other", "name"), "other").select(
         "item", "rank", F.col("name").alias("other"), "both", "cosine")

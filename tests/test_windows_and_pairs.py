@@ -1,8 +1,13 @@
 """Trailing distinct counts and co-purchase pairs against brute force."""
 
 import datetime as dt
+import glob
+import math
 import random
+import time
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +108,73 @@ def test_neighbours_send_blocks_and_no_pairs(spark, monkeypatch, block, hot):
     df = spark.createDataFrame(sorted(edges), "item string, user int")
     got = sorted(tuple(r) for r in CP.copurchase_neighbours(df, 3, block, hot).collect())
     assert got == sorted(want, key=lambda r: r[:2])
+
+
+def _nearest_by_hand(of, k):
+    want = []
+    for a in of:
+        near = sorted((-len(of[a] & of[b]) / math.sqrt(len(of[a]) * len(of[b])), -len(of[a] & of[b]), b)
+                      for b in of if b != a and of[a] & of[b])[:k]
+        want += [(a, r + 1, b, -n, pytest.approx(-c)) for r, (c, n, b) in enumerate(near)]
+    return sorted(want, key=lambda r: r[:2])
+
+
+@pytest.mark.parametrize("block, hot", [(256, 50_000), (3, 10)])
+def test_neighbours_disk_is_that_of_one_round(spark, monkeypatch, tmp_path, block, hot):
+    """A round's arrays are gone before the next one begins, and at the end
+    only the numbered products and the nearest are kept."""
+    rnd = random.Random(7)
+    edges = {(f"p{rnd.randrange(40)}", rnd.randrange(25)) for _ in range(300)}
+    of: dict = {}
+    for item, user in edges:
+        of.setdefault(item, set()).add(user)
+    d = Counter(user for _, user in edges)
+    n_pairs = sum(n * n for n in d.values())
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    folders = [f.getPath() for f in disk.localDirs()]
+
+    def shuffled():
+        return {p for f in folders for p in glob.glob(f"{f}/*/shuffle_*")}
+
+    df = spark.createDataFrame(sorted(edges), "item string, user int")
+    before, left, counted = shuffled(), [], CP._counted
+
+    def at_round(k):
+        until = time.time() + 10
+        while (now := shuffled() - before) and time.time() < until:
+            time.sleep(0.1)             # files go in the background
+        left.append(now)
+        return counted(k)
+
+    monkeypatch.setattr(CP, "_counted", at_round)
+    monkeypatch.setattr(CP, "scratch_dir", lambda _, name: str(tmp_path / name))
+    out = CP.copurchase_neighbours(df, 3, block, hot, pairs_per_round=n_pairs // 6, pairs_per_edge=1)
+    assert len(left) == math.ceil(n_pairs / max(n_pairs // 6, len(edges))) > 3 and not any(left)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["degrees", "items", "nearest", "sizes"]
+    assert spark.conf.get(CP.CLEANUP, None) is None
+    assert sorted(tuple(r) for r in out.collect()) == _nearest_by_hand(of, 3)
+
+
+def test_neighbours_of_a_product_that_goes_on_in_later_batches(monkeypatch):
+    """Few pairs at once, products over several batches, ties, products alone."""
+    monkeypatch.setattr(CP, "AT_ONCE", 5)
+    monkeypatch.setattr(CP, "ROWS", 2)
+    rnd = random.Random(9)
+    of: dict = {}
+    for _ in range(90):
+        of.setdefault(rnd.randrange(12), set()).add(rnd.randrange(14))
+    of[50] = {99}
+    held: dict = {}
+    for item, users in of.items():
+        for u in users:
+            held.setdefault(u, []).append(item)
+    rows = [{"id": i, "size": len(of[i]), "o": held[u], "s": [len(of[x]) for x in held[u]]}
+            for i in sorted(of) for u in sorted(of[i])]
+    schema = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("o", pa.list_(pa.int64())), ("s", pa.list_(pa.int64()))])
+    batches = [pa.RecordBatch.from_pylist(rows[a:a + 7], schema) for a in range(0, len(rows), 7)]
+    for k in (1, 3, 20):
+        got = [tuple(r.values()) for b in CP._counted(k)(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == _nearest_by_hand(of, k)
+    assert [*CP._counted(3)(iter([]))] == []
+    assert [b.num_rows for b in CP._counted(3)(iter([batches[0].slice(0, 0)]))] in ([], [0])
