@@ -15,11 +15,13 @@ Where only the nearest are wanted, pairs are not shuffled at all: see
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from haat.session import scratch_dir
 
 AT_ONCE = 1 << 20       # pairs that a task counts at once, at least
 ROWS = 2048             # blocks whose pairs are made at once
+# Tasks get this module's functions whole: their workers need no package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -3,12 +3,16 @@
 import datetime as dt
 import glob
 import math
+import os
 import random
+import subprocess
+import sys
 import time
 from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from haat.operators import copurchase as CP
@@ -178,3 +182,11 @@ def test_neighbours_of_a_product_that_goes_on_in_later_batches(monkeypatch):
         assert sorted(got) == _nearest_by_hand(of, k)
     assert [*CP._counted(3)(iter([]))] == []
     assert [b.num_rows for b in CP._counted(3)(iter([batches[0].slice(0, 0)]))] in ([], [0])
+
+
+def test_tasks_that_count_pairs_need_no_package(tmp_path):
+    (tmp_path / "run").write_bytes(cloudpickle.dumps(CP._counted(3)))
+    code = "import pickle; print([*pickle.load(open('run', 'rb'))(iter([]))])"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert found.stdout.strip() == "[]", found.stderr
